@@ -155,7 +155,7 @@ def _writer(folder: str, path: str, end: int, most: int) -> Callable[[Iterator[p
     return write
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = 2, ids_per_file: int = 16_000_000, bytes_per_task: int = 32_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = 2, ids_per_file: int = 8_000_000, bytes_per_task: int = 32_000_000) -> DataFrame:
     """Writes docs (doc_id, text; more columns are ignored) as token files, in ascending doc_id order over all files.
 
     Returns (file, n_docs, n_ids, first_id): one row a file, first_id the ids in the files before it. A null text is an
@@ -169,7 +169,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     tasks = max(1, math.ceil(size / bytes_per_task))
     dealt = slim.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     made = written(dealt.mapInArrow(_writer(folder, tokenizer or vocabulary(), end, ids_per_file), "file string, n_docs long, n_ids long"), "token-files")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file of 16 million ids
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file of 8 million ids
     return made.select("file", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("first_id"))
 
 
