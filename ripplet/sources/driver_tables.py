@@ -1,0 +1,74 @@
+"""Canonical tables (nodes, edges, files, history, deliveries) read from the star-schema tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _key(kind: str, column: str) -> Column:
+    return F.concat(F.lit(kind + ":"), F.col(column).cast("string"))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, type, name, file, seq: one node for each row of six tables."""
+
+    def of(name: str, kind: str, key: str, label: Column, file: Column, ordinal: int) -> DataFrame:
+        t = table(spark, sf_dir, name)
+        return t.select(_key(kind, key).alias("id"), F.lit(kind).alias("type"), label.alias("name"), file.alias("file"), (F.lit(ordinal * 10**12) + F.col(key)).cast("long").alias("seq"))
+
+    text = lambda prefix, c, suffix: F.concat(F.lit(prefix), F.col(c).cast("string"), F.lit(suffix))
+    parts = [
+        of("region", "PACKAGE", "r_regionkey", F.col("r_name"), text("packages/", "r_regionkey", "/index.ts"), 0),
+        of("nation", "MODULE", "n_nationkey", F.col("n_name"), text("src/lib/", "n_nationkey", ".ts"), 1),
+        of("supplier", "SERVICE", "s_suppkey", F.col("s_name"), text("src/services/", "s_suppkey", ".service.ts"), 2),
+        of("customer", "CONTROLLER", "c_custkey", F.col("c_name"), text("src/controllers/", "c_custkey", ".controller.ts"), 3),
+        of("part", "COMPONENT", "p_partkey", F.col("p_name"), text("src/components/", "p_partkey", ".tsx"), 4),
+        of("orders", "API_ROUTE", "o_orderkey", text("POST /orders/", "o_orderkey", ""), text("src/routes/", "o_orderkey", ".test.ts"), 5),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, type, confidence, seq, evidence: foreign keys and line items, with repeats."""
+
+    def of(name: str, src: Column, dst: Column, kind: str, confidence: Column, ordinal: int, rank: Column, evidence: Column) -> DataFrame:
+        t = table(spark, sf_dir, name)
+        return t.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), confidence.alias("confidence"), (F.lit(ordinal * 10**15) + rank).cast("long").alias("seq"), evidence.alias("evidence"))
+
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    high, medium, none = F.lit("HIGH"), F.lit("MEDIUM"), F.lit(None).cast("string")
+    flag = F.when(F.col("l_returnflag") == "N", "HIGH").when(F.col("l_returnflag") == "A", "MEDIUM").otherwise("LOW")
+    order, part, supplier = _key("API_ROUTE", "l_orderkey"), _key("COMPONENT", "l_partkey"), _key("SERVICE", "l_suppkey")
+    parts = [
+        of("nation", _key("MODULE", "n_nationkey"), _key("PACKAGE", "n_regionkey"), "IMPORTS", high, 0, F.col("n_nationkey"), none),
+        of("supplier", _key("SERVICE", "s_suppkey"), _key("MODULE", "s_nationkey"), "USES", high, 1, F.col("s_suppkey"), none),
+        of("customer", _key("CONTROLLER", "c_custkey"), _key("MODULE", "c_nationkey"), "USES", medium, 2, F.col("c_custkey"), none),
+        of("orders", _key("API_ROUTE", "o_orderkey"), _key("CONTROLLER", "o_custkey"), "CALLS", high, 3, F.col("o_orderkey"), none),
+        of("lineitem", order, part, "CALLS", flag, 4, line, F.when(F.col("l_linestatus") == "O", F.concat_ws(":", order, part, F.col("l_linenumber").cast("string")))),
+        of("lineitem", order, supplier, "IMPORTS", high, 5, line, none),
+        of("lineitem", part, supplier, "DEPENDS_ON", medium, 6, line, none),
+        of("nation", _key("PACKAGE", "n_regionkey"), _key("MODULE", "n_nationkey"), "CONTAINS", high, 7, F.col("n_nationkey"), none),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, language tag and text of every document as a file."""
+    extension = F.element_at(F.create_map(*[F.lit(x) for x in ("en", "ts", "fr", "py", "de", "go", "es", "md")]), F.col("lang"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.coalesce(extension, F.lit("txt"))).alias("path"), "doc_id", "text")
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a repository over time: orders of a customer."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repository_id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"), F.floor("o_totalprice").cast("long").alias("impact"))
