@@ -48,7 +48,7 @@ class _Pieces(dict):
 class Encoder:
     """Encodes texts word by word; the ids of a word that came before are looked up. The ids are those of whole texts."""
 
-    def __init__(self, path: str, most_words: int = 350_000) -> None:
+    def __init__(self, path: str, most_words: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
