@@ -1,0 +1,19 @@
+import os
+import sys
+
+import pytest
+from pyspark.sql import SparkSession
+
+REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+if REPO not in sys.path:
+    sys.path.insert(0, REPO)
+os.environ.setdefault("PYTHONPATH", REPO)
+
+
+@pytest.fixture(scope="session")
+def spark():
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"}
+    session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
