@@ -207,7 +207,7 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None, sample: int = 60
         for batch in batches:
             texts = batch.column(at)
             verdicts = judge(iter([pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], ["doc_id", "text"])]))
-            mask = [k for x in verdicts for k in x.column(6).to_pylist()]
+            mask = [k for x in verdicts for k in x.column("kept").to_pylist()]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
