@@ -27,7 +27,9 @@ def _mask(i: int, n: int) -> int:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, h, no, line, k1, k2) of each line with a word; k1 and k2 are two hashes of the line."""
-    rows = docs.select(_id().alias("id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    # The text's hash is taken below the generator: beside it, it would be taken once for every line.
+    hashed = docs.select(_id().alias("id"), F.xxhash64("text").alias("h"), "text")
+    rows = hashed.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     return rows.where(F.col("line").rlike(WORD)).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
 
 
@@ -38,10 +40,12 @@ def _id() -> Column:
 def line_components(docs: DataFrame, percent: int = 80, bands: int = 6, rows: int = 2) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (k1, k2, times, first), and for those in a component of several (k1, k2, keep): the first place
     (id, h, no) of the line, or of the component."""
-    shingled = _lines(docs).select("id", "h", "no", "k1", "k2", F.posexplode(F.regexp_extract_all(F.lower("line"), F.lit(ANCHORED), F.lit(1))).alias("at", "shingle"))
+    shingled = _lines(docs).select("k1", "k2", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(ANCHORED), F.lit(1))).alias("shingle"))
     hashed = shingled.withColumn("x", F.xxhash64("shingle"))
+    # Numbers only, so that both sides of the shuffle aggregate by hash; places are gathered from lines, not shingles.
     minima = [F.min(F.col("x").bitwiseXOR(F.lit(_mask(i, bands * rows)))).alias(f"m{i}") for i in range(bands * rows)]
-    signed = hashed.groupBy("k1", "k2").agg(*minima, F.count_if(F.col("at") == 0).alias("times"), F.min(F.struct("id", "h", "no")).alias("first"))
+    places = _lines(docs).groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "no")).alias("first"))
+    signed = hashed.groupBy("k1", "k2").agg(*minima).join(places, ["k1", "k2"])
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]).alias(f"b{b}") for b in range(bands)]
     lines = written(signed.select("k1", "k2", "times", "first", *keys), "lines")
     # In a bucket every line is compared with the least one.
@@ -53,11 +57,12 @@ def line_components(docs: DataFrame, percent: int = 80, bands: int = 6, rows: in
     texts = docs.select(_id().alias("id"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["id", "h"])
     ends = pairs.select("p", "q", F.explode(F.array("p", "q")).alias("end")).groupBy(F.col("end.id").alias("id"), F.col("end.h").alias("h")).agg(F.collect_set("end.no").alias("numbers"))
     picked = texts.join(ends, ["id", "h"]).select("id", "h", F.explode("numbers").alias("no"), F.split("text", "\n").alias("all"))
-    picked = written(picked.select(F.struct("id", "h", "no").alias("place"), F.get("all", F.col("no")).alias("line")), "candidate-lines")
+    line = F.lower(F.get("all", F.col("no")))
+    grams = F.when(F.length(line) < 5, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)))
+    picked = written(picked.select(F.struct("id", "h", "no").alias("place"), F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("grams")), "candidate-lines")
     both = pairs.join(picked.toDF("p", "s"), "p").join(picked.toDF("q", "t"), "q")
-    sets = {x: F.array_distinct(F.when(F.length(x) < 5, F.array(F.lower(x))).otherwise(F.regexp_extract_all(F.lower(F.col(x)), F.lit(EVERY), F.lit(1)))) for x in ("s", "t")}
-    sized = both.select("p", "q", sets["s"].alias("s"), sets["t"].alias("t")).withColumn("n", F.size(F.array_intersect("s", "t")))
-    links = sized.where(100 * F.col("n") >= percent * (F.size("s") + F.size("t") - F.col("n"))).select("p", "q")
+    # n / (|s| + |t| - n) >= percent / 100, with the intersection written once.
+    links = both.where(F.size(F.array_intersect("s", "t")) * (100 + percent) >= percent * (F.size("s") + F.size("t"))).select("p", "q")
     # Places order components by their first line.
     found = components(links.select(F.col("p").alias("a"), F.col("q").alias("b")), "line-components")
     return lines, found
