@@ -11,9 +11,9 @@ from ripplet.llm.components import components
 
 #: A line takes part if it has a word.
 WORD = r"[^\x20\x09-\x0D]"
-#: Shingles for banding: up to 12 characters from each start of a word, and after each letter beyond Latin, as scripts
-#: without spaces have it.
-ANCHORED = r"(?s)(?:(?<![^\x20\x09-\x0D])|(?<=[^\x00-ɏ]))(?=([^\x20\x09-\x0D].{0,11}))"
+#: Shingles for banding: up to 8 characters from each start of a word, and after each letter beyond Latin, as scripts
+#: without spaces have it. Few reach over a word, so that an edit harms one or two of them.
+ANCHORED = r"(?s)(?:(?<![^\x20\x09-\x0D])|(?<=[^\x00-ɏ]))(?=([^\x20\x09-\x0D].{0,7}))"
 #: Shingles for verification: every 5 characters.
 EVERY = r"(?s)(?=(.{5}))"
 
@@ -37,35 +37,54 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
 
 
-def line_components(docs: DataFrame, percent: int = 80, bands: int = 6, rows: int = 2) -> tuple[DataFrame, DataFrame]:
+def line_components(docs: DataFrame, percent: int = 80, bands: int = 14, rows: int = 3) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (k1, k2, times, first), and for those in a component of several (k1, k2, keep): the first place
     (id, h, no) of the line, or of the component."""
-    shingled = _lines(docs).select("k1", "k2", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(ANCHORED), F.lit(1))).alias("shingle"))
-    hashed = shingled.withColumn("x", F.xxhash64("shingle"))
-    # Numbers only, so that both sides of the shuffle aggregate by hash; places are gathered from lines, not shingles.
+    whole = _lines(docs).groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "no")).alias("first"), F.first("line").alias("line"))
+    whole = written(whole, "distinct-lines")
+    hashed = whole.select("k1", "k2", "times", "first", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(ANCHORED), F.lit(1))).alias("shingle")).withColumn("x", F.xxhash64("shingle"))
     minima = [F.min(F.col("x").bitwiseXOR(F.lit(_mask(i, bands * rows)))).alias(f"m{i}") for i in range(bands * rows)]
-    places = _lines(docs).groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "no")).alias("first"))
-    signed = hashed.groupBy("k1", "k2").agg(*minima).join(places, ["k1", "k2"])
+    signed = hashed.groupBy("k1", "k2", "times", "first").agg(*minima)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]).alias(f"b{b}") for b in range(bands)]
     lines = written(signed.select("k1", "k2", "times", "first", *keys), "lines")
-    # In a bucket every line is compared with the least one.
-    banded = lines.select("k1", F.explode(F.array(*[f"b{b}" for b in range(bands)])).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("k1").alias("centre"), F.max("k1").alias("most")).where("centre < most").select("bucket", "centre")
-    pairs = written(banded.join(shared, "bucket").where("k1 <> centre").select("k1", "centre").distinct(), "line-pairs")
-    place = lines.select("k1", "k2", "first")
-    pairs = pairs.join(place.toDF("k1", "k2", "p"), "k1").join(place.toDF("centre", "c2", "q"), "centre")
-    texts = docs.select(_id().alias("id"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["id", "h"])
-    ends = pairs.select("p", "q", F.explode(F.array("p", "q")).alias("end")).groupBy(F.col("end.id").alias("id"), F.col("end.h").alias("h")).agg(F.collect_set("end.no").alias("numbers"))
-    picked = texts.join(ends, ["id", "h"]).select("id", "h", F.explode("numbers").alias("no"), F.split("text", "\n").alias("all"))
-    line = F.lower(F.get("all", F.col("no")))
+    node = F.col("first").alias("node")
+    banded = lines.select("k1", node, F.explode(F.array(*[f"b{b}" for b in range(bands)])).alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("bucket")
+    members = written(banded.join(shared, "bucket", "left_semi").select("bucket", "node"), "line-members")
+    line = F.lower("line")
     grams = F.when(F.length(line) < 5, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)))
-    picked = written(picked.select(F.struct("id", "h", "no").alias("place"), F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("grams")), "candidate-lines")
-    both = pairs.join(picked.toDF("p", "s"), "p").join(picked.toDF("q", "t"), "q")
-    # n / (|s| + |t| - n) >= percent / 100, with the intersection written once.
-    links = both.where(F.size(F.array_intersect("s", "t")) * (100 + percent) >= percent * (F.size("s") + F.size("t"))).select("p", "q")
-    # Places order components by their first line.
-    found = components(links.select(F.col("p").alias("a"), F.col("q").alias("b")), "line-components")
-    return lines, found
+    grams = F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("grams")
+    sets = written(whole.select(node, "line").join(members.select("node").distinct(), "node", "left_semi").select("node", grams), "line-sets")
+    # First a bucket's least line is its centre. While a bucket has more than one component, more of its lines outside its
+    # largest component become centres, at most 2, 4, 8 ... of them: no pair that would join two components is left out.
+    used = written(members.groupBy("bucket").agg(F.min("node").alias("node")), "line-centres")
+    pairs = members.join(used.withColumnRenamed("node", "centre"), "bucket").where(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    links = tried = None
+    lanes = 1
+    while True:
+        pairs = written(pairs, "line-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+        # n / (|s| + |t| - n) >= percent / 100, with the intersection written once.
+        same = F.size(F.array_intersect("s", "t")) * (100 + percent) >= percent * (F.size("s") + F.size("t"))
+        new = written(both.where(same).select("a", "b"), "line-links")
+        links = new if links is None else links.union(new)
+        found = components(links, "line-components")
+        named = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket")
+        members = written(named.join(mixed, "bucket"), "line-mixed")
+        largest = members.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+        lanes *= 2
+        open_ = members.join(largest, "bucket").where(F.col("component") != F.col("largest")).join(used, ["bucket", "node"], "left_anti")
+        centres = open_.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(lanes)).alias("lane")).agg(F.min(F.struct("node", "component")).alias("c"))
+        centres = written(centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("own")), "line-centres")
+        if not centres.limit(1).count():
+            return lines, found
+        used = written(used.union(centres.select("bucket", "centre")), "line-used")
+        members = members.join(centres.select("bucket").distinct(), "bucket", "left_semi")
+        across = members.join(centres, "bucket").where(F.col("component") != F.col("own"))
+        pairs = across.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        members = members.select("bucket", "node")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -82,10 +101,10 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     lines, found = line_components(docs, percent)
     keep = lines.join(found.toDF("first", "keep"), "first", "left").where("times > 1 or keep is not null").select("k1", "k2", F.coalesce("keep", "first").alias("keep"))
     gone = _lines(docs).select("id", "h", "no", "k1", "k2").join(keep, ["k1", "k2"]).where(F.struct("id", "h", "no") != F.col("keep"))
-    gone = gone.groupBy("id", "h").agg(F.collect_set("no").alias("gone"))
+    gone = gone.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("no").alias("__gone"))
     parts = F.split("text", "\n")
-    rest = F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i))
-    joined = docs.select(*columns, _id().alias("id"), F.xxhash64("text").alias("h")).join(gone, ["id", "h"], "left")
+    rest = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    joined = docs.select(*columns, _id().alias("__id"), F.xxhash64("text").alias("__h")).join(gone, ["__id", "__h"], "left")
     counted = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(WORD))), F.lit(0))
-    done = joined.withColumns({"__n": F.when(F.col("text").isNull(), 0).otherwise(counted), "__r": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")), "__t": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))})
+    done = joined.withColumns({"__n": F.when(F.col("text").isNull(), 0).otherwise(counted), "__r": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")), "__t": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))})
     return done.select(*[F.col("__t").alias("text") if c == "text" else F.col(c) for c in columns], F.col("__n").cast("long").alias("n_lines"), F.col("__r").cast("long").alias("n_removed"))
