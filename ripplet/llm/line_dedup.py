@@ -41,20 +41,20 @@ def line_components(docs: DataFrame, percent: int = 80, bands: int = 14, rows: i
     """Distinct lines (k1, k2, times, first), and for those in a component of several (k1, k2, keep): the first place
     (id, h, no) of the line, or of the component."""
     whole = _lines(docs).groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "no")).alias("first"), F.first("line").alias("line"))
-    whole = written(whole, "distinct-lines")
-    hashed = whole.select("k1", "k2", "times", "first", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(ANCHORED), F.lit(1))).alias("shingle")).withColumn("x", F.xxhash64("shingle"))
+    # A line's shingles stay where its copies have met, so that signing needs no shuffle of its own.
+    hashed = whole.select("k1", "k2", "times", "first", "line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(ANCHORED), F.lit(1))).alias("shingle")).withColumn("x", F.xxhash64("shingle"))
     minima = [F.min(F.col("x").bitwiseXOR(F.lit(_mask(i, bands * rows)))).alias(f"m{i}") for i in range(bands * rows)]
-    signed = hashed.groupBy("k1", "k2", "times", "first").agg(*minima)
+    signed = hashed.groupBy("k1", "k2", "times", "first", "line").agg(*minima)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]).alias(f"b{b}") for b in range(bands)]
-    lines = written(signed.select("k1", "k2", "times", "first", *keys), "lines")
+    lines = written(signed.select("k1", "k2", "times", "first", "line", *keys), "lines")
     node = F.col("first").alias("node")
-    banded = lines.select("k1", node, F.explode(F.array(*[f"b{b}" for b in range(bands)])).alias("bucket"))
+    banded = lines.select("k1", F.explode(F.array(*[f"b{b}" for b in range(bands)])).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("bucket")
-    members = written(banded.join(shared, "bucket", "left_semi").select("bucket", "node"), "line-members")
+    members = written(banded.join(shared, "bucket", "left_semi").join(lines.select("k1", node), "k1").select("bucket", "node"), "line-members")
     line = F.lower("line")
     grams = F.when(F.length(line) < 5, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)))
     grams = F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("grams")
-    sets = written(whole.select(node, "line").join(members.select("node").distinct(), "node", "left_semi").select("node", grams), "line-sets")
+    sets = written(lines.select(node, "line").join(members.select("node").distinct(), "node", "left_semi").select("node", grams), "line-sets")
     # First a bucket's least line is its centre. While a bucket has more than one component, more of its lines outside its
     # largest component become centres, at most 2, 4, 8 ... of them: no pair that would join two components is left out.
     used = written(members.groupBy("bucket").agg(F.min("node").alias("node")), "line-centres")
