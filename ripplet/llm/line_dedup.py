@@ -56,7 +56,7 @@ def line_components(docs: DataFrame, percent: int = 80, bands: int = 14, rows: i
     grams = F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("grams")
     sets = written(lines.select(node, "line").join(members.select("node").distinct(), "node", "left_semi").select("node", grams), "line-sets")
     # First a bucket's least line is its centre. While a bucket has more than one component, more of its lines outside its
-    # largest component become centres, at most 2, 4, 8 ... of them: no pair that would join two components is left out.
+    # largest component become centres, at most 16, 256 ... of them: no pair that would join two components is left out.
     used = written(members.groupBy("bucket").agg(F.min("node").alias("node")), "line-centres")
     pairs = members.join(used.withColumnRenamed("node", "centre"), "bucket").where(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = tried = None
@@ -74,7 +74,7 @@ def line_components(docs: DataFrame, percent: int = 80, bands: int = 14, rows: i
         mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket")
         members = written(named.join(mixed, "bucket"), "line-mixed")
         largest = members.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        lanes *= 2
+        lanes *= 16
         open_ = members.join(largest, "bucket").where(F.col("component") != F.col("largest")).join(used, ["bucket", "node"], "left_anti")
         centres = open_.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(lanes)).alias("lane")).agg(F.min(F.struct("node", "component")).alias("c"))
         centres = written(centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("own")), "line-centres")
