@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
-from struct import pack
 
 import numpy as np
 
-#: Space next to other white space, or at an end: there a space doesn't start a token by itself.
-_ODD = re.compile(r"\s | \s|\A | \Z")
-#: Between two characters that aren't white space, one space always starts a token: what stands on either side of it
-#: is encoded alone with the same ids.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Between two characters that aren't white space, one space or line feed always starts a token: what stands on either
+#: side of it is encoded alone with the same ids.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Words that are encoded whole: those with separators or letters beyond Latin, whose classes a newer Unicode
 #: may change.
 _RARE = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\u024f]")
@@ -33,18 +31,6 @@ def _shown(byte: int) -> str:
     return chr(0x100 + unseen.index(byte)) if byte in unseen else chr(byte)
 
 
-class _Pieces(dict):
-    """The ids of what the tokenizer's pattern parts a word into."""
-
-    def __init__(self, of: Encoder) -> None:
-        self.tokenize, self.letters = of.model.tokenize, of.letters
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        self[piece] = ids = pack(f"<{len(found)}I", *[x.id for x in found])
-        return ids
-
-
 class Encoder:
     """Encodes texts word by word; the ids of a word that came before are looked up. The ids are those of whole texts."""
 
@@ -61,52 +47,71 @@ class Encoder:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.pieces = _Pieces(self)
+        self.pieces: dict[str, bytes] = {}  # the ids of what the tokenizer's pattern parts a word into
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """words: what follows a space that starts a token."""
+    def _spell(self, pieces: set[str]) -> None:
+        """Takes up the ids of new pieces; byte 255, which is in no text, parts them while bytes become letters."""
+        spelled = b"\xff".join(map(str.encode, pieces)).decode("latin-1").translate(self.letters).split(self.letters[255])
+        tokenize = self.model.tokenize
+        self.pieces.update(zip(pieces, [array("I", [x.id for x in tokenize(p)]).tobytes() for p in spelled], strict=True))
+
+    def _learn(self, words: list[str], lead: str) -> None:
+        """words: new ones, each what follows a space (lead " "), or begins with a line feed (lead "")."""
+        mark = lead or "\n"
+        for at in range(0, len(words), 5_000):
+            part = words[at : at + 5_000]
+            text = lead + lead.join(part)
+            if _RARE.search(text) or text.count(mark) > len(part) or any(x in text for x in self.special):
+                odd = [w for w in part if mark in w[1:] or _RARE.search(w) or any(x in w for x in self.special)]
+                self.known.update((w, self._whole(lead + w)) for w in odd)
+                part = [w for w in part if w not in self.known]
+                text = lead + lead.join(part)
+            if part:
+                pieces = self.parts(text)  # only the first of a word has the mark
+                if new := set(pieces).difference(self.pieces):
+                    self._spell(new)
+                ids = list(map(self.pieces.__getitem__, pieces))
+                starts = [i for i, x in enumerate(pieces) if x[0] == mark]
+                for word, i, j in zip(part, starts, [*starts[1:], len(pieces)], strict=True):
+                    self.known[word] = ids[i] if j - i == 1 else b"".join(ids[i:j])
+
+    def _new(self, words: set[str]) -> list[str]:
+        """Those of the words that aren't known; the ids of old ones are taken over."""
         if len(self.known) > self.most:
             self.before, self.known = self.known, {}
-        known, before = self.known, self.before
-        new = [w for w in words if w not in known]
-        if before:
-            known.update((w, before[w]) for w in new if w in before)
-            new = [w for w in new if w not in before]
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        for at in range(0, len(new), 5_000):
-            part = new[at : at + 5_000]
-            text = " " + " ".join(part)
-            if _RARE.search(text) or text.count(" ") > len(part) or any(x in text for x in self.special):
-                odd = [w for w in part if " " in w or _RARE.search(w) or any(x in w for x in self.special)]
-                known.update((w, self._whole(" " + w)) for w in odd)
-                part = [w for w in part if w not in known]
-                text = " " + " ".join(part)
-            if part:
-                pieces = self.parts(text)  # only the first of a word has a space
-                ids = list(map(self.pieces.__getitem__, pieces))
-                starts = [i for i, x in enumerate(pieces) if x[0] == " "]
-                for word, i, j in zip(part, starts, [*starts[1:], len(pieces)], strict=True):
-                    known[word] = ids[i] if j - i == 1 else b"".join(ids[i:j])
+        new = list(words.difference(self.known))
+        if self.before:
+            before = self.before
+            self.known.update((w, before[w]) for w in new if w in before)
+            new = [w for w in new if w not in before]
+        return new
 
     def batch(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; none for null."""
-        heads, tails = [], []
-        for text in texts:
-            text = text or ""
-            if _ODD.search(text):
-                head, *tail = _CUT.split(text)
-                tail = [x[1:] for x in tail]
-            else:
-                head, *tail = text.split(" ")
-            heads.append(self._whole(head))
-            tails.append(tail)
-        self._learn(set().union(*tails))
+        texts = [t or "" for t in texts]
+        parts = [t.replace("\n", " \n").replace(" \n \n", "\n\n").split(" ") for t in texts]
+        new = self._new(set().union(*parts))
+        # A word with white space at an end, other than one line feed before it, stood next to more white space.
+        odd = {w for w in new if not w or w[-1].isspace() or w[0].isspace() and (w[0] != "\n" or w[1].isspace())}
+        if odd or any(not p[0] or p[0][0].isspace() for p in parts):
+            parts = [p if p[0] and not p[0][0].isspace() and odd.isdisjoint(p) else self._cut(t) for p, t in zip(parts, texts, strict=True)]
+            new = self._new(set().union(*(p[1:] for p in parts)))
+        heads = [p[0] for p in parts]
+        self._learn([w for w in new if w[0] != "\n"], " ")
+        self._learn([w for w in new if w[0] == "\n"], "")
         look = self.known.__getitem__
-        return [np.frombuffer(h + b"".join(map(look, t)), "<u4") for h, t in zip(heads, tails, strict=True)]
+        return [np.frombuffer(self._whole(h) + b"".join(map(look, p[1:])), "<u4") for h, p in zip(heads, parts, strict=True)]
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """The parts of a text with runs of white space."""
+        head, *tail = _CUT.split(text)
+        return [head, *[x.removeprefix(" ") for x in tail]]
 
 
 def encoder(path: str) -> Encoder:
