@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,14 +48,16 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def gapless_rank(df: DataFrame, groups: list[str], order: list[Column | str], name: str, rows_per_block: int = 50_000) -> DataFrame:
+def gapless_rank(df: DataFrame, groups: list[str], order: list[Column | str], name: str, rows_per_block: int = 250) -> DataFrame:
     """Adds name: 0, 1, 2, ... within each group, whatever the size of a group.
 
-    A group is dealt into hashed blocks; a block's first number is the count of the rows in the blocks before it, so
-    no task has to hold a group. df is read twice and should be a written table. Groups must not be null.
+    A group is dealt into as many hashed blocks as its rows need; a block's first number is the count of the rows in the
+    blocks before it, so no task has to hold a group. The groups have to be few (shards, lengths), as their counts are
+    broadcast; the blocks' counts grow with the rows, 1 for 250. df is read three times and should be a written table.
+    Groups must not be null.
     """
-    blocks = max(1, math.ceil(df.count() / rows_per_block))
-    dealt = df.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    counts = df.groupBy(*groups).agg(F.ceil(F.count("*") / rows_per_block).alias("__blocks"))
+    dealt = df.join(F.broadcast(counts), groups).withColumn("__block", F.pmod(F.xxhash64(*order), F.col("__blocks"))).drop("__blocks")
     before = Window.partitionBy(*groups).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     first = dealt.groupBy(*groups, "__block").count().select(*groups, "__block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
     inside = Window.partitionBy(*groups, "__block").orderBy(*order)
