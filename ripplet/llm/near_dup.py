@@ -125,9 +125,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     that repeat a doc_id each get a row, and the links of all of them. Other columns are ignored; no rows give none.
 
     Documents with equal sets are one class. In a band's bucket all classes are compared with one centre, the least; the
-    verified links join classes to components. While a bucket still has more than one component, the least class outside
-    the bucket's largest component that was no centre there is its next centre, so each round compares no more than one
-    pair a bucket row, big groups are settled in the first, and no pair of a bucket that would join two components is
+    verified links join classes to components. While a bucket still has more than one component, classes outside the
+    bucket's largest component that were no centres there become its next centres, at most 16, 256 ... of them, so big
+    groups are settled in the first rounds, rounds are few, and no pair of a bucket that would join two components is
     left out. At 85 % a pair shares none of 32 bands of 6 with probability 3e-7.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
@@ -139,6 +139,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     members = written(rowed.join(shared.select("bucket", "centre"), "bucket"), "members")
     pairs = members.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
     links = tried = None
+    lanes = 1
     used = members.select("bucket", F.col("centre").alias("doc_id")).distinct()
     members = members.select("bucket", "doc_id")
     while True:
@@ -154,12 +155,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
         mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
         members = written(named.join(mixed, "bucket"), "mixed")
         largest = members.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        centres = members.join(largest, "bucket").where("component <> largest").join(used, ["bucket", "doc_id"], "left_anti").groupBy("bucket").agg(F.min_by(F.struct("doc_id", "component"), "doc_id").alias("c"))
+        lanes *= 16
+        open_ = members.join(largest, "bucket").where("component <> largest").join(used, ["bucket", "doc_id"], "left_anti")
+        centres = open_.groupBy("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).alias("lane")).agg(F.min_by(F.struct("doc_id", "component"), "doc_id").alias("c"))
         centres = written(centres.select("bucket", F.col("c.doc_id").alias("centre"), F.col("c.component").alias("own")), "centres")
         if not centres.limit(1).count():
             break
         used = written(used.union(centres.select("bucket", "centre")), "used")
-        members = members.join(centres.select("bucket"), "bucket", "left_semi")
+        members = members.join(centres.select("bucket").distinct(), "bucket", "left_semi")
         found = members.join(centres, "bucket").where("component <> own").select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b")).distinct()
         pairs = found.join(tried, ["a", "b"], "left_anti")
         members = members.select("bucket", "doc_id")
