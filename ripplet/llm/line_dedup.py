@@ -1,5 +1,5 @@
-"""Fuzzy line deduplication with DataFrame functions only: MinHash over character shingles, banding, exact Jaccard
-verification, and union-find that keeps one line of each component."""
+"""Fuzzy line deduplication with DataFrame functions only: rare 5-grams bring short lines together, MinHash and banding
+the longer ones; exact Jaccard verification, and union-find that keeps one line of each component."""
 
 from __future__ import annotations
 
@@ -11,11 +11,10 @@ from ripplet.llm.components import components
 
 #: A line takes part if it has a word.
 WORD = r"[^\x20\x09-\x0D]"
-#: Shingles for banding: up to 8 characters from each start of a word, and after each letter beyond Latin, as scripts
-#: without spaces have it. Few reach over a word, so that an edit harms one or two of them.
-ANCHORED = r"(?s)(?:(?<![^\x20\x09-\x0D])|(?<=[^\x00-ɏ]))(?=([^\x20\x09-\x0D].{0,7}))"
-#: Shingles for verification: every 5 characters.
+#: Shingles: every 5 characters.
 EVERY = r"(?s)(?=(.{5}))"
+#: Pairs whose smaller set has fewer shingles than this (a power of 2) are found without loss; the others by signatures.
+SHORT = 64
 
 
 def _mask(i: int, n: int) -> int:
@@ -37,24 +36,47 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
 
 
+def _grams() -> Column:
+    """The hashes of the distinct shingles of the column line; a line shorter than 5 characters is one shingle."""
+    line = F.lower("line")
+    grams = F.when(F.length(line) < 5, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)))
+    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+
+
+def _level(n: Column) -> Column:
+    return F.length(F.bin(n)) - SHORT.bit_length()
+
+
 def line_components(docs: DataFrame, percent: int = 80, bands: int = 14, rows: int = 3) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (k1, k2, times, first), and for those in a component of several (k1, k2, keep): the first place
     (id, h, no) of the line, or of the component."""
     whole = _lines(docs).groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "no")).alias("first"), F.first("line").alias("line"))
-    # A line's shingles stay where its copies have met, so that signing needs no shuffle of its own.
-    hashed = whole.select("k1", "k2", "times", "first", "line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(ANCHORED), F.lit(1))).alias("shingle")).withColumn("x", F.xxhash64("shingle"))
+    # From [SHORT * 2^i, SHORT * 2^(i + 1)) shingles, those whose hash ends in i zeros are signed. A line also signs on the
+    # levels of the largest sets that can be like its own, so that both lines of a pair meet on one level. A line's
+    # shingles stay where its copies have met, so that signing needs no shuffle of its own.
+    sized = whole.withColumn("grams", _grams()).withColumn("n", F.size("grams"))
+    own, top = _level(F.col("n")), _level(F.floor(F.col("n") * 100 / percent))
+    level = F.when(F.col("n") < SHORT, F.array(F.lit(-1))).otherwise(F.sequence(own, top))
+    levelled = sized.withColumn("level", F.explode(level)).withColumn("main", (F.col("n") < SHORT) | (F.col("level") == own))
+    some = F.when(F.col("level") < 0, F.slice("grams", 1, 1)).otherwise(F.expr("filter(grams, g -> (g & (shiftleft(1L, level) - 1)) = 0)"))
+    row = ["k1", "k2", "times", "first", "n", "level", "main"]
+    hashed = levelled.select(*row, F.when(F.col("main"), F.col("line")).alias("line"), F.explode_outer(some).alias("x"))
     minima = [F.min(F.col("x").bitwiseXOR(F.lit(_mask(i, bands * rows)))).alias(f"m{i}") for i in range(bands * rows)]
-    signed = hashed.groupBy("k1", "k2", "times", "first", "line").agg(*minima)
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]).alias(f"b{b}") for b in range(bands)]
-    lines = written(signed.select("k1", "k2", "times", "first", "line", *keys), "lines")
+    signed = hashed.groupBy(*row, "line").agg(*minima)
+    keys = F.array(*[F.xxhash64("level", F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
+    levels = written(signed.select(*row, "line", F.when(F.col("level") >= 0, keys).alias("keys")), "lines")
+    lines = levels.where("main")
     node = F.col("first").alias("node")
-    banded = lines.select("k1", F.explode(F.array(*[f"b{b}" for b in range(bands)])).alias("bucket"))
+    # Two sets that are alike share one of their rarest shingles, if each gives as many as may be missing from the other
+    # and one more, in one order of all shingles.
+    grams = lines.where(F.col("n") <= SHORT * 100 // percent).select("k1", "n", F.explode(_grams()).alias("gram"))
+    ranked = grams.join(grams.groupBy("gram").count(), "gram").groupBy("k1", "n").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("g"))
+    rare = ranked.select("k1", F.explode(F.slice("g", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("g")).where("g.count > 1")
+    rare = written(rare.select("k1", F.col("g.gram").alias("bucket")), "line-rare")
+    banded = levels.select("k1", F.explode("keys").alias("bucket")).union(rare)
     shared = banded.groupBy("bucket").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("bucket")
     members = written(banded.join(shared, "bucket", "left_semi").join(lines.select("k1", node), "k1").select("bucket", "node"), "line-members")
-    line = F.lower("line")
-    grams = F.when(F.length(line) < 5, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)))
-    grams = F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("grams")
-    sets = written(lines.select(node, "line").join(members.select("node").distinct(), "node", "left_semi").select("node", grams), "line-sets")
+    sets = written(lines.select(node, "line").join(members.select("node").distinct(), "node", "left_semi").select("node", _grams().alias("grams")), "line-sets")
     # First a bucket's least line is its centre. While a bucket has more than one component, more of its lines outside its
     # largest component become centres, at most 16, 256 ... of them: no pair that would join two components is left out.
     used = written(members.groupBy("bucket").agg(F.min("node").alias("node")), "line-centres")

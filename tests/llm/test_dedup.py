@@ -102,6 +102,21 @@ def test_line_dedup_keeps_the_first_of_each_component(spark, seed):
     assert rows == {i: t for (i, _), t in zip(docs, brute.line_keep(docs), strict=True)}
 
 
+def test_line_dedup_links_short_lines_urls_and_lines_about_the_limit_of_signatures(spark):
+    rng = random.Random(5)
+    stem = "internationalization standardization representations compartmentalized"
+    docs: list[tuple[int, str | None]] = [(0, "#internationalization\ninternationalization"), (1, "https://www.example.com/a/very/long/path/page.html\nhttp://www.example.com/a/very/long/path/page.html")]
+    docs += [(2, "ha ha ha ha\nha ha ha ha ha ha ha ha"), (3, "abcdefgh\nabcdefghi\nxabcdefgh"), (4, stem + "\n" + stem + " again")]
+    for i in range(5, 65):
+        words = [rng.choice(VOCABULARY) * rng.randrange(2, 4) + str(rng.randrange(1000)) for _ in range(1 + i % 6)]
+        line = rng.choice((" ", "/")).join(words)
+        line = ("https://host" + str(i) + ".org/" if i % 4 == 0 else "") + line
+        at = rng.randrange(min(8, len(line))) if i % 2 else rng.randrange(len(line))
+        docs.append((i, line + "\n" + line[:at] + "#" + line[at + rng.randrange(2) :]))
+    rows = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(spark, docs)).collect()}
+    assert rows == {i: t for (i, _), t in zip(docs, brute.line_keep(docs), strict=True)}
+
+
 def test_line_dedup_of_nothing_and_of_clashing_columns(spark):
     empty = line_dedup.dedup_lines(table(spark, []))
     assert empty.collect() == [] and empty.columns[-2:] == ["n_lines", "n_removed"]
