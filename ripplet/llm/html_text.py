@@ -16,6 +16,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no markup.
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are part of the main text beside them unless they are links.
+BESIDE = frozenset("p pre ul ol dl blockquote table figure section".split())
 #: Elements that are never main text.
 AWAY = frozenset("head nav footer aside form button select option label input menu dialog svg math canvas object audio video fieldset datalist map".split())
 #: Parts of class, id or role names that mark what isn't main text.
@@ -26,15 +29,19 @@ FENCE = frozenset("table ul ol dl div article section body blockquote td th main
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s|$)|[。！？]")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("away", "blocks", "link", "parent", "score", "size", "tag", "told")
+    __slots__ = ("away", "blocks", "link", "parent", "prose", "score", "size", "tag", "told")
 
     def __init__(self, tag: str, parent: _Node | None, away: bool) -> None:
         self.tag, self.parent, self.away = tag, parent, away
-        self.score, self.size, self.link, self.told = 0.0, 0, 0, False
+        self.score, self.size, self.link, self.told, self.prose = 0.0, 0, 0, False, False
+
+    def plain(self) -> bool:
+        return self.link < 0.25 * self.size
 
 
 def _away(tag: str, attributes: str, inside: bool) -> bool:
@@ -57,8 +64,9 @@ def main_text(page: str | None) -> str:
 
     Each block of text gives its container points: one, one for each comma, one for each 100 characters up to three,
     times the share of its text that is no link; half as many go to the next ancestor, a third, a fourth ... to those
-    above. The container with the most points wins, and article and main start with some. Its siblings are kept if they
-    have a fifth of its points, or are single blocks of plain prose.
+    above. The container with the most points wins, and article and main start with some; inside an article or main, all
+    of that is kept, however long it is. Beside the winner lists, quotes, sections and paragraphs stay if under a quarter
+    of them is links, other elements if they have a sentence as well or 10 points, and headings of what stays.
     """
     if not page:
         return ""
@@ -144,8 +152,12 @@ def main_text(page: str | None) -> str:
     for node, said, link in blocks:
         plain = 1 - link / len(said)
         points = (1 + said.count(",") + min(3, len(said) // 100)) * plain
-        node.size += len(said)
-        node.link += link
+        over, sentence = node, bool(_SENTENCE.search(said))
+        while over:
+            over.size += len(said)
+            over.link += link
+            over.prose |= sentence
+            over = over.parent
         share, up = 1, node if node.tag not in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote") else node.parent
         node.score += points * (up is not node)
         while up:
@@ -166,25 +178,39 @@ def main_text(page: str | None) -> str:
             up = up.parent
     if best is root:
         return " ".join(x[1] for x in blocks)
-    chosen: dict[int, bool] = {}
+    up = best
+    while up and up.tag not in ("article", "main"):
+        up = up.parent
+    best = up or best
 
-    def kept(node: _Node, said: str, link: int) -> bool:
-        under = None
+    def place(node: _Node) -> _Node | None:
+        """best, its sibling or its parent, whichever the block is in first."""
         up = node
-        while up:
-            if up is best:
-                return True
-            if up.parent is best.parent:
-                under = up
+        while up and up is not best and up is not best.parent and up.parent is not best.parent:
             up = up.parent
-        if under is None:
-            return False
-        if id(under) not in chosen:
-            prose = under.tag == "p" and under.size > 80 and under.link < 0.25 * under.size
-            chosen[id(under)] = prose or under.score >= max(10.0, 0.2 * best.score)
-        return chosen[id(under)]
-
-    return " ".join(said for node, said, link in blocks if kept(node, said, link))
+        return up
+
+    def stays(unit: _Node, said: str, link: int) -> bool:
+        if unit is best:
+            return True
+        if unit is best.parent:
+            return link < 0.25 * len(said) and bool(_SENTENCE.search(said))
+        return unit.score >= 10 or unit.plain() and (unit.tag in BESIDE or unit.prose)
+
+    places = [(place(node), said, link) for node, said, link in blocks]
+    kept = [unit is not None and unit.tag not in HEADINGS and stays(unit, said, link) for unit, said, link in places]
+    # A heading stays if something does before the next heading of its rank.
+    live = {h: False for h in HEADINGS}
+    for i in reversed(range(len(places))):
+        unit = places[i][0]
+        if unit is not None and unit is not best and unit.tag in HEADINGS:
+            kept[i] = live[unit.tag] and unit.plain()
+            live.update({h: False for h in HEADINGS if h >= unit.tag})
+            if kept[i]:
+                live.update({h: True for h in HEADINGS if h < unit.tag})
+        elif kept[i]:
+            live = {h: True for h in HEADINGS}
+    return " ".join(said for (_, said, _), k in zip(places, kept, strict=True) if k)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,3 +171,14 @@ def test_decontamination_finds_edited_items(spark):
 )
 def test_main_text(page, text):
     assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("outer", ["<article>{}</article>", "<main><div>{}</div></main>", "<body><div>{}</div><div><a href=x>Next, one.</a></div></body>"])
+def test_main_text_keeps_the_same_parts_of_short_and_long_pages(outer):
+    para = "<p>" + "Some words of prose, and more of them, to fill a line of text. " * 5 + "</p>"
+    parts = ["A title", "A short lead", "First item", "A quote", "Short section.", "A heading"]
+    for n in (4, 10, 80):
+        body = f"<h1>{parts[0]}</h1><p>{parts[1]}</p><ul><li>{parts[2]}</ul><div>{para * n}</div><blockquote>{parts[3]}</blockquote><section>{parts[4]}</section><h2>{parts[5]}</h2><p>Last words</p><h2>More of this</h2><ul><li><a href=y>Other page</a></ul>"
+        text = html_text.main_text(outer.format(body))
+        assert [x for x in parts if x not in text] == [] and text.count("Some words") == 5 * n and "Next, one" not in text
+        assert ("Other page" in text) == ("body" not in outer) and ("More of this" in text) == ("body" not in outer)
