@@ -21,7 +21,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BESIDE = frozenset("p pre ul ol dl blockquote table figure section".split())
 #: Elements that are never main text.
 AWAY = frozenset("head nav footer aside form button select option label input menu dialog svg math canvas object audio video fieldset datalist map".split())
-#: Parts of class, id or role names that mark what isn't main text.
+#: Names in class, id or role that mark what isn't main text; as a part of a name they only raise a doubt.
 AWAY_NAMES = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion promotions banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations widget widgets login search searchbox pagination pager toolbar skip masthead contentinfo complementary".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: What an implied end doesn't reach over.
@@ -34,10 +34,10 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("away", "blocks", "link", "parent", "prose", "score", "size", "tag", "told")
+    __slots__ = ("away", "blocks", "holds", "link", "mark", "parent", "prose", "score", "size", "tag", "told")
 
-    def __init__(self, tag: str, parent: _Node | None, away: bool) -> None:
-        self.tag, self.parent, self.away = tag, parent, away
+    def __init__(self, tag: str, parent: _Node | None, away: bool, mark: int = 0) -> None:
+        self.tag, self.parent, self.away, self.mark, self.holds = tag, parent, away, mark, False
         self.score, self.size, self.link, self.told, self.prose = 0.0, 0, 0, False, False
 
     def plain(self) -> bool:
@@ -51,14 +51,25 @@ def _away(tag: str, attributes: str, inside: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    for found in _NAME.finditer(attributes):
-        for part in _PART.findall(found[1] or found[2] or found[3] or ""):
-            part = part.lower()
-            if part in AWAY_NAMES or part == "header" and not inside:
-                return True
     return False
 
 
+def _mark(tag: str, attributes: str, inside: bool) -> int:
+    """2 if a class, id or role is one of AWAY_NAMES, 1 if a part of one is, else 0."""
+    mark = 0
+    if attributes and tag not in ("html", "body", "article", "main"):
+        for found in _NAME.finditer(attributes):
+            for name in (found[1] or found[2] or found[3] or "").split():
+                low = name.lower()
+                if low in AWAY_NAMES or low == "header" and not inside:
+                    return 2
+                for part in _PART.findall(name):
+                    part = part.lower()
+                    if part in AWAY_NAMES or part == "header" and not inside:
+                        mark = 1
+    return mark
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page; "" for none.
 
@@ -67,6 +78,9 @@ def main_text(page: str | None) -> str:
     above. The container with the most points wins, and article and main start with some; inside an article or main, all
     of that is kept, however long it is. Beside the winner lists, quotes, sections and paragraphs stay if under a quarter
     of them is links, other elements if they have a sentence as well or 10 points, and headings of what stays.
+
+    An element that is named as something else is left out unless it holds an article or main. If only a part of a name
+    says so, its points count half, and it stays if under a quarter of it is links and, beside the winner, with 10 points.
     """
     if not page:
         return ""
@@ -144,14 +158,40 @@ def main_text(page: str | None) -> str:
             if tag not in BLOCK and tag != "wbr":
                 text.append(" ")
             continue
-        now = _Node(tag, now, now.away or _away(tag, found[4], inside > 0))
+        away = now.away or _away(tag, found[4], inside > 0)
+        now = _Node(tag, now, away, 0 if away else _mark(tag, found[4], inside > 0))
+        if tag in ("article", "main") and not away:
+            node = now.parent
+            while node and not node.holds:
+                node.holds = True
+                node = node.parent
         depth_link += tag == "a"
         inside += tag in ("article", "main")
     flush()
+
+    def marked(node: _Node) -> int:
+        """The greatest mark of node and the elements about it, but of those that hold an article or main."""
+        up, mark = node, 0
+        while up:
+            if up.mark > mark and not up.holds:
+                mark = up.mark
+            up = up.parent
+        return mark
+
+    def named(node: _Node) -> bool:
+        up = node
+        while up:
+            if up.mark == 2:
+                return True
+            up = up.parent
+        return False
+
+    marks = [marked(node) for node, _, _ in blocks]
+    blocks = [x for x, mark in zip(blocks, marks, strict=True) if mark < 2]
     best = root
-    for node, said, link in blocks:
+    for (node, said, link), mark in zip(blocks, [m for m in marks if m < 2], strict=True):
         plain = 1 - link / len(said)
-        points = (1 + said.count(",") + min(3, len(said) // 100)) * plain
+        points = (1 + said.count(",") + min(3, len(said) // 100)) * plain * (1 - 0.5 * mark)
         over, sentence = node, bool(_SENTENCE.search(said))
         while over:
             over.size += len(said)
@@ -163,7 +203,7 @@ def main_text(page: str | None) -> str:
         while up:
             if not up.told:
                 up.told = True
-                up.score += {"article": 25, "main": 20}.get(up.tag, 0)
+                up.score += {"article": 25, "main": 20}.get(up.tag, 0) * (not named(up))
             up.score += points / share
             if up.score > best.score and up.tag not in ("body", "html"):
                 best = up
@@ -195,10 +235,21 @@ def main_text(page: str | None) -> str:
             return True
         if unit is best.parent:
             return link < 0.25 * len(said) and bool(_SENTENCE.search(said))
+        if unit.mark and not unit.holds:
+            return unit.score >= 10 and unit.plain()
         return unit.score >= 10 or unit.plain() and (unit.tag in BESIDE or unit.prose)
 
+    def linky(node: _Node, end: _Node | None) -> bool:
+        """Whether an element from node up to below end has a doubtful name and many links."""
+        up = node
+        while up and up is not end:
+            if up.mark and not up.holds and not up.plain():
+                return True
+            up = up.parent
+        return False
+
     places = [(place(node), said, link) for node, said, link in blocks]
-    kept = [unit is not None and unit.tag not in HEADINGS and stays(unit, said, link) for unit, said, link in places]
+    kept = [unit is not None and unit.tag not in HEADINGS and stays(unit, said, link) and not linky(node, unit) for (node, _, _), (unit, said, link) in zip(blocks, places, strict=True)]
     # A heading stays if something does before the next heading of its rank.
     live = {h: False for h in HEADINGS}
     for i in reversed(range(len(places))):

@@ -173,6 +173,22 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+WRAPS = ["class='content-sidebar-wrap'", "class='page has-sidebar'", "id='page' class='ad-free'", "class='sidebarWrap'"]
+
+
+@pytest.mark.parametrize(("article", "name"), [(a, n) for a in ("article", "main", "div") for n in WRAPS] + [(a, n) for a in ("article", "main") for n in ("class=sidebar", "id=widget")])
+def test_main_text_is_not_lost_by_the_name_of_a_wrapper(article, name):
+    text = "Some text, long enough, to be the main one."
+    page = f"<body><div {name}><{article}><h1>T</h1><p>{text}</p><section class='related-work'><p>Others, too.</p></section></{article}></div><div class=ad>Buy, now.</div><div class='site-footer'><a href=x>Terms of use.</a></div></body>"
+    assert html_text.main_text(page) == f"T {text} Others, too."
+
+
+def test_main_text_leaves_out_named_elements_and_linked_doubtful_ones():
+    page = "<body><article><p>The text, of it.</p><div class='x related'>See, this.</div><div class='link-list related-links'><a href=x>One, two.</a></div></article><div class='related'><article><p>A teaser, of another page.</p></article></div><div class='cookie-bar'>We use cookies.</div></body>"
+    text = html_text.main_text(page)
+    assert text.startswith("The text, of it.") and "See" not in text and "One" not in text and "cookies" not in text
+
+
 @pytest.mark.parametrize("outer", ["<article>{}</article>", "<main><div>{}</div></main>", "<body><div>{}</div><div><a href=x>Next, one.</a></div></body>"])
 def test_main_text_keeps_the_same_parts_of_short_and_long_pages(outer):
     para = "<p>" + "Some words of prose, and more of them, to fill a line of text. " * 5 + "</p>"
