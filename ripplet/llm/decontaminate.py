@@ -132,6 +132,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, bloc
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) -> DataFrame:
-    """The documents without any match, with all their columns. Null texts and doc_ids stay."""
-    bad = contaminated(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without any match, with all their columns. Null texts stay. A row goes by its own text (its 64-bit
+    hash), whether its doc_id is null, repeated or neither."""
+    key = F.xxhash64("text")
+    bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, rate).select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(bad, "__key", "left_anti").select(*docs.columns)

@@ -56,7 +56,7 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     slots, which is drawn step by step. The steps of all elements go on side by side; a set leaves when its largest
     value is below the next step, as then no later offer can lower any slot.
     """
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     out = np.full(len(sets) * m, np.inf, np.float32)
     x = np.concatenate(sets) if sets else np.zeros(0, _U)
     of = np.repeat(np.arange(len(sets)), sizes)
@@ -120,9 +120,34 @@ def _verify(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 32, rows: int = 6) -> DataFrame:
     """Groups documents whose sets of k-word shingles have a Jaccard similarity of at least percent / 100.
 
-    Returns doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (doc_id = component_id).
-    Null and empty texts, or such of white space, have no shingles and stand alone. Rows with a null doc_id are dropped. Rows
-    that repeat a doc_id each get a row, and the links of all of them. Other columns are ignored; no rows give none.
+    Returns doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (the first row of its group by
+    doc_id). Null and empty texts, or such of white space, have no shingles and stand alone. Rows with a null doc_id are
+    dropped. Rows that repeat a doc_id each get a row and the links of their own text; one of a group is kept. Other
+    columns are ignored; no rows give none.
+    """
+    keyed = written(docs.where("doc_id is not null").select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
+    named, first = _first_rows(keyed, k, percent, bands, rows)
+    return named.join(first, "group").select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("key") == F.col("first.key")).alias("kept"))
+
+
+def without_copies(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 32, rows: int = 6) -> DataFrame:
+    """The documents with all their columns, but of each group only the first row by doc_id. Every row has its own part in
+    that, whether its doc_id is null (these come last), repeated or neither."""
+    keyed = written(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    _, first = _first_rows(keyed.select(F.col("__key").alias("key"), "doc_id", "text"), k, percent, bands, rows)
+    return keyed.join(first.select(F.col("first.key").alias("__key")), "__key", "left_semi").select(*docs.columns)
+
+
+def _first_rows(keyed: DataFrame, k: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, n_shingles, group) of each row, and (group, first) with first (late, doc_id, key) of each group."""
+    found = _groups(keyed.select(F.col("key").alias("doc_id"), "text"), k, percent, bands, rows)
+    named = keyed.select("key", "doc_id").join(found.withColumnRenamed("doc_id", "key"), "key")
+    named = written(named.select("key", "doc_id", "n_shingles", F.col("component_id").alias("group")), "grouped")
+    return named, named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("first"))
+
+
+def _groups(texts: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable) of rows (doc_id, text) with unique ids.
 
     Documents with equal sets are one class. In a band's bucket all classes are compared with one centre, the least; the
     verified links join classes to components. While a bucket still has more than one component, classes outside the
@@ -130,7 +155,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     groups are settled in the first rounds, rounds are few, and no pair of a bucket that would join two components is
     left out. At 85 % a pair shares none of 32 bands of 6 with probability 3e-7.
     """
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
     signed = written(texts.mapInArrow(_sign(k, bands * rows, rows), "doc_id long, n_shingles long, same binary, bands array<long>"), "signed")
     one = signed.groupBy("same").agg(F.min("doc_id").alias("rep")).where("same is not null")
     classes = signed.join(one, (signed["same"] == one["same"]) & (signed["doc_id"] == one["rep"]), "left_semi")
@@ -168,4 +192,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
         members = members.select("bucket", "doc_id")
     total = signed.join(one, "same", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
-    return total.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return total.select("doc_id", "n_shingles", component.alias("component_id"))

@@ -48,6 +48,16 @@ def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert near_dup.near_duplicates(table(spark, [(None, "a b c d e f")])).collect() == []
 
 
+def test_near_copies_go_by_rows_where_ids_are_null_or_repeated(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(prose(rng, 40)) for _ in range(4))
+    docs = [(5, a), (5, a), (None, a), (7, b), (3, b + " end"), (7, c), (None, d), (None, d), (None, None), (None, "")]
+    left = near_dup.without_copies(table(spark, docs), 5, 80).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted((str(i), str(t)) for i, t in [(5, a), (3, b + " end"), (7, c), (None, d), (None, None), (None, "")])
+    rows = near_dup.near_duplicates(table(spark, docs), 5, 80).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(3, 3, True), (5, 5, False), (5, 5, True), (7, 3, False), (7, 7, True)]
+
+
 @given(st.text(alphabet="aAbÄ \n\x0b\x85 ", max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_shingles_are_those_of_the_word_rule(text):

@@ -160,6 +160,15 @@ def test_decontamination_finds_edited_items(spark):
     assert left == {i for i, _ in docs} - {i for i, _ in expected}
 
 
+def test_decontamination_goes_by_rows_where_ids_are_null_or_repeated(spark):
+    rng = random.Random(8)
+    item, clean, other = (" ".join(prose(rng, 25)) for _ in range(3))
+    docs = [(None, "a " + item), (None, clean), (4, item + " b"), (4, other), (5, None)]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.decontaminate(table(spark, docs), benchmark).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted((str(i), str(t)) for i, t in [docs[1], docs[3], docs[4]])
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
