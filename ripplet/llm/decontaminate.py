@@ -10,16 +10,13 @@ from pyspark.sql import functions as F
 
 from ripplet.llm.encoding import portions
 
-#: A piece has at least so many characters; short items get a smaller error budget for it.
-LEAST_PIECE = 12
-
-
 def plain(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
 def budget(length: int, rate: float) -> int:
-    return max(0, min(int(length * rate), length // LEAST_PIECE - 1))
+    """The edits an item may have; below a rate of 1 each of the errors + 1 pieces has a character."""
+    return max(0, min(int(length * rate), length - 1))
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:

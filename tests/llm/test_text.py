@@ -160,6 +160,18 @@ def test_decontamination_finds_edited_items(spark):
     assert left == {i for i, _ in docs} - {i for i, _ in expected}
 
 
+def test_decontamination_finds_short_items_with_an_edit_and_longer_ones_with_a_word_or_marks_changed(spark):
+    rng = random.Random(7)
+    short = [(k, "".join(rng.choice("abcdefghij klmnop") for _ in range(20 + k)).replace("  ", "xy").strip().ljust(20 + k, "z")) for k in range(10)]
+    long = [(k, " ".join(prose(rng, 20))) for k in range(10, 20)]
+    docs = [(k, "before " + x[:9] + "#" + x[10:] + " after") for k, x in short]
+    docs += [(k, "so " + x.replace(x.split()[5], "word", 1)) for k, x in long] + [(k + 10, x.replace(" ", ", ", 4) + ".") for k, x in long]
+    benchmark = spark.createDataFrame(short + long, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(table(spark, docs), benchmark).collect()}
+    expected = {(i, k): n for i, t in docs for k, x in short + long if (n := brute.edit_in(decontaminate.plain(x), decontaminate.plain(t))) <= len(decontaminate.plain(x)) // 20}
+    assert got == expected and all((k, k) in got for k, _ in short) and all((k + 10, k) in got and (k, k) in got for k, _ in long)
+
+
 def test_decontamination_goes_by_rows_where_ids_are_null_or_repeated(spark):
     rng = random.Random(8)
     item, clean, other = (" ".join(prose(rng, 25)) for _ in range(3))
