@@ -20,8 +20,10 @@ def kind_groups(files: DataFrame, known: tuple[str, ...], examples: int = 3, mos
     """Files of other kinds: count and first paths of each kind, the largest first."""
     kind = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
     other = files.select("path", kind.alias("kind")).where(~F.col("kind").isin(*known))
-    ranked = other.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("path"))).groupBy("kind")
-    return ranked.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.col("path")))), ",").alias("examples")).orderBy(F.desc("n"), "kind").limit(most)
+    top = other.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(most)
+    ranked = other.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("path"))).where(F.col("r") <= examples)
+    first = ranked.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("examples"))
+    return top.join(first, "kind", "left").select("kind", "n", F.coalesce("examples", F.lit("")).alias("examples")).orderBy(F.desc("n"), "kind")
 
 
 def pivot_findings(findings: DataFrame, categories: tuple[str, ...]) -> DataFrame:
