@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplet.llm.common import written
+from ripplet.llm.common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,13 +29,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     skew join. Steps double the reach, so their number grows with the logarithm of the longest chain. Null ends and
     loops are dropped. No edges: no rows.
     """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct()
-    now = written(now, name)
+    ends = edges.where("a is not null and b is not null and a <> b")
+    now = written(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     while True:
-        now = written(_star(_star(now, True), False), name)
+        before, now = now, written(_star(_star(now, True), False), name)
+        discard(before)
         heads = now.select(F.col("v").alias("u")).distinct()
         again = now.join(heads, "u", "left_semi").limit(1).count()
         parents = now.groupBy("u").count().where("count > 1").limit(1).count()
         if not again and not parents:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    heads = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads)

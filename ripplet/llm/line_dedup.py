@@ -1,112 +1,107 @@
-"""Fuzzy line deduplication with DataFrame functions only: rare 5-grams bring short lines together, MinHash and banding
-the longer ones; exact Jaccard verification, and union-find that keeps one line of each component."""
+"""Fuzzy line deduplication with DataFrame functions only: bottom-k MinHash signatures of character shingles, banding,
+exact Jaccard verification, and union-find that keeps one line of each component."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplet.llm.common import written
+from ripplet.llm.candidates import across, shared, star
+from ripplet.llm.common import discard, written
 from ripplet.llm.components import components
 
 #: A line takes part if it has a word.
 WORD = r"[^\x20\x09-\x0D]"
-#: Shingles: every 5 characters.
+#: The shingles of verification: every 5 characters.
 EVERY = r"(?s)(?=(.{5}))"
-#: Pairs whose smaller set has fewer shingles than this (a power of 2) are found without loss; the others by signatures.
-SHORT = 64
+#: A line signs what begins at its words if it has so many of them, each of so many characters on average at most; with
+#: fewer or longer ones it signs every 5 characters. Between the limits it does both, so that like lines meet.
+WORDS, MOST_WORDS, LONG, LONGEST = 14, 20, 14, 24
+#: Sets of fewer shingles than the second number are found without loss, those of the first and more by bands.
+SMALL, MOST_SMALL = 16, 24
 
 
-def _mask(i: int, n: int) -> int:
-    """The i-th of n masks: minima of hash ^ mask are minima under n orders; their top bits are spread evenly."""
-    x = (i * 0x9E3779B97F4A7C15 + 0xD1B54A32D192ED03) % 2**64
-    x = (x >> 8) | ((i * 256 // n) << 56)
-    return x - 2**64 if x >= 2**63 else x
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, h, no, line, k1, k2) of each line with a word; k1 and k2 are two hashes of the line."""
     # The text's hash is taken below the generator: beside it, it would be taken once for every line.
     hashed = docs.select(_id().alias("id"), F.xxhash64("text").alias("h"), "text")
-    rows = hashed.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return rows.where(F.col("line").rlike(WORD)).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
-
+    rows = hashed.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(WORD))
+    return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
 
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
 
-
-def _grams() -> Column:
-    """The hashes of the distinct shingles of the column line; a line shorter than 5 characters is one shingle."""
-    line = F.lower("line")
-    grams = F.when(F.length(line) < 5, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)))
+def _grams(line: str) -> Column:
+    """The hashes of the distinct shingles of a column; a line shorter than 5 characters is one shingle."""
+    low = F.lower(line)
+    grams = F.when(F.length(low) < 5, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(EVERY), F.lit(1)))
     return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
 
 
-def _level(n: Column) -> Column:
-    return F.length(F.bin(n)) - SHORT.bit_length()
-
-
-def line_components(docs: DataFrame, percent: int = 80, bands: int = 14, rows: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (k1, k2, times, first), and for those in a component of several (k1, k2, keep): the first place
-    (id, h, no) of the line, or of the component."""
-    whole = _lines(docs).groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "no")).alias("first"), F.first("line").alias("line"))
-    # From [SHORT * 2^i, SHORT * 2^(i + 1)) shingles, those whose hash ends in i zeros are signed. A line also signs on the
-    # levels of the largest sets that can be like its own, so that both lines of a pair meet on one level. A line's
-    # shingles stay where its copies have met, so that signing needs no shuffle of its own.
-    sized = whole.withColumn("grams", _grams()).withColumn("n", F.size("grams"))
-    own, top = _level(F.col("n")), _level(F.floor(F.col("n") * 100 / percent))
-    level = F.when(F.col("n") < SHORT, F.array(F.lit(-1))).otherwise(F.sequence(own, top))
-    levelled = sized.withColumn("level", F.explode(level)).withColumn("main", (F.col("n") < SHORT) | (F.col("level") == own))
-    some = F.when(F.col("level") < 0, F.slice("grams", 1, 1)).otherwise(F.expr("filter(grams, g -> (g & (shiftleft(1L, level) - 1)) = 0)"))
-    row = ["k1", "k2", "times", "first", "n", "level", "main"]
-    hashed = levelled.select(*row, F.when(F.col("main"), F.col("line")).alias("line"), F.explode_outer(some).alias("x"))
-    minima = [F.min(F.col("x").bitwiseXOR(F.lit(_mask(i, bands * rows)))).alias(f"m{i}") for i in range(bands * rows)]
-    signed = hashed.groupBy(*row, "line").agg(*minima)
-    keys = F.array(*[F.xxhash64("level", F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
-    levels = written(signed.select(*row, "line", F.when(F.col("level") >= 0, keys).alias("keys")), "lines")
-    lines = levels.where("main")
-    node = F.col("first").alias("node")
-    # Two sets that are alike share one of their rarest shingles, if each gives as many as may be missing from the other
-    # and one more, in one order of all shingles.
-    grams = lines.where(F.col("n") <= SHORT * 100 // percent).select("k1", "n", F.explode(_grams()).alias("gram"))
-    ranked = grams.join(grams.groupBy("gram").count(), "gram").groupBy("k1", "n").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("g"))
-    rare = ranked.select("k1", F.explode(F.slice("g", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("g")).where("g.count > 1")
-    rare = written(rare.select("k1", F.col("g.gram").alias("bucket")), "line-rare")
-    banded = levels.select("k1", F.explode("keys").alias("bucket")).union(rare)
-    shared = banded.groupBy("bucket").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("bucket")
-    members = written(banded.join(shared, "bucket", "left_semi").join(lines.select("k1", node), "k1").select("bucket", "node"), "line-members")
-    sets = written(lines.select(node, "line").join(members.select("node").distinct(), "node", "left_semi").select("node", _grams().alias("grams")), "line-sets")
-    # First a bucket's least line is its centre. While a bucket has more than one component, more of its lines outside its
-    # largest component become centres, at most 16, 256 ... of them: no pair that would join two components is left out.
-    used = written(members.groupBy("bucket").agg(F.min("node").alias("node")), "line-centres")
-    pairs = members.join(used.withColumnRenamed("node", "centre"), "bucket").where(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = tried = None
-    lanes = 1
-    while True:
-        pairs = written(pairs, "line-pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
-        # n / (|s| + |t| - n) >= percent / 100, with the intersection written once.
-        same = F.size(F.array_intersect("s", "t")) * (100 + percent) >= percent * (F.size("s") + F.size("t"))
-        new = written(both.where(same).select("a", "b"), "line-links")
-        links = new if links is None else links.union(new)
-        found = components(links, "line-components")
-        named = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket")
-        members = written(named.join(mixed, "bucket"), "line-mixed")
-        largest = members.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        lanes *= 16
-        open_ = members.join(largest, "bucket").where(F.col("component") != F.col("largest")).join(used, ["bucket", "node"], "left_anti")
-        centres = open_.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(lanes)).alias("lane")).agg(F.min(F.struct("node", "component")).alias("c"))
-        centres = written(centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("own")), "line-centres")
-        if not centres.limit(1).count():
-            return lines, found
-        used = written(used.union(centres.select("bucket", "centre")), "line-used")
-        members = members.join(centres.select("bucket").distinct(), "bucket", "left_semi")
-        across = members.join(centres, "bucket").where(F.col("component") != F.col("own"))
-        pairs = across.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        members = members.select("bucket", "node")
+def _signed(rows: DataFrame, percent: int, smallest: int) -> DataFrame:
+    """Adds sketches: for each kind of shingle that the line signs (kind, least), least hashes in their order.
+
+    Kind 1 are shingles of words, each with the two characters at the start of the next word; the others are every 5
+    characters: of kind 0 a fixed number, of kind 2 (small sets) as many as may be missing from a set that is alike and one
+    more, so that two such sets have one in common.
+    """
+    # Each array is made below a generator of one row: an expression inside a lambda would be taken once for each element.
+    parts = rows.withColumn("words", F.explode(F.array(F.split(F.lower("line"), " "))))
+    n, size = F.size("words"), F.length("line")
+    at_words = F.zip_with("words", F.slice("words", F.lit(2), n), lambda w, x: F.xxhash64(w, F.substring(x, 1, 2)))
+    is_every, is_words = (n < MOST_WORDS) | (size > LONG * n), (n >= WORDS) & (size <= LONGEST * n)
+    grams = F.when(is_every, F.array_sort(_grams("line")))
+    words = F.when(is_words, F.slice(F.array_sort(F.array_distinct(at_words)), 1, smallest))
+    made = parts.select(*rows.columns, F.explode(F.array(F.struct(grams.alias("grams"), words.alias("words")))).alias("s"))
+    grams, n = F.col("s.grams"), F.size("s.grams")
+    sketch = lambda kind, when, c: F.when(when, F.struct(F.lit(kind).alias("kind"), c.alias("least")))
+    few = (n - F.ceil(n * percent / 100) + 1).cast("int")
+    kinds = (
+        sketch(0, n >= SMALL, F.slice(grams, 1, smallest * 3 // 2)),
+        sketch(1, F.col("s.words").isNotNull(), F.col("s.words")),
+        sketch(2, (n > 0) & (n < MOST_SMALL), F.slice(grams, F.lit(1), F.greatest(few, F.lit(1)))),
+    )
+    return made.withColumn("sketches", F.array_compact(F.array(*kinds))).drop("s")
+
+
+def _banded(signed: DataFrame, rows: int) -> DataFrame:
+    """(node, bucket): `rows` hashes that follow each other in a sketch make a band; a shorter sketch is one, and so is
+    each hash of kind 2."""
+    sketches = signed.select(F.col("k1").alias("node"), F.explode("sketches").alias("s")).select("node", "s.kind", "s.least")
+    runs = F.arrays_zip(*[F.slice("least", F.lit(i + 1), F.size("least")).alias(str(i)) for i in range(rows)])
+    each = sketches.select("node", "kind", F.posexplode(runs).alias("at", "r"))
+    each = each.where(F.col(f"r.{rows - 1}").isNotNull() | (F.col("at") == 0) | (F.col("kind") == 2))
+    run = [F.col("r.0"), *[F.when(F.col("kind") != 2, F.col(f"r.{i}")) for i in range(1, rows)]]
+    return each.select("node", F.xxhash64("kind", *run).alias("bucket"))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose lines are alike, by whole sets."""
+    both = pairs.join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b")
+    # Made below a generator, so that the sets aren't made again for each use.
+    sets = both.select("a", "b", "t", F.explode(F.array(_grams("s"))).alias("s")).select("a", "b", "s", F.explode(F.array(_grams("t"))).alias("t"))
+    # n / (|s| + |t| - n) >= percent / 100; sizes that rule it out are asked first.
+    m, n = F.size("s"), F.size("t")
+    fits = (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (F.size(F.array_intersect("s", "t")) * (100 + percent) >= percent * (m + n))
+    return written(sets.where(fits).select("a", "b"), name)
+
+
+def line_components(docs: DataFrame, percent: int = 80, smallest: int = 14, rows: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Each line's place (id, h, no, k1, k2), and (node, component) of the lines (by k1) in a component of several."""
+    places = written(_signed(_lines(docs), percent, smallest).select("id", "h", "no", "k1", "k2", "sketches"), "line-places")
+    members = shared(_banded(places, rows), "line-members")
+    nodes = members.select(F.col("node").alias("k1")).distinct()
+    texts = written(_lines(docs).select("k1", "line").join(nodes, "k1", "left_semi").dropDuplicates(["k1"]), "line-texts")
+    near = _alike(star(members), texts, percent, "line-links")
+    found = components(near, "line-components")
+    every = lambda some: texts.withColumnRenamed("k1", "node").join(some, "node", "left_semi").select("node", F.explode(_grams("line")).alias("gram"))
+    pairs = across(members, found, every, percent, "line")
+    if pairs.limit(1).count():
+        found = components(near.union(_alike(pairs, texts, percent, "line-links")), "line-components")
+    discard(members, texts, pairs)
+    return places, found
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -117,16 +112,34 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     Lines are linked if the Jaccard similarity of their sets of 5 lower-case characters is at least percent / 100 (lines
     shorter than that: if they are equal but for case); lines without a word stay and link nothing. Null texts stay null,
     a text whose lines all came before becomes empty. Null doc_ids come last; rows that repeat doc_id and text are one
-    document and lose the same lines. An empty table gives no rows.
+    document and lose the same lines. Very long lines are compared whole. An empty table gives no rows; a column of docs
+    that is named n_lines or n_removed is replaced.
+
+    Equal lines are told by two 64-bit hashes; a pair of lines that are alike is found if they share `rows` least hashes
+    that follow each other, which about 99 % of pairs at the threshold do; pairs of fewer than 16 shingles are all found.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    lines, found = line_components(docs, percent)
-    keep = lines.join(found.toDF("first", "keep"), "first", "left").where("times > 1 or keep is not null").select("k1", "k2", F.coalesce("keep", "first").alias("keep"))
-    gone = _lines(docs).select("id", "h", "no", "k1", "k2").join(keep, ["k1", "k2"]).where(F.struct("id", "h", "no") != F.col("keep"))
+    places, found = line_components(docs, percent)
+    place = F.struct("id", "h", "no")
+    grouped = places.select("id", "h", "no", "k1", "k2").join(found.toDF("k1", "component"), "k1", "left")
+    # A line in no component stands for itself, by both of its hashes.
+    group = {"g1": F.coalesce("component", "k1"), "g2": F.when(F.col("component").isNull(), F.col("k2")).otherwise(0)}
+    grouped = written(grouped.withColumns(group).select("id", "h", "no", "g1", "g2"), "line-groups")
+    first = grouped.groupBy("g1", "g2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = grouped.join(first.select("g1", "g2", "first"), ["g1", "g2"]).where(place != F.col("first"))
     gone = gone.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("no").alias("__gone"))
+    discard(places)
     parts = F.split("text", "\n")
     rest = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i))
     joined = docs.select(*columns, _id().alias("__id"), F.xxhash64("text").alias("__h")).join(gone, ["__id", "__h"], "left")
     counted = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(WORD))), F.lit(0))
-    done = joined.withColumns({"__n": F.when(F.col("text").isNull(), 0).otherwise(counted), "__r": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")), "__t": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))})
-    return done.select(*[F.col("__t").alias("text") if c == "text" else F.col(c) for c in columns], F.col("__n").cast("long").alias("n_lines"), F.col("__r").cast("long").alias("n_removed"))
+    lost = F.col("__gone").isNotNull()
+    done = joined.withColumns(
+        {
+            "__n": F.when(F.col("text").isNull(), 0).otherwise(counted),
+            "__r": F.when(lost, F.size("__gone")).otherwise(0),
+            "__t": F.when(lost, F.array_join(rest, "\n")).otherwise(F.col("text")),
+        }
+    )
+    text = [F.col("__t").alias("text") if c == "text" else F.col(c) for c in columns]
+    return done.select(*text, F.col("__n").cast("long").alias("n_lines"), F.col("__r").cast("long").alias("n_removed"))
