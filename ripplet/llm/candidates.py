@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.llm.common import discard, written
 
-#: In mixed buckets of at most so many members all pairs of different components are compared as they are.
-SMALL = 16
-
-
 def shared(banded: DataFrame, name: str) -> DataFrame:
     """(bucket, node, least) of rows (bucket, node) whose bucket has other nodes too; least is its least node."""
     least = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
@@ -25,44 +21,25 @@ def star(members: DataFrame) -> DataFrame:
 
 
 def across(
-    members: DataFrame, groups: DataFrame, shingles: Callable[[DataFrame], DataFrame], percent: int, name: str, peels: int = 2
+    members: DataFrame, groups: DataFrame, name: str, known: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column]
 ) -> DataFrame:
     """The pairs (a, b) of different components (node, component) that share a bucket and can be alike.
 
-    In buckets of more than SMALL members a bound decides first, without loss: shingles() gives (node, gram) for some
-    nodes, their whole sets; a gram that no other of them has can't be shared, so a set of n grams with m others' ones has
-    similarities of at most m / n, and two sets share at most the lesser m. Nodes that can't reach percent go, and then
-    grams of theirs count no more. A pair is made in the first of its shared buckets only.
+    known() gets the rows (bucket, node, component, size) of buckets with several components and adds columns, or leaves out
+    rows that can't be in a pair; fits(x, y) asks these columns, with the suffixes x and y, whether a pair can be alike. A
+    pair is made in the first of its shared buckets only.
     """
     found = members.join(groups.select("node", "component"), "node", "left")
     named = found.select("bucket", "node", F.coalesce("component", "node").alias("component"))
     sizes = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
     mixed = written(named.join(sizes.where("lo < hi").select("bucket", "size"), "bucket"), f"{name}-mixed")
-    large = mixed.where(F.col("size") > SMALL)
-    if not large.limit(1).count():
-        pairs = _pairs(mixed.withColumns({"n": F.lit(1), "m": F.lit(1)}), percent)
-        return written(pairs, f"{name}-across")
-    grams = written(shingles(large.select("node").distinct()), f"{name}-grams")
-    whole = written(grams.groupBy("node").agg(F.count("*").alias("n")), f"{name}-sizes")
-    for _ in range(peels):
-        again = grams.groupBy("gram").count().where("count > 1").select("gram")
-        common = grams.join(again, "gram").groupBy("node").agg(F.count("*").alias("m"))
-        bound = written(whole.join(common, "node").where(100 * F.col("m") >= percent * F.col("n")), f"{name}-bound")
-        before, grams = grams, written(grams.join(bound.select("node"), "node", "left_semi"), f"{name}-grams")
-        discard(before)
-    held = mixed.where(F.col("size") <= SMALL).withColumns({"n": F.lit(1).cast("long"), "m": F.lit(1).cast("long")})
-    pairs = written(_pairs(held.unionByName(large.join(bound, "node")), percent), f"{name}-across")
-    discard(grams, mixed)
-    return pairs
-
-
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows (bucket, node, component, n, m) of one bucket and different components."""
-    own = rows.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("own"))  # as many as bands at most
-    full = rows.join(own, "node")
-    x = full.select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "m", "own")])
-    y = full.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "m", "own")])
-    reach = (100 + percent) * F.least("m_x", "m_y") >= percent * (F.col("n_x") + F.col("n_y"))
+    full = known(mixed)
+    # As many buckets as there are bands at most.
+    full = full.join(mixed.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("own")), "node")
+    rest = [c for c in full.columns if c not in ("bucket", "size")]
+    x, y = (full.select("bucket", *[F.col(c).alias(c + end) for c in rest]) for end in ("_x", "_y"))
     first = F.col("bucket") == F.array_min(F.array_intersect("own_x", "own_y"))
-    on = (F.col("node_x") > F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & reach & first
-    return x.join(y, "bucket").where(on).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    on = (F.col("node_x") > F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & fits("_x", "_y") & first
+    pairs = written(x.join(y, "bucket").where(on).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), f"{name}-across")
+    discard(mixed)
+    return pairs
