@@ -11,11 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplet.llm.common import written
+from ripplet.llm.candidates import across, shared, star
+from ripplet.llm.common import discard, written
 from ripplet.llm.components import components
 from ripplet.llm.encoding import portions
 
 _U = np.uint64
+#: In mixed buckets of at most so many members all pairs of different components are compared.
+SMALL = 16
 
 
 class _Words(dict):
@@ -117,22 +120,60 @@ def _verify(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return verify
 
 
+def _grams(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for part in portions(texts):
+                sets = [shingles(t, k) for t in texts[part]]
+                of = np.repeat(nodes[part], [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate(sets).view(np.int64))], ["node", "gram"])
+
+    return grams
+
+
+def _bound(texts: DataFrame, k: int, percent: int, peels: int = 2) -> Callable[[DataFrame], DataFrame]:
+    """For across(): of nodes in buckets of more than SMALL members, n shingles and m of them that others of these nodes
+    have too. A set's similarities are at most m / n, and two sets share at most the lesser m: nodes that can't reach
+    percent go, without loss, and then their shingles count no more. Rows of small buckets get n = m = 1, which holds nothing
+    back."""
+
+    def known(mixed: DataFrame) -> DataFrame:
+        large, one = mixed.where(F.col("size") > SMALL), F.lit(1).cast("long")
+        held = mixed.where(F.col("size") <= SMALL).withColumns({"n": one, "m": one})
+        grams = texts.join(large.select("node").distinct(), "node", "left_semi").mapInArrow(_grams(k), "node long, gram long")
+        grams = written(grams, "grams")
+        whole = written(grams.groupBy("node").agg(F.count("*").alias("n")), "gram-sizes")
+        for _ in range(peels):
+            again = grams.groupBy("gram").count().where("count > 1").select("gram")
+            common = grams.join(again, "gram").groupBy("node").agg(F.count("*").alias("m"))
+            able = written(whole.join(common, "node").where(100 * F.col("m") >= percent * F.col("n")), "able")
+            before, grams = grams, written(grams.join(able.select("node"), "node", "left_semi"), "grams")
+            discard(before)
+        discard(grams)
+        return held.unionByName(large.join(able, "node"))
+
+    return known
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 32, rows: int = 6) -> DataFrame:
     """Groups documents whose sets of k-word shingles have a Jaccard similarity of at least percent / 100.
 
     Returns doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (the first row of its group by
-    doc_id). Null and empty texts, or such of white space, have no shingles and stand alone. Rows with a null doc_id are
-    dropped. Rows that repeat a doc_id each get a row and the links of their own text; one of a group is kept. Other
-    columns are ignored; no rows give none.
+    doc_id). Null and empty texts, or such of white space, have no shingles and stand alone. Rows with a null doc_id take
+    part like others and come last in their group; component_id is null if the group has no other rows. Rows that repeat a
+    doc_id each get a row and the links of their own text; one of a group is kept. Very long texts are compared whole.
+    Other columns are ignored; no rows give none.
     """
-    keyed = written(docs.where("doc_id is not null").select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "keyed")
     named, first = _first_rows(keyed, k, percent, bands, rows)
-    return named.join(first, "group").select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("key") == F.col("first.key")).alias("kept"))
+    done = named.join(first, "group").select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), "key", "first")
+    return done.select("doc_id", "n_shingles", "component_id", (F.col("key") == F.col("first.key")).alias("kept"))
 
 
 def without_copies(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 32, rows: int = 6) -> DataFrame:
     """The documents with all their columns, but of each group only the first row by doc_id. Every row has its own part in
-    that, whether its doc_id is null (these come last), repeated or neither."""
+    that, whether its doc_id is null (these come last), repeated or neither; texts are treated as in near_duplicates()."""
     keyed = written(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
     _, first = _first_rows(keyed.select(F.col("__key").alias("key"), "doc_id", "text"), k, percent, bands, rows)
     return keyed.join(first.select(F.col("first.key").alias("__key")), "__key", "left_semi").select(*docs.columns)
@@ -140,56 +181,39 @@ def without_copies(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
 
 def _first_rows(keyed: DataFrame, k: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """(key, doc_id, n_shingles, group) of each row, and (group, first) with first (late, doc_id, key) of each group."""
-    found = _groups(keyed.select(F.col("key").alias("doc_id"), "text"), k, percent, bands, rows)
-    named = keyed.select("key", "doc_id").join(found.withColumnRenamed("doc_id", "key"), "key")
-    named = written(named.select("key", "doc_id", "n_shingles", F.col("component_id").alias("group")), "grouped")
+    found = _groups(keyed.select("key", "text"), k, percent, bands, rows)
+    named = written(keyed.select("key", "doc_id").join(found, "key"), "grouped")
     return named, named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("first"))
 
 
-def _groups(texts: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable) of rows (doc_id, text) with unique ids.
+def _groups(keyed: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """key, n_shingles, group (the least key reachable) of rows (key, text) with unique keys.
 
-    Documents with equal sets are one class. In a band's bucket all classes are compared with one centre, the least; the
-    verified links join classes to components. While a bucket still has more than one component, classes outside the
-    bucket's largest component that were no centres there become its next centres, at most 16, 256 ... of them, so big
-    groups are settled in the first rounds, rounds are few, and no pair of a bucket that would join two components is
-    left out. At 85 % a pair shares none of 32 bands of 6 with probability 3e-7.
+    Documents with equal sets are one class. In a band's bucket all classes are compared with the least one, and the
+    verified links join them to components; then the pairs of a bucket that stand in different components are compared,
+    but for those that a bound rules out (candidates.across). At 85 % a pair shares none of 32 bands of 6 with
+    probability 3e-7.
     """
-    signed = written(texts.mapInArrow(_sign(k, bands * rows, rows), "doc_id long, n_shingles long, same binary, bands array<long>"), "signed")
-    one = signed.groupBy("same").agg(F.min("doc_id").alias("rep")).where("same is not null")
-    classes = signed.join(one, (signed["same"] == one["same"]) & (signed["doc_id"] == one["rep"]), "left_semi")
-    rowed = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = rowed.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("most")).where("centre < most")
-    members = written(rowed.join(shared.select("bucket", "centre"), "bucket"), "members")
-    pairs = members.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    links = tried = None
-    lanes = 1
-    used = members.select("bucket", F.col("centre").alias("doc_id")).distinct()
-    members = members.select("bucket", "doc_id")
-    while True:
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a")
-        full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
-        new = written(full.mapInArrow(_verify(k, percent), "a long, b long"), "links")
-        links = new if links is None else links.union(new)
-        groups = components(links)
-        # Buckets with two components or more, without the components that are all of a bucket.
-        named = members.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        members = written(named.join(mixed, "bucket"), "mixed")
-        largest = members.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        lanes *= 16
-        open_ = members.join(largest, "bucket").where("component <> largest").join(used, ["bucket", "doc_id"], "left_anti")
-        centres = open_.groupBy("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).alias("lane")).agg(F.min_by(F.struct("doc_id", "component"), "doc_id").alias("c"))
-        centres = written(centres.select("bucket", F.col("c.doc_id").alias("centre"), F.col("c.component").alias("own")), "centres")
-        if not centres.limit(1).count():
-            break
-        used = written(used.union(centres.select("bucket", "centre")), "used")
-        members = members.join(centres.select("bucket").distinct(), "bucket", "left_semi")
-        found = members.join(centres, "bucket").where("component <> own").select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b")).distinct()
-        pairs = found.join(tried, ["a", "b"], "left_anti")
-        members = members.select("bucket", "doc_id")
-    total = signed.join(one, "same", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return total.select("doc_id", "n_shingles", component.alias("component_id"))
+    signed = keyed.mapInArrow(_sign(k, bands * rows, rows), "doc_id long, n_shingles long, same binary, bands array<long>")
+    signed = written(signed.withColumnRenamed("doc_id", "key"), "signed")
+    one = signed.where("same is not null").groupBy("same").agg(F.min("key").alias("rep"))
+    classes = signed.select("key", "bands").join(one.select(F.col("rep").alias("key")), "key", "left_semi")
+    members = shared(classes.select(F.col("key").alias("node"), F.explode("bands").alias("bucket")), "members")
+    texts = keyed.select(F.col("key").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
+    texts = written(texts, "member-texts")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(texts.toDF("a", "s"), "a")
+        full = left.join(texts.toDF("b", "t"), "b").select("a", "b", "s", "t")
+        return written(full.mapInArrow(_verify(k, percent), "a long, b long"), "links")
+
+    near = alike(star(members))
+    found = components(near)
+    bound = _bound(texts, k, percent)
+    reach = lambda x, y: (100 + percent) * F.least("m" + x, "m" + y) >= percent * (F.col("n" + x) + F.col("n" + y))
+    pairs = across(members, found, "near", bound, reach)
+    if pairs.limit(1).count():
+        found = components(near.union(alike(pairs)))
+    discard(members, texts, pairs)
+    total = signed.select("key", "n_shingles", "same").join(one, "same", "left").join(found.toDF("rep", "component"), "rep", "left")
+    return total.select("key", "n_shingles", F.coalesce("component", "rep", "key").alias("group"))

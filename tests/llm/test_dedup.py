@@ -45,7 +45,9 @@ def test_near_duplicates_has_the_components_of_all_pairs(spark, seed):
 
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert near_dup.near_duplicates(table(spark, [])).collect() == []
-    assert near_dup.near_duplicates(table(spark, [(None, "a b c d e f")])).collect() == []
+    rows = near_dup.near_duplicates(table(spark, [(None, "a b c d e f"), (4, None), (5, " ")])).collect()
+    assert {tuple(r) for r in rows} == {(None, 2, None, True), (4, 0, 4, True), (5, 0, 5, True)}
+    assert near_dup.near_duplicates(table(spark, [(1, None), (2, "")])).count() == 2
 
 
 def test_near_copies_go_by_rows_where_ids_are_null_or_repeated(spark):
@@ -55,7 +57,24 @@ def test_near_copies_go_by_rows_where_ids_are_null_or_repeated(spark):
     left = near_dup.without_copies(table(spark, docs), 5, 80).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted((str(i), str(t)) for i, t in [(5, a), (3, b + " end"), (7, c), (None, d), (None, None), (None, "")])
     rows = near_dup.near_duplicates(table(spark, docs), 5, 80).collect()
-    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(3, 3, True), (5, 5, False), (5, 5, True), (7, 3, False), (7, 7, True)]
+    known = sorted((r.doc_id, r.component_id, r.kept) for r in rows if r.doc_id is not None)
+    assert known == [(3, 3, True), (5, 5, False), (5, 5, True), (7, 3, False), (7, 7, True)]
+    assert sorted((r.n_shingles, str(r.component_id), r.kept) for r in rows if r.doc_id is None) == [(0, "None", True), (0, "None", True), (36, "5", False), (36, "None", False), (36, "None", True)]
+
+
+def test_near_duplicates_in_a_large_mixed_bucket(spark):
+    """Copies of one text with edits: many pairs about the threshold, in buckets far over the small ones."""
+    rng = random.Random(3)
+    base = prose(rng, 120)
+    docs = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            words[rng.randrange(len(words))] = rng.choice((str(rng.random()), "odd"))
+        docs.append((i, " ".join(words)))
+    rows = near_dup.near_duplicates(table(spark, docs), 5, 85).collect()
+    expected = brute.near(docs)
+    assert len(set(expected.values())) > 3 and {r.doc_id: r.component_id for r in rows} == expected
 
 
 @given(st.text(alphabet="aAbÄ \n\x0b\x85 ", max_size=60))
