@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -32,15 +33,28 @@ def _shown(byte: int) -> str:
 
 
 class Encoder:
-    """Encodes texts word by word; the ids of a word that came before are looked up. The ids are those of whole texts."""
+    """Encodes texts word by word; the ids of a word that came before are looked up. The ids are those of whole texts.
 
-    def __init__(self, path: str, most_words: int = 500_000) -> None:
+    That holds for byte-level BPE with the usual pattern and nothing before or after it; texts for any other tokenizer are
+    encoded whole. The words and pieces that are kept take most_bytes at most, counted with EACH for Python's objects.
+    """
+
+    EACH = 200
+
+    def __init__(self, path: str, most_bytes: int = 80_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most_words
+        self.tokenizer, self.most, self.held, self.spelled = Tokenizer.from_file(path), most_bytes, 0, 0
+        parts = json.loads(self.tokenizer.to_str())
+        first, model = parts["pre_tokenizer"] or {}, parts["model"]
+        usual = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
+        odd = [model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")]
+        self.by_words = bool(usual) and model["type"] == "BPE" and not parts["normalizer"] and not any(odd)
+        if not self.by_words:
+            return
         self.model, self.parts = self.tokenizer.model, regex.compile(public_tokenizers.PATTERN).findall
         self.letters = {b: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
         self.letters |= {b: _shown(b) for b in range(128, 256)}
@@ -57,6 +71,7 @@ class Encoder:
         spelled = b"\xff".join(map(str.encode, pieces)).decode("latin-1").translate(self.letters).split(self.letters[255])
         tokenize = self.model.tokenize
         self.pieces.update(zip(pieces, [array("I", [x.id for x in tokenize(p)]).tobytes() for p in spelled], strict=True))
+        self.spelled += 2 * sum(map(len, pieces)) + self.EACH * len(pieces)
 
     def _learn(self, words: list[str], lead: str) -> None:
         """words: new ones, each what follows a space (lead " "), or begins with a line feed (lead "")."""
@@ -77,23 +92,29 @@ class Encoder:
                 starts = [i for i, x in enumerate(pieces) if x[0] == mark]
                 for word, i, j in zip(part, starts, [*starts[1:], len(pieces)], strict=True):
                     self.known[word] = ids[i] if j - i == 1 else b"".join(ids[i:j])
+            self.held += 2 * sum(map(len, words[at : at + 5_000])) + self.EACH * 5_000
 
     def _new(self, words: set[str]) -> list[str]:
         """Those of the words that aren't known; the ids of old ones are taken over."""
-        if len(self.known) > self.most:
-            self.before, self.known = self.known, {}
-        if len(self.pieces) > self.most:
+        if self.held > self.most:
+            self.before, self.known, self.held = self.known, {}, 0
+        if self.spelled > self.most:
             self.pieces.clear()
+            self.spelled = 0
         new = list(words.difference(self.known))
         if self.before:
             before = self.before
-            self.known.update((w, before[w]) for w in new if w in before)
+            old = [w for w in new if w in before]
+            self.known.update((w, before[w]) for w in old)
+            self.held += 2 * sum(map(len, old)) + self.EACH * len(old)
             new = [w for w in new if w not in before]
         return new
 
     def batch(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; none for null."""
         texts = [t or "" for t in texts]
+        if not self.by_words:
+            return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         parts = [t.replace("\n", " \n").replace(" \n \n", "\n\n").split(" ") for t in texts]
         new = self._new(set().union(*parts))
         # A word with white space at an end, other than one line feed before it, stood next to more white space.

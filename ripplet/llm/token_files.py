@@ -8,7 +8,6 @@ Both blocks are Elias-Fano coded: doc_ids less the least one, and boundaries 0,
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -68,6 +67,23 @@ class EliasFano:
         word = int.from_bytes(self.lower[first // 8 : (first + self.low + 7) // 8].tobytes(), "little")
         return high << self.low | word >> first % 8 & (1 << self.low) - 1
 
+    def selects(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1; each block of EVERY is found by its stored position."""
+        out = []
+        for block in range(i // EVERY, -(-j // EVERY)):
+            start = int(self.picks[block])
+            stop = int(self.picks[block + 1]) if block + 1 < len(self.picks) else 8 * len(self.upper)
+            bits = np.unpackbits(self.upper[start // 8 : -(-stop // 8)], bitorder="little")[start % 8 :]
+            first = block * EVERY
+            n = min(EVERY, self.n - first)
+            value = np.flatnonzero(bits)[:n] + start - np.arange(first, first + n)
+            if self.low:
+                at = first * self.low // 8  # whole bytes, as EVERY is a multiple of 8
+                lower = np.unpackbits(self.lower[at : at + -(-n * self.low // 8)], bitorder="little")[: n * self.low]
+                value = value << self.low | lower.reshape(n, self.low).astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
+            out.append(value[max(0, i - first) : j - first])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
     def all(self) -> np.ndarray:
         high = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n] - np.arange(self.n)
         if not self.low:
@@ -155,7 +171,7 @@ def _writer(folder: str, path: str, end: int, most: int) -> Callable[[Iterator[p
     return write
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = 2, ids_per_file: int = 8_000_000, bytes_per_task: int = 32_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = 2, ids_per_file: int = 2_000_000) -> DataFrame:
     """Writes docs (doc_id, text; more columns are ignored) as token files, in ascending doc_id order over all files.
 
     Returns (file, n_docs, n_ids, first_id): one row a file, first_id the ids in the files before it. A null text is an
@@ -163,13 +179,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     Documents are dealt by ranges of doc_id; a task holds one file at a time, and a task that is run again writes the
     same files again. One document is never split, so its ids have to fit in a task.
     """
-    spark = docs.sparkSession
-    slim = docs.select("doc_id", "text")
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(1, math.ceil(size / bytes_per_task))
-    dealt = slim.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    key = F.col("doc_id").asc_nulls_first()
+    dealt = docs.select("doc_id", "text").repartitionByRange(key).sortWithinPartitions(key)
     made = written(dealt.mapInArrow(_writer(folder, tokenizer or vocabulary(), end, ids_per_file), "file string, n_docs long, n_ids long"), "token-files")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file of 8 million ids
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file of 2 million ids
     return made.select("file", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("first_id"))
 
 
@@ -177,7 +190,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, content in zip(batch.column(0), batch.column(1), strict=True):
             file = TokenFile(content.as_buffer())
-            bounds = file.bounds.all().tolist()
+            bounds = file.bounds.selects(0, file.n + 1).tolist()
             crc = [zlib.crc32(file.body[i:j].astype("<u4").tobytes()) for i, j in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name.as_py()] * file.n, pa.string()), pa.array(file.doc_ids, pa.int64()), pa.array(bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())],
