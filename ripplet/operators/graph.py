@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplet.sources.scratch import written
+
 #: Edge types that a change doesn't travel along.
 STRUCTURAL = ("CONTAINS", "EXPORTS")
 
@@ -40,18 +42,21 @@ def admit_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def live_pairs(edges: DataFrame) -> DataFrame:
     """Parallel edges as one pair: the first place, the first edge's confidence; purely structural pairs are left out."""
-    live = F.bool_or(~F.col("type").isin(*STRUCTURAL))
-    pairs = edges.groupBy("src", "dst").agg(F.min("seq").alias("pair_seq"), F.min_by("confidence", "seq").alias("confidence"), live.alias("live"))
-    return pairs.where("live").drop("live")
+    # Place and confidence in one number: aggregates of numbers need no sort.
+    first = F.min(F.col("seq") * 4 + confidence_rank(F.col("confidence"))).alias("first")
+    live = F.max(F.when(F.col("type").isin(*STRUCTURAL), 0).otherwise(1)).alias("live")
+    pairs = edges.groupBy("src", "dst").agg(first, live).where("live = 1")
+    return pairs.select("src", "dst", F.shiftright("first", 2).alias("pair_seq"), confidence_of(F.col("first") % 4).alias("confidence"))
 
 
 def blast_radius(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
     """What depends on the seeds (id, rank), up to `depth` hops: id, depth, path from the seed, confidence.
 
     Breadth first: a node is found by the parent that comes first in its level, by the earliest pair. Each level is one
-    join of the frontier with the pairs, an aggregate per node, and an anti join with what has been found.
+    join of the frontier with the pairs, an aggregate per node, and an anti join with what has been found. The pairs and
+    each level are written once to the shared folder, so that no level is computed again by those after it.
     """
-    pairs = live_pairs(edges)
+    pairs = written(live_pairs(edges), "pairs")
     level = seeds.groupBy("id").agg(F.min("rank").alias("rank")).select("id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit("HIGH").alias("confidence"), F.array("rank").alias("order"))
     found = level
     for d in range(1, depth + 1):
@@ -59,7 +64,9 @@ def blast_radius(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFram
         # An order is the list of places on the way, so the least one is the first in breadth-first order.
         step = f.join(p, F.expr("f.id = p.dst")).select(F.expr("p.src").alias("id"), F.expr("f.path").alias("way"), F.expr("p.confidence").alias("confidence"), F.array_append(F.expr("f.order"), F.expr("p.pair_seq")).alias("order"))
         best = step.groupBy("id").agg(F.min_by(F.struct("way", "confidence"), "order").alias("b"), F.min("order").alias("order"))
-        level = best.join(found.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth"), F.array_append(F.col("b.way"), F.col("id")).alias("path"), F.col("b.confidence").alias("confidence"), "order")
+        new = best.join(found.select("id"), "id", "left_anti")
+        path = F.array_append(F.col("b.way"), F.col("id")).alias("path")
+        level = written(new.select("id", F.lit(d).alias("depth"), path, F.col("b.confidence").alias("confidence"), "order"), "level")
         found = found.unionByName(level)
     return found
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts of names that mark sensitive areas.
-SENSITIVE = ("auth", "login", "session", "token", "password", "permission", "admin", "payment", "billing", "security", "jwt")
+#: Parts of names and files that mark sensitive areas.
+SENSITIVE = ("auth", "payment", "billing", "security", "migration", "deploy", "session", "password", "token", "permission", "rbac")
 
 
 def sensitive(name: Column, file: Column) -> Column:
@@ -26,7 +26,7 @@ def level(score: Column) -> Column:
 
 
 def is_api(kind: Column, name: Column, file: Column) -> Column:
-    return (kind == "API_ROUTE") | file.rlike("route|controller|api/") | F.lower(name).rlike("route|controller")
+    return (kind == "API_ROUTE") | file.rlike("(?i)route|controller|api/") | F.lower(name).rlike("route|controller")
 
 
 def is_test(kind: Column, file: Column) -> Column:
@@ -39,25 +39,37 @@ def impacted(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.withColumn("severity", severity(F.col("depth"), sensitive(F.col("name"), F.col("file"))))
 
 
-def report(hit: DataFrame, missing: DataFrame) -> DataFrame:
-    """One row: counts, complexity score (at most 100) and level."""
-    api, tested = is_api(F.col("type"), F.col("name"), F.col("file")), is_test(F.col("type"), F.col("file"))
+def report(hit: DataFrame, missing: DataFrame, tests: DataFrame) -> DataFrame:
+    """One row: counts, complexity score (at most 100) and level; only changed nodes and direct impacts make it sensitive."""
+    api = is_api(F.col("type"), F.col("name"), F.col("file"))
+    near = (F.col("depth") <= 1) & sensitive(F.col("name"), F.col("file"))
     row = hit.agg(
         F.count_if(F.col("depth") == 0).alias("changed"),
         F.count_if(F.col("depth") == 1).alias("direct"),
         F.count_if(F.col("depth") > 1).alias("indirect"),
         F.count_if(api).alias("apis"),
-        F.count_if(tested).alias("tests"),
         F.count_distinct("file").alias("files"),
-        F.coalesce(F.bool_or(sensitive(F.col("name"), F.col("file"))), F.lit(False)).alias("is_sensitive"),
-    ).crossJoin(missing.agg(F.count("*").alias("gaps")))  # one row each
-    score = F.least(F.lit(100), 4 * F.col("changed") + 3 * F.col("direct") + F.col("indirect") + 5 * F.col("apis") + 6 * F.col("gaps") + F.when(F.col("is_sensitive"), 15).otherwise(0))
-    return row.withColumn("score", score.cast("long")).withColumn("level", level(score))
-
-
-def missing_tests(hit: DataFrame, edges: DataFrame) -> DataFrame:
-    """Direct impacts, tests aside, that no test among the impacted nodes has an edge to."""
-    tests = hit.where(is_test(F.col("type"), F.col("file"))).select(F.col("id").alias("src"))
-    covered = edges.join(tests, "src", "left_semi").select(F.col("dst").alias("id"))
+        F.coalesce(F.bool_or(near), F.lit(False)).alias("is_sensitive"),
+    )
+    row = row.crossJoin(missing.agg(F.count("*").alias("gaps"))).crossJoin(tests.agg(F.count("*").alias("tests")))  # one row each
+    bonus = F.when(F.col("is_sensitive"), 15).otherwise(0)
+    points = 4 * F.col("changed") + 3 * F.col("direct") + F.col("indirect") + 5 * F.col("apis") + 6 * F.col("gaps") + bonus
+    return row.withColumn("score", F.least(F.lit(100), points).cast("long")).withColumn("level", level(F.col("score")))
+
+
+def related_tests(hit: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id) of the tests among the impacted nodes, and of the nodes with a TESTS edge to a changed node or its file."""
+    own = hit.where(is_test(F.col("type"), F.col("file"))).select("id")
+    changed = hit.where("depth = 0")
+    aims = changed.select("id").union(changed.select(F.concat(F.lit("FILE:"), "file"))).distinct()
+    into = edges.where("type = 'TESTS'").join(aims.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
+    return own.union(into.join(nodes.select("id"), "id", "left_semi")).distinct()
+
+
+def missing_tests(hit: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFrame:
+    """Direct impacts, tests aside, to which or to whose file no related test has an edge."""
+    covered = edges.join(tests.withColumnRenamed("id", "src"), "src", "left_semi").select("dst").distinct()
     direct = hit.where((F.col("depth") == 1) & ~is_test(F.col("type"), F.col("file")))
-    return direct.join(covered, "id", "left_anti").select("id", "name", "file")
+    left = direct.join(covered.withColumnRenamed("dst", "id"), "id", "left_anti")
+    by_file = covered.select(F.col("dst").alias("file_id"))
+    return left.withColumn("file_id", F.concat(F.lit("FILE:"), "file")).join(by_file, "file_id", "left_anti").select("id", "name", "file")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplet.functions.text import language, round_half_up
+from ripplet.functions.text import first_label, language, round_half_up
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
@@ -13,17 +13,48 @@ SEVERITIES = ("critical", "high", "medium", "low", "info")
 def language_mix(files: DataFrame) -> DataFrame:
     """Files by language, with whole percents of the files that have one."""
     counts = files.select(language(F.col("path")).alias("language")).where("language is not null").groupBy("language").agg(F.count("*").alias("n"))
-    return counts.crossJoin(counts.agg(F.sum("n").alias("total"))).select("language", "n", round_half_up(100.0 * F.col("n") / F.col("total")).alias("pct"))  # a row for each of nine languages
-
-
-def kind_groups(files: DataFrame, known: tuple[str, ...], examples: int = 3, most: int = 8) -> DataFrame:
-    """Files of other kinds: count and first paths of each kind, the largest first."""
-    kind = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
-    other = files.select("path", kind.alias("kind")).where(~F.col("kind").isin(*known))
-    top = other.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(most)
-    ranked = other.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("path"))).where(F.col("r") <= examples)
-    first = ranked.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("examples"))
-    return top.join(first, "kind", "left").select("kind", "n", F.coalesce("examples", F.lit("")).alias("examples")).orderBy(F.desc("n"), "kind")
+    return counts.crossJoin(counts.agg(F.sum("n").alias("total"))).select("language", "n", round_half_up(100.0 * F.col("n") / F.col("total")).alias("pct"))  # a row for each of eight labels
+
+
+#: Names of kinds of files, the first that fits; others are named by their extension.
+KINDS = (
+    (r"(?i)^Dockerfile|docker-compose", "Docker"),
+    (r"(?i)\.tf$", "Terraform (HCL)"),
+    (r"(?i)\.ya?ml$", "YAML"),
+    (r"(?i)\.md$", "Markdown"),
+    (r"(?i)\.(json|lib)sonnet$", "Jsonnet"),
+    (r"(?i)\.py$", "Python"),
+    (r"(?i)\.go$", "Go"),
+    (r"(?i)\.rs$", "Rust"),
+    (r"(?i)\.java$", "Java"),
+    (r"(?i)\.rb$", "Ruby"),
+    (r"(?i)\.lua$", "Lua"),
+    (r"(?i)\.sql$", "SQL"),
+    (r"(?i)\.(ts|tsx)$", "TypeScript"),
+    (r"(?i)\.(js|jsx|mjs|cjs)$", "JavaScript"),
+)
+#: Kinds that tell nothing.
+NOISE = r"(?i)^(lock|png|jpg|jpeg|gif|webp|ico|woff2?|ttf|map)$"
+
+
+def kind(path: Column) -> Column:
+    """A path's kind: a name of KINDS, or its extension in lower case, or "other"."""
+    base = F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
+    extension = F.lower(F.regexp_extract(base, r"\.([^.]*)$", 1))
+    return F.coalesce(first_label(base, KINDS), F.when(extension == "", "other").otherwise(extension))
+
+
+def kind_groups(files: DataFrame, parsed: DataFrame, examples: int = 3, most: int = 8) -> DataFrame:
+    """Files (path, seq) that weren't parsed (path): count and first paths of each kind, the largest first; equal counts
+    stand by their first file."""
+    path = F.replace("path", F.lit("\\"), F.lit("/"))
+    other = files.select(path.alias("path"), "seq").join(parsed, "path", "left_anti").where(~F.col("path").rlike(r"(^|/)\.git/"))
+    other = other.withColumn("kind", kind(F.col("path"))).where(~F.col("kind").rlike(NOISE))
+    top = other.groupBy("kind").agg(F.count("*").alias("n"), F.min("seq").alias("first")).orderBy(F.desc("n"), "first").limit(most)
+    ranked = other.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("seq"))).where(F.col("r") <= examples)
+    paths = F.transform(F.array_sort(F.collect_list(F.struct("seq", "path"))), lambda x: x.path)
+    shown = ranked.groupBy("kind").agg(F.array_join(paths, ",").alias("examples"))
+    return top.join(shown, "kind", "left").select("kind", "n", F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def pivot_findings(findings: DataFrame, categories: tuple[str, ...]) -> DataFrame:
@@ -59,11 +90,19 @@ def latest(history: DataFrame) -> DataFrame:
     return history.groupBy("repository_id").agg(F.max_by(F.struct(*rest), F.struct("created_at", "run_id")).alias("r")).select("repository_id", "r.*")
 
 
+#: What two snapshots of a repository are compared by.
+MEASURES = ("files", "functions", "classes", "dependencies", "tests", "api_routes", "graph_nodes", "graph_edges")
+
+
 def deltas(history: DataFrame) -> DataFrame:
-    """Each run's change of impact from the one before, and its verdict."""
+    """Each run against the one before in its repository: the change of every measure, and the verdict on the blast radius
+    by twice the change of direct impacts plus that of indirect ones; null for a first run. A repository's runs are sorted
+    in one task, as each is compared with its neighbour."""
     w = Window.partitionBy("repository_id").orderBy("created_at", "run_id")
-    delta = F.col("impact") - F.lag("impact").over(w)
-    return history.select("repository_id", "run_id", delta.alias("delta"), F.when(delta > 0, "larger").when(delta < 0, "smaller").when(delta == 0, "same").alias("verdict"))
+    delta = lambda c: F.col(c) - F.lag(c).over(w)
+    moved = history.select("repository_id", "run_id", *[delta(m).alias(f"d_{m}") for m in MEASURES], delta("direct").alias("d_direct"), delta("indirect").alias("d_indirect"))
+    score = 2 * F.col("d_direct") + F.col("d_indirect")
+    return moved.withColumn("verdict", F.when(score > 0, "increased").when(score < 0, "decreased").when(score == 0, "unchanged"))
 
 
 def sparkline(history: DataFrame) -> DataFrame:
@@ -96,10 +135,12 @@ def metric_summary(samples: DataFrame, last: int = 500) -> DataFrame:
 
 
 def precision_recall(scored: DataFrame) -> DataFrame:
-    """Of rows (truth, hit): counts, precision, recall and F1; null where a denominator is zero."""
+    """Of rows (truth, hit): counts, precision, recall, F1 and accuracy (hits of all that was there or was found); null where a denominator is zero."""
     row = scored.agg(F.count_if(F.col("truth") & F.col("hit")).alias("tp"), F.count_if(~F.col("truth") & F.col("hit")).alias("fp"), F.count_if(F.col("truth") & ~F.col("hit")).alias("fn"))
     p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
-    return row.select("tp", "fp", "fn", F.round(p, 3).alias("precision"), F.round(r, 3).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 3).alias("f1"))
+    accuracy = F.try_divide("tp", F.col("tp") + F.col("fp") + F.col("fn"))
+    f1 = F.try_divide(2 * p * r, p + r)
+    return row.select("tp", "fp", "fn", *[F.round(c, 3).alias(n) for n, c in (("precision", p), ("recall", r), ("f1", f1), ("accuracy", accuracy))])
 
 
 def stable_sample(rows: DataFrame, by: str, key: str, each: int, seed: str) -> DataFrame:

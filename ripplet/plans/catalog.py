@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplet.functions import text as fn
-from ripplet.operators import graph, impact, tables
+from ripplet.operators import checks, graph, impact, paths, tables
 from ripplet.sources import driver_tables as src
+from ripplet.sources.scratch import written
 from ripplet.streaming import state
 
 QUERIES: dict = {}
@@ -39,7 +40,9 @@ EDGES = """raw as (
  union all select 'API_ROUTE:' || l_orderkey, 'COMPONENT:' || l_partkey, 'CALLS', case l_returnflag when 'N' then 'HIGH' when 'A' then 'MEDIUM' else 'LOW' end, 4000000000000000 + l_orderkey * 10 + l_linenumber, case when l_linestatus = 'O' then 'API_ROUTE:' || l_orderkey || ':COMPONENT:' || l_partkey || ':' || l_linenumber end from lineitem
  union all select 'API_ROUTE:' || l_orderkey, 'SERVICE:' || l_suppkey, 'IMPORTS', 'HIGH', 5000000000000000 + l_orderkey * 10 + l_linenumber, null from lineitem
  union all select 'COMPONENT:' || l_partkey, 'SERVICE:' || l_suppkey, 'DEPENDS_ON', 'MEDIUM', 6000000000000000 + l_orderkey * 10 + l_linenumber, null from lineitem
- union all select 'PACKAGE:' || n_regionkey, 'MODULE:' || n_nationkey, 'CONTAINS', 'HIGH', 7000000000000000 + n_nationkey, null from nation),
+ union all select 'PACKAGE:' || n_regionkey, 'MODULE:' || n_nationkey, 'CONTAINS', 'HIGH', 7000000000000000 + n_nationkey, null from nation
+ union all select 'API_ROUTE:' || n_nationkey, 'FILE:packages/' || n_regionkey || '/index.ts', 'TESTS', 'HIGH', 8000000000000000 + n_nationkey, null from nation
+ union all select 'API_ROUTE:' || n_nationkey, 'FILE:src/lib/' || n_nationkey || '.ts', 'IMPORTS', 'MEDIUM', 9000000000000000 + n_nationkey, null from nation),
 edges as (select src || '->' || dst || ':' || type as id, src, dst, type,
    case max(case confidence when 'HIGH' then 3 when 'MEDIUM' then 2 else 1 end) when 3 then 'HIGH' when 2 then 'MEDIUM' else 'LOW' end as confidence,
    arg_min(evidence, seq) filter (where evidence is not null) as evidence, min(seq) as seq from raw group by src, dst, type)"""
@@ -52,7 +55,7 @@ l{d} as (select id, {d} as depth, arg_min(path, ord) as path, arg_min(confidence
 f{d} as (select * from f{d - 1} union all select * from l{d})"""
     for d in (1, 2, 3)
 ).replace("s1 as", "f0 as (select * from l0),\ns1 as", 1) + ",\nfound as (select id, depth, path, confidence from f3)"
-SENSITIVE = "regexp_matches(lower(name || ' ' || file), 'auth|login|session|token|password|permission|admin|payment|billing|security|jwt')"
+SENSITIVE = "regexp_matches(lower(name || ' ' || file), 'auth|payment|billing|security|migration|deploy|session|password|token|permission|rbac')"
 HIT = f"hit as (select n.*, f.depth, f.path, f.confidence, case when f.depth = 0 or (f.depth <= 2 and {SENSITIVE}) then 'CRITICAL' when f.depth = 1 then 'HIGH' when f.depth = 2 then 'MEDIUM' else 'NEUTRAL' end as severity from found f join nodes n using (id))"
 GRAPH = f"with {NODES}, {EDGES} "
 REACH = f"with {NODES}, {EDGES}, {BLAST}, {HIT} "
@@ -97,25 +100,44 @@ def impact_severity(spark, sf_dir):
     return _hit(spark, sf_dir).groupBy("severity", "depth", "type").agg(F.count("*").alias("n"))
 
 
-MISSING = "missing as (select id, name, file from hit where depth = 1 and not (type = 'TEST' or file like '%.test.%' or file like '%.spec.%') and id not in (select e.dst from edges e join hit t on e.src = t.id where t.type = 'TEST' or t.file like '%.test.%' or t.file like '%.spec.%'))"
+TESTED = """tested as (select id from hit where type = 'TEST' or file like '%.test.%' or file like '%.spec.%'
+ union select e.src from edges e where e.type = 'TESTS' and e.src in (select id from nodes) and e.dst in (select id from hit where depth = 0 union all select 'FILE:' || file from hit where depth = 0)),
+covered as (select distinct e.dst from edges e where e.src in (select id from tested)),
+missing as (select id, name, file from hit where depth = 1 and not (type = 'TEST' or file like '%.test.%' or file like '%.spec.%')
+ and id not in (select dst from covered) and 'FILE:' || file not in (select dst from covered))"""
 
 
-@_query(REACH.rstrip() + f", {MISSING} select id, name, file from missing")
+def _tests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The impacted nodes, the related tests, and the direct impacts without one."""
+    edges = written(_edges(spark, sf_dir), "edges")
+    nodes = src.nodes(spark, sf_dir)
+    seeds = nodes.where("id = 'PACKAGE:1'").select("id", F.col("seq").alias("rank"))
+    hit = written(impact.impacted(graph.blast_radius(seeds, edges, 3).drop("order"), nodes), "hit")
+    tests = impact.related_tests(hit, edges, nodes)
+    return hit, tests, impact.missing_tests(hit, edges, tests)
+
+
+@_query(REACH.rstrip() + f", {TESTED} select id, name, file from missing")
 def missing_tests(spark, sf_dir):
-    return impact.missing_tests(_hit(spark, sf_dir), _edges(spark, sf_dir))
+    return _tests(spark, sf_dir)[2]
+
+
+@_query(REACH.rstrip() + f", {TESTED} select id from tested")
+def related_tests(spark, sf_dir):
+    return _tests(spark, sf_dir)[1]
 
 
 @_query(
     REACH.rstrip()
-    + f""", {MISSING}, r as (select count(*) filter (where depth = 0) as changed, count(*) filter (where depth = 1) as direct, count(*) filter (where depth > 1) as indirect,
- count(*) filter (where type = 'API_ROUTE' or regexp_matches(file, 'route|controller|api/') or regexp_matches(lower(name), 'route|controller')) as apis,
- count(*) filter (where type = 'TEST' or file like '%.test.%' or file like '%.spec.%') as tests, count(distinct file) as files, coalesce(bool_or({SENSITIVE}), false) as is_sensitive, (select count(*) from missing) as gaps from hit),
+    + f""", {TESTED}, r as (select count(*) filter (where depth = 0) as changed, count(*) filter (where depth = 1) as direct, count(*) filter (where depth > 1) as indirect,
+ count(*) filter (where type = 'API_ROUTE' or regexp_matches(file, 'route|controller|api/', 'i') or regexp_matches(name, 'route|controller', 'i')) as apis,
+ count(distinct file) as files, coalesce(bool_or(depth <= 1 and {SENSITIVE}), false) as is_sensitive, (select count(*) from missing) as gaps, (select count(*) from tested) as tests from hit),
  s as (select *, least(100, 4 * changed + 3 * direct + indirect + 5 * apis + 6 * gaps + case when is_sensitive then 15 else 0 end)::bigint as score from r)
  select *, case when score >= 70 then 'Critical' when score >= 45 then 'Elevated' when score >= 20 then 'Moderate' else 'Low' end as level from s"""
 )
 def impact_report_row(spark, sf_dir):
-    hit = _hit(spark, sf_dir)
-    return impact.report(hit, impact.missing_tests(hit, _edges(spark, sf_dir)))
+    hit, tests, missing = _tests(spark, sf_dir)
+    return impact.report(hit, missing, tests)
 
 
 @_query(REACH + "select distinct file from hit")
@@ -165,34 +187,58 @@ def chain_4hop(spark, sf_dir):
     return graph.chain(src.nodes(spark, sf_dir).where("type = 'API_ROUTE'"), _edges(spark, sf_dir))
 
 
-LANGUAGE = "case regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1) when 'ts' then 'TypeScript' when 'py' then 'Python' when 'go' then 'Go' end"
-FILES = "files as (select source || '/' || doc_id || '.' || coalesce(case lang when 'en' then 'ts' when 'fr' then 'py' when 'de' then 'go' when 'es' then 'md' end, 'txt') as path, doc_id, text from documents)"
+def _list(values) -> str:
+    """Strings as a list of SQL."""
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in values) + "]"
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _cases(value: str, rules) -> str:
+    return "case " + " ".join(f"when regexp_matches({value}, {_text(p)}) then {_text(label)}" for p, label in rules) + " end"
+
+
+FILES = f"""files as (select replace({_list(src.PATHS)}[doc_id % {len(src.PATHS)} + 1], '{{n}}', doc_id::varchar) as path, doc_id as seq,
+ array_to_string(list_transform(range(12), lambda k: {_list(src.CODE)}[(doc_id * 7 + k * 5) % {len(src.CODE)} + 1]), chr(10)) as content from documents)"""
+SLASHED = "replace(path, '\\', '/')"
 
 
-@_query(f"with {FILES}, c as (select {LANGUAGE} as language, count(*) as n from files group by 1) select language, n, floor(100.0 * n / sum(n) over () + 0.5)::bigint as pct from c where language is not null qualify true".replace("from c where language is not null qualify true", "from (select * from c where language is not null)"))
+@_query(f"with {FILES}, c as (select {_cases(SLASHED, fn.INVENTORY)} as language, count(*) as n from files group by 1) select language, n, floor(100.0 * n / sum(n) over () + 0.5)::bigint as pct from (select * from c where language is not null)")
 def language_mix(spark, sf_dir):
     return tables.language_mix(src.files(spark, sf_dir))
 
 
-@_query(f"with {FILES}, k as (select path, regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1) as kind from files), r as (select *, row_number() over (partition by kind order by path) as r from k where kind not in ('ts', 'py', 'go')) select kind, count(*) as n, string_agg(path, ',' order by path) filter (where r <= 3) as examples from r group by kind order by n desc, kind limit 8")
+BASE = f"string_split({SLASHED}, '/')[-1]"
+
+
+@_query(
+    f"""with {FILES}, k as (select {SLASHED} as path, seq, coalesce({_cases(BASE, tables.KINDS)}, case when regexp_extract({BASE}, '\.([^.]*)$', 1) = '' then 'other' else lower(regexp_extract({BASE}, '\.([^.]*)$', 1)) end) as kind
+ from files where not regexp_matches({SLASHED}, {_text(paths.CODE_FILE)}) and not regexp_matches({SLASHED}, '(^|/)\.git/')),
+ r as (select *, row_number() over (partition by kind order by seq) as r from k where not regexp_matches(kind, {_text(tables.NOISE)})),
+ g as (select kind, count(*) as n, min(seq) as first, string_agg(path, ',' order by seq) filter (where r <= 3) as examples from r group by kind order by n desc, first limit 8) select kind, n, examples from g"""
+)
 def unsupported_groups(spark, sf_dir):
-    return tables.kind_groups(src.files(spark, sf_dir), ("ts", "py", "go"))
+    files = src.files(spark, sf_dir)
+    parsed = files.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path")).where(paths.is_code(F.col("path")))
+    return tables.kind_groups(files, parsed)
 
 
 def _findings(spark, sf_dir):
-    line = F.col("line")
-    d = src.table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    rule = F.when(line.rlike(r"(?i)(password|secret|api_key|token)\s*[=:]"), "secret_exposure").when(line.rlike(r"[#*$%&]{3}"), "symbol_noise").when(line.contains(" | "), "table_line")
-    found = d.select("doc_id", "source", "no", rule.alias("rule")).where("rule is not null")
-    return found.select("rule", F.when(F.col("rule") == "secret_exposure", "security").otherwise("quality").alias("category"), F.when(F.col("rule") == "secret_exposure", "critical").when(F.col("rule") == "symbol_noise", "medium").otherwise("info").alias("severity"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("file"), F.concat(F.col("rule"), F.lit(" at "), F.col("doc_id").cast("string")).alias("title"), (F.col("doc_id") * 1000000 + F.col("no")).alias("seq"))
+    return checks.line_findings(src.files(spark, sf_dir)).select("rule", "category", "severity", "file", "title", "seq", "id", "line", "evidence")
+
 
+def _line_rule(i: int) -> str:
+    rule, severity, title, most, held, never = checks.LINE_RULES[i]
+    when = " and ".join(f"regexp_matches(text, {_text(p)})" for p in held) + (f" and not regexp_matches(text, {_text(never)})" if never else "")
+    return f"select '{rule}' as rule, 'security' as category, '{severity}' as severity, path as file, '{title}' as title, seq * 1000000 + no * 10 + {i} as seq, '{rule}:' || path || ':' || (no + 1) || ':{title}' as id, no + 1 as line, trim(text)[1:{most}] as evidence from lines where {when}"
 
-FINDINGS = """lines as (select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as no from documents),
-f0 as (select *, case when regexp_matches(line, '(?i)(password|secret|api_key|token)\\s*[=:]') then 'secret_exposure' when regexp_matches(line, '[#*$%&]{3}') then 'symbol_noise' when contains(line, ' | ') then 'table_line' end as rule from lines),
-findings as (select rule, case rule when 'secret_exposure' then 'security' else 'quality' end as category, case rule when 'secret_exposure' then 'critical' when 'symbol_noise' then 'medium' else 'info' end as severity, source || '/' || doc_id as file, rule || ' at ' || doc_id as title, doc_id * 1000000 + no as seq from f0 where rule is not null)"""
 
+FINDINGS = f"{FILES}, lines as (select path, seq, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) - 1 as no from files), findings as (" + " union all ".join(_line_rule(i) for i in range(len(checks.LINE_RULES))) + ")"
 
-@_query(f"with {FINDINGS} select rule, category, severity, file, title, seq from findings")
+
+@_query(f"with {FINDINGS} select rule, category, severity, file, title, seq, id, line::int as line, evidence from findings")
 def line_findings(spark, sf_dir):
     return _findings(spark, sf_dir)
 
@@ -207,9 +253,9 @@ def rule_rollup(spark, sf_dir):
     return tables.rule_rollup(_findings(spark, sf_dir))
 
 
-@_query(f"with {FINDINGS} select rule, file, seq from findings where not (rule = 'table_line' and regexp_matches(file, '^src1/')) and not regexp_matches(file, '^src0/')")
+@_query(f"with {FINDINGS} select rule, file, seq from findings where not (rule = 'secret_exposure' and regexp_matches(file, '^src/[^/]*/[^/]*$')) and not regexp_matches(file, '^packages/(.*/)?[^/]*\\.tsx$')")
 def suppress_rules(spark, sf_dir):
-    rules = spark.createDataFrame([("table_line", "^src1/"), ("*", "^src0/")], "rule string, pattern string")
+    rules = spark.createDataFrame([("secret_exposure", paths.glob_pattern("src/*/*")), ("*", paths.glob_pattern("packages/**/*.tsx"))], "rule string, pattern string")
     return tables.suppress(_findings(spark, sf_dir), rules).select("rule", "file", "seq")
 
 
@@ -218,15 +264,20 @@ def cap_per_kind(spark, sf_dir):
     return tables.capped(_findings(spark, sf_dir), "rule", "seq", 8, 40).select("rule", "file", "seq")
 
 
-HISTORY = "h as (select o_custkey as repository_id, o_orderkey as run_id, o_orderdate as created_at, o_orderstatus as status, floor(o_totalprice)::bigint as impact from orders)"
+RUN_MEASURES = (*tables.MEASURES, "direct", "indirect")
+HISTORY = "h as (select o_custkey as repository_id, o_orderkey as run_id, o_orderdate as created_at, o_orderstatus as status, floor(o_totalprice)::bigint as impact, " + ", ".join(f"(floor(o_totalprice)::bigint + o_orderkey * {i + 3}) % {7 * i + 11} as {m}" for i, m in enumerate(RUN_MEASURES)) + " from orders)"
 
 
 @_query(f"with {HISTORY} select repository_id, run_id, created_at, status, impact from h qualify row_number() over (partition by repository_id order by created_at desc, run_id desc) = 1")
 def history_latest(spark, sf_dir):
-    return tables.latest(src.history(spark, sf_dir))
+    return tables.latest(src.history(spark, sf_dir)).select("repository_id", "run_id", "created_at", "status", "impact")
 
 
-@_query(f"with {HISTORY}, d as (select repository_id, run_id, impact - lag(impact) over (partition by repository_id order by created_at, run_id) as delta from h) select *, case when delta > 0 then 'larger' when delta < 0 then 'smaller' when delta = 0 then 'same' end as verdict from d")
+@_query(
+    f"with {HISTORY}, d as (select repository_id, run_id, "
+    + ", ".join(f"{m} - lag({m}) over w as d_{m}" for m in RUN_MEASURES)
+    + " from h window w as (partition by repository_id order by created_at, run_id)) select *, case when 2 * d_direct + d_indirect > 0 then 'increased' when 2 * d_direct + d_indirect < 0 then 'decreased' when 2 * d_direct + d_indirect = 0 then 'unchanged' end as verdict from d"
+)
 def history_deltas(spark, sf_dir):
     return tables.deltas(src.history(spark, sf_dir))
 
@@ -236,7 +287,11 @@ def sparkline(spark, sf_dir):
     return tables.sparkline(src.history(spark, sf_dir))
 
 
-@_query("select page_id, case when regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)', 1) = '' then 'http' else regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)', 1) end as host, case when regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1) end as path from pages")
+@_query(
+    """with u as (select page_id, url, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) as scheme, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#@]+)', 1)) as found from pages)
+ select page_id, case when found = '' then 'http' when ends_with(found, case scheme when 'http' then ':80' when 'https' then ':443' when 'ftp' then ':21' else ':none' end) then regexp_replace(found, ':\\d+$', '') else found end as host,
+ case when regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1) end as path from u"""
+)
 def host_extract(spark, sf_dir):
     return src.table(spark, sf_dir, "pages").select("page_id", fn.host(F.col("url")).alias("host"), fn.route_path(F.col("url")).alias("path"))
 
@@ -263,7 +318,7 @@ def metrics_p95(spark, sf_dir):
     return tables.metric_summary(src.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), "value", F.col("event_id").alias("seq")))
 
 
-@_query("with s as (select quality = 0 as truth, regexp_matches(coalesce(text, ''), '[#*$%&]{3}| [|] ') as hit from labels join documents using (doc_id)), c as (select count(*) filter (where truth and hit) as tp, count(*) filter (where not truth and hit) as fp, count(*) filter (where truth and not hit) as fn from s), p as (select *, tp::double / nullif(tp + fp, 0) as p, tp::double / nullif(tp + fn, 0) as r from c) select tp, fp, fn, round(p, 3) as precision, round(r, 3) as recall, round(2 * p * r / nullif(p + r, 0), 3) as f1 from p")
+@_query("with s as (select quality = 0 as truth, regexp_matches(coalesce(text, ''), '[#*$%&]{3}| [|] ') as hit from labels join documents using (doc_id)), c as (select count(*) filter (where truth and hit) as tp, count(*) filter (where not truth and hit) as fp, count(*) filter (where truth and not hit) as fn from s), p as (select *, tp::double / nullif(tp + fp, 0) as p, tp::double / nullif(tp + fn, 0) as r from c) select tp, fp, fn, round(p, 3) as precision, round(r, 3) as recall, round(2 * p * r / nullif(p + r, 0), 3) as f1, round(tp::double / nullif(tp + fp + fn, 0), 3) as accuracy from p")
 def precision_recall(spark, sf_dir):
     s = src.table(spark, sf_dir, "labels").join(src.table(spark, sf_dir, "documents"), "doc_id")
     return tables.precision_recall(s.select((F.col("quality") == 0).alias("truth"), F.coalesce(F.col("text"), F.lit("")).rlike(r"[#*$%&]{3}| [|] ").alias("hit")))
@@ -274,6 +329,6 @@ def stable_sample(spark, sf_dir):
     return tables.stable_sample(_edges(spark, sf_dir), "type", "id", 10, "seed1").select("id", "type")
 
 
-@_query("select doc_id, (1 + len(regexp_extract_all(text, '\\b(if|for|while|case|catch|and|or)\\b')))::int as complexity from documents")
+@_query(f"with {FILES} select path, (1 + len(regexp_extract_all(array_to_string(string_split(content, chr(10))[2:9], chr(10)), {_text(fn.BRANCH)})))::int as complexity from files")
 def cyclomatic(spark, sf_dir):
-    return src.table(spark, sf_dir, "documents").select("doc_id", fn.complexity(F.col("text")).alias("complexity"))
+    return src.files(spark, sf_dir).select("path", fn.complexity(fn.span(F.col("content"), F.lit(2), F.lit(9))).alias("complexity"))
