@@ -147,3 +147,29 @@ def stable_sample(rows: DataFrame, by: str, key: str, each: int, seed: str) -> D
     """The rows of each kind whose seeded sha256 comes first."""
     w = Window.partitionBy(by).orderBy(F.sha2(F.concat(F.lit(seed), F.col(key)), 256))
     return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= each).drop("r")
+
+
+def relationship_scores(rows: DataFrame) -> DataFrame:
+    """Of classified relationships (type, class, soft): scores of each type and of all. Soft rows only count as misses; an
+    edge of low confidence counts as found for recall."""
+    hard = lambda *names: F.count_if(~F.col("soft") & F.col("class").isin(*names))
+    missed = ("MISSING_EDGE", "WRONG_TARGET", "WRONG_TYPE")
+    both = rows.select(F.explode(F.array(F.col("type"), F.lit("overall"))).alias("type"), "class", "soft")
+    counts = both.groupBy("type").agg(
+        hard("TRUE_POSITIVE").alias("tp"),
+        hard("FALSE_POSITIVE").alias("fp"),
+        hard(*missed).alias("fn"),
+        hard("LOW_CONFIDENCE").alias("low"),
+        F.count_if(F.col("soft") & F.col("class").isin(*missed, "LOW_CONFIDENCE")).alias("soft_misses"),
+    )
+    third = lambda c: F.floor(c * 1000 + 0.5) / 1000
+    precision = F.try_divide("tp", F.col("tp") + F.col("fp"))
+    recall = F.try_divide(F.col("tp") + F.col("low"), F.col("tp") + F.col("low") + F.col("fn"))
+    return counts.withColumns({"precision": third(precision), "recall": third(recall)})
+
+
+def cross_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between nodes of different types, by both types."""
+    of = lambda end: nodes.select(F.col("id").alias(end), F.col("type").alias(f"{end}_type"))
+    typed = edges.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst")
+    return typed.where("src_type <> dst_type").groupBy("src_type", "dst_type").agg(F.count("*").alias("n"))

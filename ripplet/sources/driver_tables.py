@@ -67,7 +67,7 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Forms of paths; {n} is a document's number.
 PATHS = (
-    "apps/web/src/app/api/users/[id]/route.ts",
+    "apps/web/src/app/api/users{n}/[id]/route.ts",
     "apps/web/src/app/api/files{n}/[[...slug]]/route.ts",
     "src/pages/api/orders{n}/index.ts",
     "src/pages/api/all{n}/[...rest].ts",
@@ -132,6 +132,56 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(path.alias("path"), n.alias("seq"), F.array_join(lines, "\n").alias("content"))
 
 
+def symbols(files: DataFrame) -> DataFrame:
+    """path, seq, kind, owner, name, exported, start_line, end_line, complexity: four symbols in each file."""
+    n, i = F.col("seq"), F.col("i")
+    at = lambda *values: F.element_at(F.array(*values), (i + 1).cast("int"))
+    start = (1 + (n + i * 3) % 6).cast("int")
+    return files.select("path", "seq", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select(
+        "path",
+        "seq",
+        at(*map(F.lit, ("FUNCTION", "CLASS", "METHOD", "FUNCTION"))).alias("kind"),
+        F.when(i == 2, "Store").alias("owner"),
+        at(F.concat(F.lit("run"), (n % 5).cast("string")), F.lit("Store"), F.lit("save"), F.lit("get")).alias("name"),
+        (n % 3 != i % 3).alias("exported"),
+        start.alias("start_line"),
+        (start + 2 + (i * n) % 300).cast("int").alias("end_line"),
+        ((n * (i + 1)) % 31).cast("int").alias("complexity"),
+    )
+
+
+def env_variables(files: DataFrame) -> DataFrame:
+    """path, name of the environment variables that a text reads by either form."""
+    forms = (r"process\.env\.([A-Z0-9_]+)", r"process\.env\[[\"']([A-Z0-9_]+)[\"']\]")
+    found = F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in forms])
+    return files.select("path", F.explode(found).alias("name")).distinct()
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """path, specifier, names: five imports in each file."""
+    n = F.col("seq")
+    number = lambda x: x.cast("string")
+    specifiers = F.array(
+        F.concat(F.lit("./path"), number(n), F.lit(".x")),
+        F.concat(F.lit("../services/billing"), number(n - 5)),
+        F.concat(F.lit("../../packages/core/src/auth/session"), number(n - 1), F.lit(".ts")),
+        F.lit("react"),
+        F.concat(F.lit("./util"), number(n + n % 2)),
+    )
+    return files.select("path", F.explode(specifiers).alias("specifier"), F.array(F.lit("save"), F.lit("Store"), F.concat(F.lit("run"), number(n % 5))).alias("names"))
+
+
+def patches(files: DataFrame) -> DataFrame:
+    """path, patch, status: a patch of two hunks for each file."""
+    n = F.col("seq")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    hunk = lambda old, new, end: F.concat(F.lit("@@ -"), old.cast("string"), F.lit(end[0] + " +"), new.cast("string"), F.lit(end[1]))
+    second = hunk(40 + n % 5, 50 + n % 3, ("", " @@ fn"))
+    lines = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == 5, second).otherwise(F.concat(pick((" ", "+", "-", "+"), n + k), pick(CODE, n * 3 + k * 2))))
+    patch = F.concat_ws("\n", F.lit("diff --git"), hunk(n % 9 + 1, n % 7 + 1, (",6", ",7 @@")), F.array_join(lines, "\n"))
+    return files.select("path", patch.alias("patch"), pick(("modified", "added", "modified", "renamed", None), n).alias("status"))
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a repository over time, with the measures of a snapshot: orders of a customer."""
     key, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")

@@ -1,6 +1,6 @@
 import pytest
 
-from ripplet.plans import catalog
+from ripplet.plans import catalog, rules  # noqa: F401
 from tests.compare import duck, of_spark, of_sql
 
 SF = "/root/testdata/sf0.01"
