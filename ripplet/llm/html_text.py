@@ -26,19 +26,36 @@ AWAY_NAMES = frozenset("ad ads adv advert adverts advertisement advertisements a
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: What an implied end doesn't reach over.
 FENCE = frozenset("table ul ol dl div article section body blockquote td th main".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: The same, but a tag ends before the next one even if a quote is open.
+_STRICT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>", re.S)
+#: So many tags without an end are read on to the end of the page; from then on they are read as _STRICT has it, so that the
+#: time for a page of such tags grows with its length only.
+OPEN = 20
+_NAME = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s|$)|[。！？]")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _next(page: str, at: int, open_tags: list[int]) -> re.Match[str] | None:
+    """The next comment, declaration or tag from a place on; open_tags counts those without an end."""
+    while (at := page.find("<", at)) >= 0:
+        found = (_TOKEN if open_tags[0] < OPEN else _STRICT).match(page, at)
+        if found:
+            return found
+        open_tags[0] += page[at + 1 : at + 2] in "/!?" or page[at + 1 : at + 2].isalpha()
+        at += 1
+    return None
+
+
 class _Node:
-    __slots__ = ("away", "blocks", "holds", "link", "mark", "parent", "prose", "score", "size", "tag", "told")
+    __slots__ = ("away", "byline", "holds", "link", "mark", "parent", "prose", "score", "size", "tag", "told")
 
     def __init__(self, tag: str, parent: _Node | None, away: bool, mark: int = 0) -> None:
         self.tag, self.parent, self.away, self.mark, self.holds = tag, parent, away, mark, False
         self.score, self.size, self.link, self.told, self.prose = 0.0, 0, 0, False, False
+        self.byline = tag == "header" or parent is not None and parent.byline
 
     def plain(self) -> bool:
         return self.link < 0.25 * self.size
@@ -70,6 +87,14 @@ def _mark(tag: str, attributes: str, inside: bool) -> int:
     return mark
 
 
+def _in_heading(node: _Node | None) -> bool:
+    while node and node.tag != "header":
+        if node.tag in HEADINGS:
+            return True
+        node = node.parent
+    return False
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page; "" for none.
 
@@ -79,6 +104,8 @@ def main_text(page: str | None) -> str:
     of that is kept, however long it is. Beside the winner lists, quotes, sections and paragraphs stay if under a quarter
     of them is links, other elements if they have a sentence as well or 10 points, and headings of what stays.
 
+    Of a header inside an article only headings stay; other headers go.
+
     An element that is named as something else is left out unless it holds an article or main. If only a part of a name
     says so, its points count half, and it stays if under a quarter of it is links and, beside the winner, with 10 points.
     """
@@ -97,14 +124,15 @@ def main_text(page: str | None) -> str:
                 node = now
                 while node.tag not in BLOCK and node.parent:
                     node = node.parent
-                blocks.append((node, said, min(links, len(said))))
+                if not node.byline or _in_heading(node):
+                    blocks.append((node, said, min(links, len(said))))
             text.clear()
         links = 0
 
     at, n = 0, len(page)
-    inside = 0
+    inside, open_tags = 0, [0]
     while at < n:
-        found = _TOKEN.search(page, at)
+        found = _next(page, at, open_tags)
         stop = found.start() if found else n
         if stop > at and not now.away:
             text.append(page[at:stop])
@@ -276,5 +304,6 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page (page_id, url, html); no shuffle.
 
     Null and empty html give an empty text. Null or repeated ids and urls each keep their row; other columns are ignored.
+    Very long pages are read whole, in time that grows with their length, broken markup included. No pages give no rows.
     """
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

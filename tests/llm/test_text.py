@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -219,3 +220,46 @@ def test_main_text_keeps_the_same_parts_of_short_and_long_pages(outer):
         text = html_text.main_text(outer.format(body))
         assert [x for x in parts if x not in text] == [] and text.count("Some words") == 5 * n and "Next, one" not in text
         assert ("Other page" in text) == ("body" not in outer) and ("More of this" in text) == ("body" not in outer)
+
+
+def test_main_text_of_body_level_parts_and_an_articles_header():
+    para = "<p>" + "Some text, long enough, to be the main one. " * 4 + "</p>"
+    inner = f"<h1>T</h1>{para}<p>Short line.</p>{para}<h2>Second</h2><p>Brief words</p>"
+    around = "<nav><a href=x>Menu</a></nav><header><p>Site, name.</p></header>{}<div class=sidebar><p>Side, text.</p></div>"
+    for outer in ("{}", "<div data-id='ad-41'>{}</div>", "<div class='layout has-sidebar'>{}</div>", "<div class='elementor-widget x-post-content'>{}</div>"):
+        text = html_text.main_text("<body>" + around.format(outer.format(inner)))
+        assert text.startswith("T Some") and text.endswith("Second Brief words") and "Short line." in text
+    text = html_text.main_text(f"<article><header><h1>T</h1><p>By someone, yesterday.</p></header>{para}</article>")
+    assert text.startswith("T Some") and "someone" not in text
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a '\"", "<!x", "</b ", "<a b='<i>"])
+def test_main_text_of_a_megabyte_of_broken_markup_takes_little_time(part):
+    import time
+
+    start = time.process_time()
+    html_text.main_text("<p>Text.</p>" + part * (1_000_000 // len(part)))
+    assert time.process_time() - start < 4
+
+
+def test_extract_keeps_every_row_and_ignores_other_columns(spark):
+    page = "<article><p>One, two.</p></article>"
+    rows = [(1, "u", page, 1), (1, "u", page, 2), (None, None, page, 3), (2, "v", None, 4), (3, "w", "", 5), (4, "x", "<p>" + "word " * 60_000, 6)]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert sorted((str(r.page_id), str(r.url), r.n_chars) for r in found) == [("1", "u", 9), ("1", "u", 9), ("2", "v", 0), ("3", "w", 0), ("4", "x", 299_999), ("None", "None", 9)]
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_marginals_in_parts_are_those_of_one_grid():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    scores = [rng.normal(size=n) for n in (1, 7, 3, 40, 2, 40, 11)]
+    whole, parts = line_crf._marginals(scores, line_crf.CHAIN), line_crf._marginals(scores, line_crf.CHAIN, 50)
+    assert all(np.allclose(a, b) for a, b in zip(whole[0], parts[0], strict=True)) and np.allclose(whole[1], parts[1])
+
+
+def test_site_quality_leaves_a_document_out_of_its_own_path(spark):
+    docs = spark.createDataFrame([(1, "w " * 80, "h/a"), (2, "w " * 80, "h/b"), (2, "x", "h/b"), (None, None, None)], "doc_id long, text string, source string").withColumn("lang", F.lit(None).cast("string"))
+    rows = site_quality.site_quality(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert len(rows) == 4 and len({r.quality_score for r in rows}) > 0 and all(0 < r.quality_score < 1 for r in rows)
