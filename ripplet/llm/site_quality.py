@@ -57,13 +57,20 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _posteriors(own: Column, n_own: Column) -> tuple[Column, Column]:
+    """A host's and a path's mean score without a part of their documents, each shrunk to the level above it."""
+    host = (F.col("host_s") - own + F.col("k") * F.col("mean")) / (F.col("host_n") - n_own + F.col("k"))
+    return host, (F.col("s") - own + F.col("path_k") * host) / (F.col("n") - n_own + F.col("path_k"))
+
+
 def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = 3000, weight: float = 0.5, least: float = 0.5) -> DataFrame:
     """Every document's quality from its text, host and path.
 
     Returns doc_id, host, path, doc_score, host_posterior, path_posterior, quality_score, kept. The classifier is fitted
     to at most `sample` labelled documents (doc_id, quality); it scores every whole text. A host's posterior is the mean
     of its documents' scores, shrunk to the corpus mean by a pseudo-count from the spread between hosts; a path's is
-    shrunk to its host's. The score adds `weight` times the path's log-odds over the corpus's to the document's own.
+    shrunk to its host's. The score adds `weight` times the path's log-odds over the corpus's, as the path's other documents
+    give them (the host's if there are none), to the document's own.
     By default the host is `source` up to the first slash, the path what follows up to the next, or lang if nothing does.
     Null hosts or paths are one group, ""; null texts have no words. Null or repeated doc_ids each get their row; other
     columns are ignored; no rows give none. Sums by path are made before each shuffle and join back by a key that AQE can
@@ -82,11 +89,17 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
     whole = hosts.agg(F.sum("host_n").alias("all_n"), F.sum("host_s").alias("all_s"), F.sum(F.col("host_s") ** 2 / F.col("host_n")).alias("squares"))
     mean = F.col("all_s") / F.col("all_n")
     whole = whole.select(mean.alias("mean"), _strength(mean, F.col("squares") / F.col("all_n") - mean**2).alias("k"))
-    hosts = hosts.join(F.broadcast(whole)).withColumn("host_posterior", (F.col("host_s") + F.col("k") * F.col("mean")) / (F.col("host_n") + F.col("k")))
+    hosts = hosts.join(F.broadcast(whole))
     paths = paths.join(hosts, "host")
     spread = F.col("n") * (F.col("s") / F.col("n") - F.col("host_s") / F.col("host_n")) ** 2
     inner = paths.agg((F.sum(spread) / F.sum("n")).alias("between"), F.first("mean").alias("m")).select(_strength(F.col("m"), F.col("between")).alias("path_k"))
-    paths = paths.join(F.broadcast(inner)).select("host", "path", "mean", "host_posterior", ((F.col("s") + F.col("path_k") * F.col("host_posterior")) / (F.col("n") + F.col("path_k"))).alias("path_posterior"))
-    odds = _logit(F.col("p")) + F.lit(weight) * (_logit(F.col("path_posterior")) - _logit(F.col("mean")))
+    paths = paths.join(F.broadcast(inner))
+    # What is shown of a group holds all its documents; a document's own score leaves itself out, as it is counted beside.
+    host_all, path_all = _posteriors(F.lit(0.0), F.lit(0))
+    sums = ("n", "s", "host_n", "host_s", "mean", "k", "path_k")
+    paths = paths.select("host", "path", *sums, host_all.alias("host_posterior"), path_all.alias("path_posterior"))
+    joined = scored.join(paths, ["host", "path"])
+    odds = _logit(F.col("p")) + F.lit(weight) * (_logit(_posteriors(F.col("p"), F.lit(1))[1]) - _logit(F.col("mean")))
     score = F.round(1 / (1 + F.exp(-odds)), 9)
-    return scored.join(paths, ["host", "path"]).select("doc_id", "host", "path", F.round("p", 9).alias("doc_score"), F.round("host_posterior", 9).alias("host_posterior"), F.round("path_posterior", 9).alias("path_posterior"), score.alias("quality_score"), (score >= least).alias("kept"))
+    shown = [F.round(c, 9).alias(n) for c, n in (("p", "doc_score"), ("host_posterior", "host_posterior"), ("path_posterior", "path_posterior"))]
+    return joined.select("doc_id", "host", "path", *shown, score.alias("quality_score"), (score >= least).alias("kept"))
