@@ -87,9 +87,23 @@ def viterbi(scores: np.ndarray, chain: np.ndarray) -> np.ndarray:
     return out
 
 
-def _marginals(scores: list[np.ndarray], chain: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """P(content) of each line, and the expected stays, changes and contents at the start, by forward-backward over all
-    sequences at once, the longest first."""
+def _marginals(scores: list[np.ndarray], chain: np.ndarray, cells: int = 400_000) -> tuple[list[np.ndarray], np.ndarray]:
+    """P(content) of each line, and the expected stays, changes and contents at the start. Sequences of like length go
+    together, as many as make `cells` lines with their padding, so that one long text makes no grid of all its size."""
+    order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
+    out: list[np.ndarray] = [np.zeros(0)] * len(scores)
+    total, at = np.zeros(3), 0
+    while at < len(order):
+        some = order[at : at + max(1, cells // len(scores[order[at]]))]
+        found, expected = _grid([scores[i] for i in some], chain)
+        for i, p in zip(some, found, strict=True):
+            out[i] = p
+        total, at = total + expected, at + len(some)
+    return out, total
+
+
+def _grid(scores: list[np.ndarray], chain: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """_marginals() by forward-backward over all sequences at once, the longest first."""
     order = np.argsort([-len(s) for s in scores], kind="stable")
     lengths = np.array([len(scores[i]) for i in order])
     most = lengths[0]
@@ -186,7 +200,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, sample: int
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share. A null
     text has no words and fails. The field is fitted to at most `sample` labelled documents (doc_id, quality); with no
-    labels of both kinds it keeps its prior weights. A document is kept if it passes the base rules and at least
+    labels of both kinds it keeps its prior weights; long texts are fitted and judged whole. A document is kept if it passes the base rules and at least
     `least_content` of its characters are in content lines. Null or repeated doc_ids each get their row; other columns
     are ignored; an empty table gives no rows.
     """

@@ -130,7 +130,6 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, en
     """
     pieces = written(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer or vocabulary(), end, capacity), PIECES), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    order = [F.col("doc_id").asc_nulls_first(), F.col("piece"), F.col("start")]
     numbered = gapless_rank(pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "__number")
     columns = [x.split()[0] for x in PIECES.split(", ")]
     return numbered.select(*columns, "__number").mapInArrow(_place(plan(counts, capacity)), PIECES + ", sequence_id long, offset long")
