@@ -11,7 +11,7 @@ order of the suffixes, and they have one inner name. So segments are brought tog
 that agree on their whole phrases), and those whose inner name is single are settled: no window of theirs repeats.
 Segments with one outer name repeat as a whole. Where one inner name has several outer ones, the copies leave each other
 inside the first or the last phrase; there the windows of one segment for each outer name (the dictionary's entry) are
-told apart start by start. A name is an order-less rank: unlike a lexicographic one it needs no sort over all suffixes,
+told apart, in runs of neighbouring starts as long as a run's common string is single, then start by start. A name is an order-less rank: unlike a lexicographic one it needs no sort over all suffixes,
 and equal names stand for equal strings just as equal ranks do.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplet.llm.common import written
+from ripplet.llm.common import discard, written
 from ripplet.llm.encoding import portions
 
 TRIGGER, PHRASE_BITS, WEAK = 16, 6, 128
@@ -70,9 +70,9 @@ class Bytes:
 
 
 def segments(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(start, number of starts, inner name, outer name, bare) of the segments of texts that stand one after another in
-    data and end at ends. bare: no trigger in the windows, so nothing settles them but their bytes."""
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, bool))
+    """(start, number of starts, inner name, outer name, bare, inner start less start) of the segments of texts that stand
+    one after another in data and end at ends. bare: no trigger in the windows, so nothing settles them but their bytes."""
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, bool, np.int64))
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     last = ends - width  # the last start of each text
     some = last >= starts
@@ -100,7 +100,7 @@ def segments(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray
     if not len(trigger):
         bare = np.ones(len(p), bool)
         inner = outer = text.name(1, p, stop - 1 + width)
-        return p, stop - p, inner, outer, bare
+        return p, stop - p, inner, outer, bare, np.zeros(len(p), np.int64)
     lead = trigger[np.minimum(first, len(trigger) - 1)]
     tail = trigger[np.maximum(after - 1, 0)] + TRIGGER
     weak = (after > first) & (tail - lead < WEAK)
@@ -115,7 +115,7 @@ def segments(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray
     b = np.where(weak, np.where(right, lead + half, lead), tail)
     a, b = np.where(bare, p, a), np.where(bare, stop - 1 + width, b)
     outer = text.name(1, p, stop - 1 + width)
-    return p, stop - p, text.name(0, a, b), outer, bare
+    return p, stop - p, text.name(0, a, b), outer, bare, a - p
 
 
 def _buffer(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,38 +127,63 @@ def _parse(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for part in portions(texts):
                 data, ends = _buffer(texts[part])
-                p, n, inner, outer, bare = segments(data, ends, width)
+                p, n, inner, outer, bare, lead = segments(data, ends, width)
                 of = np.searchsorted(ends, p, "right")
                 at = p - np.concatenate([[0], ends])[of]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64)), pa.array(bare), pa.array(doc[part][of]), pa.array(key[part][of]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["inner", "outer", "bare", "doc", "key", "at", "n"],
-                )
+                names = [pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64)), pa.array(bare)]
+                places = [pa.array(k1[part][of]), pa.array(k2[part][of]), *[pa.array(x.astype(np.int32)) for x in (at, n, lead)]]
+                yield pa.RecordBatch.from_arrays([*names, *places], ["inner", "outer", "bare", "k1", "k2", "at", "n", "lead"])
 
     return parse
 
 
-def _windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From text and segments (at, n, inner, outer, times) to a row for each start."""
+#: Windows whose starts differ by fewer bytes go together as long as nothing tells that they repeat.
+RUN = 8
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _runs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From text and segments (at, n, lead, bare, entry, times) to a row for each run of starts: the two names of what all
+    its windows hold, and the two names of each window. Runs are counted from the inner string, which equal windows hold
+    at one place; the windows of a bare segment are runs of their own."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, segs in zip(batch.column(0), batch.column(1), strict=True):
-                data = np.frombuffer((raw.as_py() or "").encode(), np.uint8)
-                text = Bytes(data)
-                s = {f: segs.values.field(f).to_numpy() for f in ("at", "n", "inner", "outer", "times")}
+                text = Bytes(np.frombuffer((raw.as_py() or "").encode(), np.uint8))
+                s = {f: segs.values.field(f).to_numpy(zero_copy_only=False) for f in ("at", "n", "lead", "bare", "entry", "times")}
                 n = s["n"].astype(np.int64)
+                of = np.repeat(np.arange(len(n)), n)
                 off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                p = np.repeat(s["at"], n) + off
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(text.name(0, p, p + width).view(np.int64)), pa.array(text.name(1, p, p + width).view(np.int64)), *[pa.array(np.repeat(s[f], n)) for f in ("inner", "outer", "times")], pa.array(off.astype(np.int32))],
-                    ["a", "b", "inner", "outer", "times", "off"],
-                )
-
-    return windows
+                p = s["at"].astype(np.int64)[of] + off
+                bare = s["bare"][of]
+                run = np.where(bare, off, (s["lead"][of] - off) // RUN)
+                new = np.concatenate([[True], (of[1:] != of[:-1]) | (run[1:] != run[:-1])])
+                first = np.flatnonzero(new)
+                left = np.where(bare, p, s["at"].astype(np.int64)[of] + s["lead"][of] - RUN * run)[first]
+                right = np.where(bare[first], left + width, left - RUN + 1 + width)
+                names = np.stack([text.name(k, p, p + width) for k in (0, 1)], 1)
+                bounds = pa.py_buffer((np.append(first, len(p)) * 16).astype(np.int32).tobytes())
+                blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, bounds, pa.py_buffer(names.tobytes())])
+                cores = [pa.array(text.name(k, left, right).view(np.int64)) for k in (0, 1)]
+                rest = [pa.array(s["entry"][of][first]), pa.array(s["times"][of][first]), pa.array(off[first].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*cores, *rest, blobs], ["a", "b", "entry", "times", "off", "names"])
+
+    return runs
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From runs (entry, times, off, names) to a row for each window."""
+    for batch in batches:
+        blobs = batch.column(3).to_pylist()
+        n = np.array([len(x) // 16 for x in blobs], np.int64)
+        names = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        entry, times, off = (np.repeat(batch.column(i).to_numpy(), n) for i in range(3))
+        columns = (np.ascontiguousarray(names[:, 0]), np.ascontiguousarray(names[:, 1]), entry, times, (off + inside).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "entry", "times", "off"])
 
 
 def cover(size: int, at: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
@@ -188,31 +213,51 @@ def _remove(width: int, texts_too: bool) -> Callable[[Iterator[pa.RecordBatch]],
     return remove
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Those of the rows (a, b, times, ...) whose names (a, b) others have too or that stand for several segments."""
+    several = rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("times").alias("m")).where("c > 1 or m > 1")
+    return rows.join(several.select("a", "b"), ["a", "b"], "left_semi")
+
+
 def remove_repeats(docs: DataFrame, width: int = 400, with_bytes: bool = False) -> DataFrame:
     """Removes each byte that a string of `width` bytes covers which also starts anywhere else in the corpus.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, stop in bytes), and kept (the bytes left;
     null unless with_bytes). A null text is an empty one; a text shorter than `width` stays whole. Rows repeated with
-    doc_id and text count as copies of each other. Null doc_ids are kept; other columns are ignored.
+    doc_id and text count as copies of each other. Null doc_ids are kept, very long texts are parsed whole; other columns
+    are ignored; no rows give none. Equality is that of names: two 64-bit hashes for rows and windows; segments that repeat
+    as a whole agree in an inner and an outer 64-bit hash (one in bare ones).
 
     No shuffle holds a window or a text more than once: segments (about 2 for every 64 bytes) are counted by inner name
-    with partial sums, and only those with a repeated one are shuffled further.
+    with partial sums, and only those with a repeated one go on; windows that can't be settled so are first told apart in
+    runs of RUN, then one by one.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc"), F.hash("text").alias("key"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    parse = rows.select("doc", "key", "text").mapInArrow(_parse(width), "inner long, outer long, bare boolean, doc long, key int, at int, n int")
+    ident = {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(7), "doc_id", "text")}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(ident)
+    place = ("k1", "k2", "at", "n", "lead", "bare")
+    schema = "inner long, outer long, bare boolean, k1 long, k2 long, at int, n int, lead int"
+    parse = written(rows.select("k1", "k2", "text").mapInArrow(_parse(width), schema), "parse")
     again = parse.where("not bare").groupBy("inner").count().where("count > 1").select("inner")
-    found = written(parse.where("not bare").join(again, "inner").union(parse.where("bare")), "segments")
+    found = written(parse.where("not bare").join(again, "inner", "left_semi").unionByName(parse.where("bare")), "segments")
+    discard(parse)
     # The dictionary: one entry for each outer name, with its first place.
-    entries = written(found.groupBy("inner", "outer").agg(F.count("*").alias("times"), F.min(F.struct("doc", "key", "at", "n", "bare")).alias("first")), "entries")
+    entries = found.groupBy("inner", "outer").agg(F.count("*").alias("times"), F.min(F.struct(*place)).alias("first"))
+    entries = written(entries.withColumn("entry", F.monotonically_increasing_id()), "entries")
     several = entries.groupBy("inner").agg(F.min("outer").alias("lo"), F.max("outer").alias("hi")).where("lo < hi").select("inner")
     open_ = entries.join(several, "inner", "left_semi").union(entries.where("first.bare").join(several, "inner", "left_anti"))
-    lists = open_.groupBy(F.col("first.doc").alias("doc"), F.col("first.key").alias("key")).agg(F.collect_list(F.struct("first.at", "first.n", "inner", "outer", "times")).alias("segs"))
-    starts = written(rows.dropDuplicates(["doc", "key"]).join(lists, ["doc", "key"]).select("text", "segs").mapInArrow(_windows(width), "a long, b long, inner long, outer long, times long, off int"), "starts")
-    double = starts.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("times").alias("m")).where("c > 1 or m > 1").select("a", "b")
-    single = entries.where("times = 1").select("inner", "outer", "first")
-    parts = starts.where("times = 1").join(double, ["a", "b"]).select("inner", "outer", "off")
-    partly = parts.join(single, ["inner", "outer"]).select("first.doc", "first.key", (F.col("first.at") + F.col("off")).alias("at"), F.lit(1).alias("n"))
-    whole = found.join(entries.where("times > 1").select("inner", "outer"), ["inner", "outer"]).select("doc", "key", "at", "n")
-    spans = whole.union(partly).groupBy("doc", "key").agg(F.collect_list(F.struct("at", "n")).alias("found"))
-    return rows.join(spans, ["doc", "key"], "left").select("doc_id", "text", "found").mapInArrow(_remove(width, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>, kept binary")
+    seg = F.struct("first.at", "first.n", "first.lead", "first.bare", "entry", "times")
+    lists = open_.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list(seg).alias("segs"))
+    texts = rows.join(lists, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    shape = "entry long, times long, off int"
+    runs = written(texts.select("text", "segs").mapInArrow(_runs(width), f"a long, b long, {shape}, names binary"), "runs")
+    starts = _repeated(runs).select("entry", "times", "off", "names").mapInArrow(_starts, f"a long, b long, {shape}")
+    starts = written(starts, "starts")
+    discard(runs)
+    parts = written(_repeated(starts).where("times = 1").select("entry", "off"), "window-starts")
+    discard(starts)
+    partly = parts.join(entries.select("entry", "first"), "entry")
+    partly = partly.select("first.k1", "first.k2", (F.col("first.at") + F.col("off")).alias("at"), F.lit(1).alias("n"))
+    whole = found.join(entries.where("times > 1").select("inner", "outer"), ["inner", "outer"], "left_semi").select("k1", "k2", "at", "n")
+    spans = whole.union(partly).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n")).alias("found"))
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>, kept binary"
+    return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "found").mapInArrow(_remove(width, with_bytes), result)

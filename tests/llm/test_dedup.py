@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ripplet.llm import line_dedup, near_dup, repeats
 from ripplet.llm.components import components
@@ -111,6 +112,19 @@ def test_remove_repeats_has_the_bytes_of_brute_force(spark, seed):
     assert rows == {i: x for (i, _), x in zip(docs, brute.kept_bytes([t for _, t in docs], 60), strict=True)}
 
 
+def test_remove_repeats_at_width_400_with_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    shared = [" ".join(prose(rng, n)) for n in (60, 75, 200, 3000)]
+    docs: list[tuple[int | None, str | None]] = [(None, None), (None, ""), (7, "ab" * 400), (7, "é" * 700), (None, "x" * 1000)]
+    for i in range(24):
+        parts = [" ".join(prose(rng, rng.randrange(1, 120))) for _ in range(3)]
+        docs.append((rng.choice([None, 5, i]), rng.choice(shared).join(parts)))
+    docs += [docs[10], docs[11], (None, docs[12][1])]
+    rows = repeats.remove_repeats(table(spark, docs).withColumn("at", F.lit(1)).withColumn("inner", F.lit(2)), 400).collect()
+    expected = [(i, *x) for (i, _), x in zip(docs, brute.kept_bytes([t for _, t in docs], 400), strict=True)]
+    assert sorted(map(str, (tuple(r[:5]) for r in rows))) == sorted(map(str, expected))
+
+
 def test_remove_repeats_of_nothing(spark):
     assert repeats.remove_repeats(table(spark, [])).collect() == []
 
