@@ -73,3 +73,32 @@ def missing_tests(hit: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFra
     left = direct.join(covered.withColumnRenamed("dst", "id"), "id", "left_anti")
     by_file = covered.select(F.col("dst").alias("file_id"))
     return left.withColumn("file_id", F.concat(F.lit("FILE:"), "file")).join(by_file, "file_id", "left_anti").select("id", "name", "file")
+
+
+def explain(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, hop, src, dst, type): the edges along the path of each found node, by the first edge of each pair."""
+    first = edges.groupBy("src", "dst").agg(F.min_by("type", "seq").alias("type"))
+    steps = F.arrays_zip(F.slice("path", F.lit(2), F.size("path")).alias("src"), F.slice("path", F.lit(1), F.size("path") - 1).alias("dst"))
+    hops = found.select("id", F.posexplode(steps).alias("hop", "s")).select("id", "hop", "s.src", "s.dst")
+    return hops.join(first, ["src", "dst"], "left")
+
+
+#: Nodes whose paths tell most.
+TELLING = ("API_ROUTE", "CONTROLLER", "COMPONENT")
+
+
+def why(hit: DataFrame) -> DataFrame:
+    """The impacted node (with path and order) that explains a change best: a telling one, indirect before direct, in the
+    order they were found; else the first with a path."""
+    telling = F.col("type").isin(*TELLING) | F.col("name").rlike("(?i)login|admin|auth|payment")
+    able = hit.where("depth > 0").where(telling | (F.size("path") > 1))
+    best = F.struct((~telling).alias("late"), (F.col("depth") <= 1).alias("direct"), "depth", "order")
+    return able.agg(F.min_by(F.struct("id", "name", "path"), best).alias("w")).where("w is not null").select("w.*")
+
+
+def change_seeds(changed: DataFrame, symbols: DataFrame, most: int = 12) -> DataFrame:
+    """(path, id) of what changed files (path) stand for: their symbols (path, id) if there are 1 to `most`, else the file."""
+    held = changed.join(symbols.groupBy("path").agg(F.count("*").alias("n")), "path", "left")
+    few = F.coalesce(F.col("n").between(1, most), F.lit(False))
+    files = held.where(~few).select("path", F.concat(F.lit("FILE:"), "path").alias("id"))
+    return held.where(few).select("path").join(symbols, "path").select("path", "id").union(files)
