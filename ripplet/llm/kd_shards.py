@@ -78,16 +78,22 @@ def shards(docs: DataFrame, n_shards: int | None = 24, target_bytes: int | None
     Size: the text's UTF-8 bytes plus 8, 8 for a null text. The dimensions are lang, source (both by crc32, so that equal
     values lie together), and the logarithm of n_chars; nulls count as the least. Returns doc_id, size, text_crc32
     (null text: that of an empty one), law, shard, slot (0, 1, ... in the shard) and grown_shard (null: only the `key`
-    law has it). With target_bytes instead of n_shards, there are as many shards as it takes. Empty input: no rows.
+    law has it). Rows that are equal in all of these are parted like others. With target_bytes instead of n_shards, there are as many shards as it takes. Empty input: no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.coalesce(F.col("n_chars"), F.lit(0))
-    points = written(
-        docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.crc32(F.col("lang").cast("binary")).cast("double").alias("lang"), F.crc32(F.col("source").cast("binary")).cast("double").alias("source"), F.log1p(F.greatest(plain, F.lit(0)).cast("double")).alias("long")),
-        "points",
+    crc = lambda c: F.crc32(c.cast("binary"))
+    points = docs.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        crc(text).alias("text_crc32"),
+        *[crc(F.col(c)).cast("double").alias(c) for c in ("lang", "source")],
+        F.log1p(F.greatest(plain, F.lit(0)).cast("double")).alias("long"),
+        F.monotonically_increasing_id().alias("row"),  # parts rows that are equal in everything else
     )
+    points = written(points, "points")
     if n_shards is None:
         n_shards = max(1, math.ceil((points.agg(F.sum("size")).first()[0] or 0) / target_bytes))
-    leaves = written(kd_leaves(points, ["lang", "source", "long"], "size", ["doc_id", "text_crc32"], n_shards, "shard").select("doc_id", "size", "text_crc32", "shard"), "leaves")
+    leaves = written(kd_leaves(points, ["lang", "source", "long"], "size", ["doc_id", "text_crc32", "row"], n_shards, "shard").select("doc_id", "size", "text_crc32", "shard"), "leaves")
     ranked = gapless_rank(leaves, ["shard"], ["doc_id", "text_crc32"], "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
