@@ -43,3 +43,31 @@ def across(
     pairs = written(x.join(y, "bucket").where(on).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), f"{name}-across")
     discard(mixed)
     return pairs
+
+
+def bounded(
+    mixed: DataFrame, shingles: Callable[[DataFrame], DataFrame], percent: int, small: int, name: str, peels: int = 2
+) -> DataFrame:
+    """For across(): rows of buckets of more than `small` members get n, the size of a node's set, and m, how many of its
+    shingles others of these nodes have too; shingles() gives (node, gram) of nodes, their whole sets. A set's similarities
+    are at most m / n: nodes that can't reach percent go, without loss, and then their shingles count no more. Rows of
+    smaller buckets get n = m = 1, which holds nothing back."""
+    large, one = mixed.where(F.col("size") > small), F.lit(1).cast("long")
+    held = mixed.where(F.col("size") <= small).withColumns({"n": one, "m": one})
+    if not large.limit(1).count():
+        return held
+    grams = written(shingles(large.select("node").distinct()), f"{name}-grams")
+    whole = written(grams.groupBy("node").agg(F.count("*").alias("n")), f"{name}-sizes")
+    for _ in range(peels):
+        again = grams.groupBy("gram").count().where("count > 1").select("gram")
+        common = grams.join(again, "gram").groupBy("node").agg(F.count("*").alias("m"))
+        able = written(whole.join(common, "node").where(100 * F.col("m") >= percent * F.col("n")), f"{name}-able")
+        before, grams = grams, written(grams.join(able.select("node"), "node", "left_semi"), f"{name}-grams")
+        discard(before)
+    discard(grams)
+    return held.unionByName(large.join(able, "node"))
+
+
+def reach(x: str, y: str, percent: int) -> Column:
+    """Whether two sets can be alike: they share at most the lesser m."""
+    return (100 + percent) * F.least("m" + x, "m" + y) >= percent * (F.col("n" + x) + F.col("n" + y))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplet.llm.candidates import across, shared, star
+from ripplet.llm.candidates import across, bounded, reach, shared, star
 from ripplet.llm.common import discard, written
 from ripplet.llm.components import components
 
@@ -19,6 +19,8 @@ EVERY = r"(?s)(?=(.{5}))"
 WORDS, MOST_WORDS, LONG, LONGEST = 14, 20, 14, 24
 #: Sets of fewer shingles than the second number are found without loss, those of the first and more by bands.
 SMALL, MOST_SMALL = 16, 24
+#: In buckets of more members, a bound by whole sets rules out what can't be alike before pairs are made.
+LARGE = 256
 
 
 def _id() -> Column:
@@ -108,7 +110,10 @@ def line_components(docs: DataFrame, percent: int = 80, smallest: int = 14, rows
     texts = written(lines.join(sketches, "node"), "line-texts")
     near = _alike(star(members), texts, percent, "line-links")
     found = components(near, "line-components")
-    pairs = across(members, found, "line", lambda mixed: mixed.join(texts.select("node", "s0", "s1"), "node"), _near)
+    nodes = lambda some: texts.join(some, "node", "left_semi")
+    grams = lambda some: nodes(some).select("node", F.explode(_grams("line")).alias("gram"))
+    known = lambda mixed: bounded(mixed, grams, percent, LARGE, "line").join(texts.select("node", "s0", "s1"), "node")
+    pairs = across(members, found, "line", known, lambda x, y: _near(x, y) & reach(x, y, percent))
     if pairs.limit(1).count():
         found = components(near.union(_alike(pairs, texts, percent, "line-links")), "line-components")
     discard(members, texts, pairs)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplet.llm.candidates import across, shared, star
+from ripplet.llm.candidates import across, bounded, reach, shared, star
 from ripplet.llm.common import discard, written
 from ripplet.llm.components import components
 from ripplet.llm.encoding import portions
@@ -132,30 +132,6 @@ def _grams(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     return grams
 
 
-def _bound(texts: DataFrame, k: int, percent: int, peels: int = 2) -> Callable[[DataFrame], DataFrame]:
-    """For across(): of nodes in buckets of more than SMALL members, n shingles and m of them that others of these nodes
-    have too. A set's similarities are at most m / n, and two sets share at most the lesser m: nodes that can't reach
-    percent go, without loss, and then their shingles count no more. Rows of small buckets get n = m = 1, which holds nothing
-    back."""
-
-    def known(mixed: DataFrame) -> DataFrame:
-        large, one = mixed.where(F.col("size") > SMALL), F.lit(1).cast("long")
-        held = mixed.where(F.col("size") <= SMALL).withColumns({"n": one, "m": one})
-        grams = texts.join(large.select("node").distinct(), "node", "left_semi").mapInArrow(_grams(k), "node long, gram long")
-        grams = written(grams, "grams")
-        whole = written(grams.groupBy("node").agg(F.count("*").alias("n")), "gram-sizes")
-        for _ in range(peels):
-            again = grams.groupBy("gram").count().where("count > 1").select("gram")
-            common = grams.join(again, "gram").groupBy("node").agg(F.count("*").alias("m"))
-            able = written(whole.join(common, "node").where(100 * F.col("m") >= percent * F.col("n")), "able")
-            before, grams = grams, written(grams.join(able.select("node"), "node", "left_semi"), "grams")
-            discard(before)
-        discard(grams)
-        return held.unionByName(large.join(able, "node"))
-
-    return known
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 32, rows: int = 6) -> DataFrame:
     """Groups documents whose sets of k-word shingles have a Jaccard similarity of at least percent / 100.
 
@@ -209,9 +185,8 @@ def _groups(keyed: DataFrame, k: int, percent: int, bands: int, rows: int) -> Da
 
     near = alike(star(members))
     found = components(near)
-    bound = _bound(texts, k, percent)
-    reach = lambda x, y: (100 + percent) * F.least("m" + x, "m" + y) >= percent * (F.col("n" + x) + F.col("n" + y))
-    pairs = across(members, found, "near", bound, reach)
+    grams = lambda some: texts.join(some, "node", "left_semi").mapInArrow(_grams(k), "node long, gram long")
+    pairs = across(members, found, "near", lambda mixed: bounded(mixed, grams, percent, SMALL, "near"), lambda x, y: reach(x, y, percent))
     if pairs.limit(1).count():
         found = components(near.union(alike(pairs)))
     discard(members, texts, pairs)
