@@ -214,7 +214,7 @@ BASE = f"string_split({SLASHED}, '/')[-1]"
 
 
 @_query(
-    f"""with {FILES}, k as (select {SLASHED} as path, seq, coalesce({_cases(BASE, tables.KINDS)}, case when regexp_extract({BASE}, '\.([^.]*)$', 1) = '' then 'other' else lower(regexp_extract({BASE}, '\.([^.]*)$', 1)) end) as kind
+    rf"""with {FILES}, k as (select {SLASHED} as path, seq, coalesce({_cases(BASE, tables.KINDS)}, case when regexp_extract({BASE}, '\.([^.]*)$', 1) = '' then 'other' else lower(regexp_extract({BASE}, '\.([^.]*)$', 1)) end) as kind
  from files where not regexp_matches({SLASHED}, {_text(paths.CODE_FILE)}) and not regexp_matches({SLASHED}, '(^|/)\.git/')),
  r as (select *, row_number() over (partition by kind order by seq) as r from k where not regexp_matches(kind, {_text(tables.NOISE)})),
  g as (select kind, count(*) as n, min(seq) as first, string_agg(path, ',' order by seq) filter (where r <= 3) as examples from r group by kind order by n desc, first limit 8) select kind, n, examples from g"""
