@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm import decontaminate, html_text, kd_shards, line_crf, line_dedup, near_dup, packing, repeats, site_quality, token_files
+from ripplet.llm import decontaminate, html_text, kd_shards, line_crf, line_dedup, mixing, near_dup, packing, repeats, site_quality, spelling, token_files
 from ripplet.llm.common import table
 
 
@@ -50,10 +50,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), 1024)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its near words' number, its form and its root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document, how many words the mix takes of it, beside its source's size and target."""
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_array_dedup, op2_quality_classifier, op3_quality_rules, op4_sharding, op5_token_files, op6_decontamination, op7_near_dedup, op8_html_extraction, op9_line_dedup, op10_packing)
+    for f in (
+        op1_suffix_array_dedup,
+        op2_quality_classifier,
+        op3_quality_rules,
+        op4_sharding,
+        op5_token_files,
+        op6_decontamination,
+        op7_near_dedup,
+        op8_html_extraction,
+        op9_line_dedup,
+        op10_packing,
+        op11_spelling_variants,
+        op13_mixing,
+    )
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_mixing": mixing.SQL}
