@@ -16,7 +16,7 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Words that are encoded whole: those with separators or letters beyond Latin, whose classes a newer Unicode
 #: may change.
 _RARE = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\u024f]")
-_loaded: dict[str, "Encoder"] = {}
+_loaded: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -37,17 +37,19 @@ class Encoder:
 
     That holds for byte-level BPE with the usual pattern and nothing before or after it; texts for any other tokenizer are
     encoded whole. The words and pieces that are kept take most_bytes at most, counted with EACH for Python's objects.
+    plain: special tokens' strings inside texts are text like other.
     """
 
     EACH = 200
 
-    def __init__(self, path: str, most_bytes: int = 80_000_000) -> None:
+    def __init__(self, path: str, most_bytes: int = 80_000_000, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.held, self.spelled = Tokenizer.from_file(path), most_bytes, 0, 0
+        self.tokenizer.encode_special_tokens = plain
         parts = json.loads(self.tokenizer.to_str())
         first, model = parts["pre_tokenizer"] or {}, parts["model"]
         usual = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
@@ -63,6 +65,14 @@ class Encoder:
         self.before: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}  # the ids of what the tokenizer's pattern parts a word into
 
+    def token_bytes(self) -> list[bytes]:
+        """What each token of a byte-level vocabulary stands for; a special token for its own string."""
+        back = {self.letters[b]: b for b in range(256)}
+        out = [b""] * self.tokenizer.get_vocab_size()
+        for token, i in self.tokenizer.get_vocab().items():
+            out[i] = token.encode() if token in self.special else bytes(map(back.__getitem__, token))
+        return out
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -135,10 +145,10 @@ class Encoder:
         return [head, *[x.removeprefix(" ") for x in tail]]
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+def encoder(path: str, plain: bool = False) -> Encoder:
+    if (path, plain) not in _loaded:
+        _loaded[path, plain] = Encoder(path, plain=plain)
+    return _loaded[path, plain]
 
 
 def portions(texts: list[str | None], characters: int = 1_000_000) -> Iterable[slice]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm import decontaminate, html_text, kd_shards, line_crf, line_dedup, mixing, near_dup, packing, repeats, site_quality, spelling, token_files
+from ripplet.llm import alignment, decontaminate, html_text, kd_shards, line_crf, line_dedup, mixing, near_dup, packing, repeats, site_quality, spelling, token_files
 from ripplet.llm.common import table
 
 
@@ -55,6 +55,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document, how the tokens of byte_bpe_50k.json and piece_bpe_32k.model align."""
+    done = alignment.align(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document, how many words the mix takes of it, beside its source's size and target."""
     return mixing.taken_words(table(spark, sf_dir, "documents"))
@@ -74,6 +80,7 @@ QUERIES = {
         op9_line_dedup,
         op10_packing,
         op11_spelling_variants,
+        op12_tokenizer_alignment,
         op13_mixing,
     )
 }
