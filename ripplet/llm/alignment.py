@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,147 +13,271 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.llm.common import discard, written
-from ripplet.llm.encoding import encoder, portions, vocabulary
+from ripplet.llm.encoding import Encoder, portions, vocabulary
 from ripplet.llm.pieces import PieceEncoder
 
 #: Bytes of a text whose events are one row.
 SPAN = 16_384
 Batches = Iterator[pa.RecordBatch]
-_pieces: dict[str, PieceEncoder] = {}
-_tables: dict[str, list[bytes]] = {}
+_encoders: dict[tuple[str, str], "Both"] = {}
 
 
-def _tokens(a_path: str, b_path: str) -> list[list[bytes]]:
-    """The bytes of each token of A and of B."""
-    if b_path not in _pieces:
-        _pieces[b_path] = PieceEncoder(b_path)
-        _tables[b_path] = _pieces[b_path].token_bytes()
-    if a_path not in _tables:
-        _tables[a_path] = encoder(a_path, plain=True).token_bytes()
-    return [_tables[a_path], _tables[b_path]]
+def _least(most: int) -> str:
+    """The smallest unsigned kind that holds a number."""
+    return "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
 
 
-def _encoded(a_path: str, b_path: str, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The ids of a space and each text by A, and of the text by B."""
-    return list(zip(encoder(a_path, plain=True).batch([f" {t}" for t in texts]), _pieces[b_path].batch(texts), strict=True))
+class Both:
+    """Encodes texts with A (after a space) and B. Words between single spaces or line feeds are encoded once by both; the ids
+    of a word are found by its number. The words and ids that are kept take most_bytes at most, counted with EACH."""
+
+    EACH = 250
+
+    def __init__(self, a_path: str, b_path: str, most_bytes: int = 200_000_000) -> None:
+        self.a, self.b, self.most = Encoder(a_path, plain=True), PieceEncoder(b_path), most_bytes
+        self.tokens = [self.a.token_bytes(), self.b.token_bytes()]
+        self.lengths = [np.array([len(x) for x in t], np.int64) for t in self.tokens]
+        self.by_words = self.a.by_words and self.b.by_parts
+        self.kinds = [_least(len(n)) for n in self.lengths]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held, self.same = 0, np.zeros(0, bool)
+        self.first, self.ids = [np.zeros(1, np.int64)] * 2, [np.zeros(0, "<u4")] * 2  # of each side: where a word's ids begin
+
+    def _same(self, data: bytes, found: tuple[np.ndarray, ...]) -> bool:
+        return all(b"".join(map(t.__getitem__, x.tolist())) == data for t, x in zip(self.tokens, found, strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        made = [self.a.words(words), self.b.words(words)]
+        data = [w.encode() if w[0] == "\n" else b" " + w.encode() for w in words]
+        whole, sizes, same = b"".join(data), np.array(list(map(len, data))), np.ones(len(words), bool)
+        for side in (0, 1):
+            cuts = np.cumsum([len(x) // 4 for x in made[side]])
+            ids = np.frombuffer(b"".join(made[side]), "<u4")
+            long = np.diff(np.append(0, np.cumsum(self.lengths[side][ids]))[cuts], prepend=0)
+            if (long != sizes).any() or b"".join(map(self.tokens[side].__getitem__, ids.tolist())) != whole:
+                same &= [b"".join(map(self.tokens[side].__getitem__, np.frombuffer(x, "<u4").tolist())) == d for x, d in zip(made[side], data, strict=True)]
+            self.first[side] = np.concatenate([self.first[side], self.first[side][-1] + cuts])
+            self.ids[side] = np.concatenate([self.ids[side], ids])
+        self.same = np.concatenate([self.same, same])
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.held += len(whole) + self.EACH * len(words)
+
+    def _whole(self, text: str) -> list[np.ndarray]:
+        found = [self.a.batch([f" {text}"])[0], self.b.batch([text])[0]]
+        return found if self._same(b" " + text.encode(), tuple(found)) else [x[:0] for x in found]
+
+    def batch(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """The ids of each text by A and by B; none where there is no text, or where either changes it."""
+        parts = [self.a.plain_words(t) if self.by_words else [] for t in texts]
+        new = set().union(*parts).difference(self.known)
+        if new and self.held > self.most:
+            self._forget()
+            new = set().union(*parts)
+        odd = self.a.odd(new)
+        if odd:
+            parts = [p if odd.isdisjoint(p) else [] for p in parts]
+            new -= odd
+        if new:
+            self._learn(list(new))
+        sizes = [len(p) for p in parts]
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
+        ends = np.cumsum(np.array(sizes, np.int64))
+        sides, cuts = [], []
+        for first, ids in zip(self.first, self.ids, strict=True):
+            n = first[at + 1] - first[at]
+            before = np.concatenate([[0], np.cumsum(n)])
+            sides.append(ids[np.repeat(first[at] - before[:-1], n) + np.arange(before[-1])])
+            cuts.append(before[ends])
+        changed = np.append(0, np.cumsum(~self.same[at]))[ends]
+        out, last = [], (0, 0, 0)
+        for i, text in enumerate(texts):
+            now = (int(cuts[0][i]), int(cuts[1][i]), int(changed[i]))
+            if sizes[i] and now[2] == last[2]:
+                out.append([x[a:b] for x, a, b in zip(sides, last, now, strict=False)])
+            else:
+                out.append(self._whole(text) if text else [x[:0] for x in sides])
+            last = now
+        return out
+
+
+def _both(a_path: str, b_path: str) -> Both:
+    if (a_path, b_path) not in _encoders:
+        _encoders[a_path, b_path] = Both(a_path, b_path)
+    return _encoders[a_path, b_path]
 
 
 def _events(a_path: str, b_path: str) -> Callable[[Batches], Batches]:
-    """End events of the tokens of both sides, a row for each document, span of bytes and side: ends and ids in order."""
+    """End events of the tokens of both sides, a row for each document, span of bytes and side: the ids in order, from which the
+    bytes up to each end follow."""
 
     def events(batches: Batches) -> Batches:
-        known = _tokens(a_path, b_path)
-        lengths = [np.array([len(x) for x in t], np.int64) for t in known]
+        both = _both(a_path, b_path)
         for batch in batches:
             uids, ids, texts = (c.to_pylist() for c in batch.columns)
             for part in portions(texts):
-                some = [t or "" for t in texts[part]]
-                both = _encoded(a_path, b_path, some)
-                rows: tuple[list, ...] = ([], [], [], [], [], [])
-                for uid, doc_id, text, tokens in zip(uids[part], ids[part], some, both, strict=True):
-                    data = b" " + text.encode()
-                    whole = text and all(b"".join(map(t.__getitem__, x.tolist())) == data for t, x in zip(known, tokens, strict=True))
-                    for side in (0, 1):
-                        found = tokens[side] if whole else tokens[side][:0]
-                        ends = np.cumsum(lengths[side][found])
-                        cuts = np.searchsorted(ends, np.arange(0, len(data) if whole else 1, SPAN), "right")
-                        for k, (i, j) in enumerate(zip(cuts, [*cuts[1:], len(found)], strict=True)):
-                            row = (uid, doc_id, k, side, ends[i:j].astype("<u4").tobytes(), found[i:j].astype("<u4").tobytes())
-                            for x, value in zip(rows, row, strict=True):
-                                x.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["uid", "doc_id", "span", "side", "ends", "ids"])
+                rows: list[tuple] = []
+                for uid, doc_id, found in zip(uids[part], ids[part], both.batch([t or "" for t in texts[part]]), strict=True):
+                    total = int(both.lengths[0][found[0]].sum())
+                    for side, kind in enumerate(both.kinds):
+                        ids_, cuts = found[side].astype(kind), [0, len(found[side])]
+                        if total > SPAN:
+                            cuts[:1] = np.searchsorted(np.cumsum(both.lengths[side][found[side]]), np.arange(0, total, SPAN), "right").tolist()
+                        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                            rows.append((uid, doc_id, k, side, ids_[i:j].tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "doc_id", "span", "side", "ids"])
 
     return events
 
 
+def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """0 to n - 1 in decimal digits, a row each, at its right end but for one place; and which places of a row are used."""
+    shown = np.char.rjust(np.arange(max(1, n)).astype("S"), len(str(max(1, n) - 1)))
+    rows = np.pad(shown.view("u1").reshape(len(shown), -1), ((0, 0), (0, 1)))
+    return rows, rows != ord(" ")
+
+
 class Sweep:
-    """Takes one document's end events in the order of their offsets and closes a group at each end that both sides have.
-    It holds the tokens of the open group, the numbers so far and a running digest, whatever the document's length."""
-
-    def __init__(self, names: list[list[list[bytes]]]) -> None:
-        self.names = names  # of each side, by what follows: an id with "," or with the sign that ends its part of a group
-        self.ends, self.ids = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2
-        self.n_a = self.n_b = self.n_groups = self.n_links = 0
-        self.digest, self.tail = hashlib.sha256(), b""
-
-    def take(self, ends: list[np.ndarray], ids: list[np.ndarray]) -> np.ndarray:
-        """The links of the groups that these events close, as a << 32 | b."""
-        ends = [np.concatenate([x, y]) for x, y in zip(self.ends, ends, strict=True)]
+    """Takes end events in the order of documents and offsets, and closes a group at each end that both sides have. It holds the
+    tokens of the open group, and the numbers and running digest of the open document, whatever their lengths."""
+
+    def __init__(self, kinds: int) -> None:
+        self.digits, self.used = _digits(kinds)
+        self.lengths, self.ids = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2
+        self.owner: tuple | None = None
+        self.done: list[tuple] = []
+        self._open(None)
+
+    def _open(self, owner: tuple | None) -> None:
+        self.owner, self.numbers, self.digest, self.tail = owner, np.zeros(4, np.int64), hashlib.sha256(), b""
+
+    def close(self) -> None:
+        """Ends the open document: its row goes to done."""
+        if self.owner is not None:
+            self.done.append((*self.owner, *self.numbers.tolist(), self.digest.hexdigest() if self.numbers[2] else "", b"", b"", []))
+        self._open(None)
+
+    def take(self, owners: list[tuple], sizes: list[list[int]], lengths: list[np.ndarray], ids: list[np.ndarray]) -> None:
+        """The next events of both sides: owners are the documents in order, the first of them may be the open one; sizes are
+        their numbers of events. What can be closed goes to done, but for the last document's own row."""
+        here = owners[:1] == [self.owner]
+        if self.owner is not None and not here:
+            self.close()
+        of = [np.repeat(np.arange(len(owners)), n) for n in sizes]
+        of = [np.concatenate([np.zeros(len(x), np.int64), y]) for x, y in zip(self.ids, of, strict=True)]
+        lengths = [np.concatenate([x, y]) for x, y in zip(self.lengths, lengths, strict=True)]
         ids = [np.concatenate([x, y]) for x, y in zip(self.ids, ids, strict=True)]
-        both = np.intersect1d(*ends, assume_unique=True)
-        last = both[-1] if len(both) else -1
-        n = [int(np.searchsorted(x, last, "right")) for x in ends]
-        self.ends, self.ids = [x[k:] for x, k in zip(ends, n, strict=True)], [x[k:] for x, k in zip(ids, n, strict=True)]
-        if not len(both):
-            return np.zeros(0, np.int64)
-        ends, ids = [x[:k] for x, k in zip(ends, n, strict=True)], [x[:k] for x, k in zip(ids, n, strict=True)]
-        groups = [np.searchsorted(both, x) for x in ends]  # of each token
-        order = np.argsort(np.concatenate([2 * groups[0], 2 * groups[1] + 1]), kind="stable")
-        closes = [np.append(g[1:] != g[:-1], True) for g in groups]
-        words: list[bytes] = []
-        for side in (0, 1):
-            comma, sign = self.names[side]
-            words.extend((sign if c else comma)[i] for i, c in zip(ids[side].tolist(), closes[side].tolist(), strict=True))
-        text = self.tail + b"".join(map(words.__getitem__, order.tolist()))
-        self.digest.update(text[:-1])
-        self.tail = text[-1:]  # no sign follows the last group
-        edges = np.union1d(*ends)  # two tokens share bytes before each end of either, and no two edges have the same pair
-        self.n_a, self.n_b, self.n_groups, self.n_links = self.n_a + n[0], self.n_b + n[1], self.n_groups + len(both), self.n_links + len(edges)
-        a, b = (i[np.searchsorted(e, edges)] for i, e in zip(ids, ends, strict=True))
-        return a << 32 | b
+        ends = [np.cumsum(x) for x in lengths]
+        at = np.searchsorted(ends[1], ends[0])
+        shared = np.flatnonzero(ends[1][np.minimum(at, len(ends[1]) - 1)] == ends[0]) if len(ends[1]) else at[:0]
+        last = [shared, at[shared]]  # the last token of each group, of both sides
+        n = [int(x[-1]) + 1 if len(x) else 0 for x in last]
+        self.lengths, self.ids = [x[k:] for x, k in zip(lengths, n, strict=True)], [x[k:] for x, k in zip(ids, n, strict=True)]
+        ids, of, ends = [x[:k] for x, k in zip(ids, n, strict=True)], [x[:k] for x, k in zip(of, n, strict=True)], [x[:k] for x, k in zip(ends, n, strict=True)]
+        # Two tokens share bytes before each end of either, and no two of these edges have the same pair.
+        edges = np.sort(np.concatenate(ends), kind="stable")
+        edges = edges[np.diff(edges, prepend=-1) > 0]
+        a, b = (np.searchsorted(e, edges) for e in ends)
+        links, owner = ids[0][a] << 32 | ids[1][b], of[0][a]
+        groups = of[0][last[0]]
+        counts = np.stack([np.bincount(x, minlength=len(owners)) for x in (*of, groups, owner)], axis=1)
+        text, stops = self._text(ids, last, of, groups, len(owners))
+        cuts = np.append(0, np.cumsum(counts[:, 3]))
+        for i, who in enumerate(owners):
+            if i or not here:
+                self.close()
+                self._open(who)
+            self.numbers = self.numbers + counts[i]
+            if counts[i, 2]:
+                self.digest.update(self.tail)
+                self.digest.update(text[stops[i] : stops[i + 1] - 1])
+                self.tail = bytes(text[stops[i + 1] - 1 : stops[i + 1]])  # no sign follows the last group
+                own = np.sort(links[cuts[i] : cuts[i + 1]])
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                pairs, times = own[first], np.diff(first, append=len(own))
+                row = np.diff(pairs >> 32, prepend=0).astype("<u4").tobytes(), (pairs & 0xFFFFFFFF).astype("<u4").tobytes()
+                self.done.append((*who, 0, 0, 0, 0, None, *row, times.astype("i4")))
+
+    def _text(self, ids: list[np.ndarray], last: list[np.ndarray], of: list[np.ndarray], groups: np.ndarray, n: int) -> tuple[memoryview, list[int]]:
+        """All groups as text, a sign after each, and where a document's text begins and ends."""
+        whole = [np.diff(x, prepend=-1) for x in last]  # tokens of each group
+        other = [np.append(0, last[1] + 1)[:-1], last[0] + 1]  # tokens of the other side that come before a group's own
+        total = len(ids[0]) + len(ids[1])
+        token, sign, place = np.empty(total, np.int64), np.empty(total, "u1"), []
+        for side, mark in enumerate(b"|;"):
+            place.append(np.arange(len(ids[side])) + np.repeat(other[side], whole[side]))
+            token[place[side]] = ids[side]
+            sign[place[side]] = ord(",")
+            sign[place[side][last[side]]] = mark
+        rows, used = self.digits[token], self.used[token]
+        rows[:, -1] = sign
+        stop = np.cumsum(used.sum(axis=1))
+        tokens = np.cumsum(np.bincount(of[0], minlength=n) + np.bincount(of[1], minlength=n))
+        return memoryview(rows[used]), [0, *np.append(0, stop)[tokens].tolist()]
 
 
 _COLUMNS = [("uid", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())]
-_LINKS = [*_COLUMNS, ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())]
+_LINKS = [*_COLUMNS, ("a", pa.binary()), ("b", pa.binary()), ("n", pa.list_(pa.int32()))]
 _DDL = "uid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
-def _swept(a_path: str, b_path: str) -> Callable[[Batches], Batches]:
-    """Rows of events, sorted by document, span and side, to rows of links: the different pairs of each span with their
-    numbers; the last row of a document has its own numbers and digest."""
+def _swept(a_path: str, b_path: str, most: int = 500_000) -> Callable[[Batches], Batches]:
+    """Rows of events, sorted by document, span and side, to rows of links: the different pairs of a document's closed groups with
+    their numbers; the last row of a document has its own numbers and digest. About `most` events are swept at once."""
 
     def sweep(batches: Batches) -> Batches:
-        known = _tokens(a_path, b_path)
-        signs = ((b",", b"|"), (b",", b";"))
-        names = [[[b"%d%s" % (i, s) for i in range(len(t))] for s in two] for t, two in zip(known, signs, strict=True)]
-        state, owner, first = Sweep(names), None, None
-        rows: list[tuple] = []
-
-        def total() -> tuple:
-            return (*owner, state.n_a, state.n_b, state.n_groups, state.n_links, state.digest.hexdigest() if state.n_groups else "", b"", b"", b"")
-
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows, strict=True), _LINKS, strict=True)], [name for name, _ in _LINKS])
-
+        both = _both(a_path, b_path)
+        state = Sweep(max(map(len, both.tokens)))
+        rows: list[tuple] = []  # of two sides each
+
+        def take() -> None:
+            owners, sizes = [], [[], []]
+            for owner, two in rows:
+                if not owners or owners[-1] != owner:
+                    owners.append(owner)
+                    for x in sizes:
+                        x.append(0)
+                for side in (0, 1):
+                    sizes[side][-1] += len(two[side]) // np.dtype(both.kinds[side]).itemsize
+            ids = [np.frombuffer(b"".join(two[side] for _, two in rows), both.kinds[side]).astype(np.int64) for side in (0, 1)]
+            state.take(owners, sizes, [n[x] for n, x in zip(both.lengths, ids, strict=True)], ids)
+            rows.clear()
+
+        def made() -> Batches:
+            done, state.done = state.done, []
+            for i in range(0, len(done), 2_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*done[i : i + 2_000], strict=True), _LINKS, strict=True)], [name for name, _ in _LINKS])
+
+        first, n = None, 0
         for batch in batches:
-            for uid, doc_id, side, ends, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5)), strict=True):
-                if owner is None or owner[0] != uid:
-                    if owner is not None:
-                        rows.append(total())
-                    owner, state = (uid, doc_id), Sweep(names)
-                event = [np.frombuffer(x, "<u4").astype(np.int64) for x in (ends, ids)]
+            for uid, doc_id, side, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+                n += len(ids) // 2
                 if side == 0:
-                    first = event
+                    first = ids
                     continue
-                links, times = np.unique(state.take([first[0], event[0]], [first[1], event[1]]), return_counts=True)
-                if len(links):
-                    rows.append((uid, doc_id, 0, 0, 0, 0, None, *(x.astype("<u4").tobytes() for x in (links >> 32, links & 0xFFFFFFFF, times))))
-            if len(rows) > 2_000:
-                yield made()
-                rows = []
-        if owner is not None:
-            rows.append(total())
+                rows.append(((uid, doc_id), (first, ids)))
+                if n > most:
+                    take()
+                    yield from made()
+                    n = 0
         if rows:
-            yield made()
+            take()
+        state.close()
+        yield from made()
 
     return sweep
 
 
 def _pairs_of(batch: pa.RecordBatch, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of a batch's rows, their numbers, and how many each row has."""
-    a, b, n = (np.frombuffer(b"".join(batch.column(at + k).to_pylist()), "<u4").astype(np.int64) for k in range(3))
-    return a << 32 | b, n, np.array([len(x) // 4 for x in batch.column(at).to_pylist()], np.int64)
+    """The pairs of a batch's rows, their numbers, and how many each row has. Rows hold the steps from one A id to the next."""
+    sizes = np.array([len(x) // 4 for x in batch.column(at).to_pylist()], np.int64)
+    steps, b = (np.frombuffer(b"".join(batch.column(at + k).to_pylist()), "<u4").astype(np.int64) for k in (0, 1))
+    a = np.append(0, np.cumsum(steps))
+    a = a[1:] - np.repeat(a[np.cumsum(sizes) - sizes], sizes)
+    return a << 32 | b, batch.column(at + 2).flatten().to_numpy().astype(np.int64), sizes
 
 
 def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,12 +337,12 @@ def _known(frequent: Broadcast) -> Callable[[Batches], Batches]:
 
 def groups_and_links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Written rows (uid, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, a, b, n): for each span of a document the ids of
-    its different links and their numbers (little-endian unsigned 32-bit), and one row without links for each document
-    with its numbers. uid is a row's own number."""
+    its different links by rising A id (a: the steps from one to the next, b: the B ids, little-endian unsigned 32-bit) and
+    their numbers n, and one row without links for each document with its numbers. uid is a row's own number."""
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    events = own.mapInArrow(_events(a_path, b_path), "uid long, doc_id long, span long, side int, ends binary, ids binary")
+    events = own.mapInArrow(_events(a_path, b_path), "uid long, doc_id long, span long, side int, ids binary")
     ordered = events.repartition("uid").sortWithinPartitions("uid", "span", "side")
-    return written(ordered.mapInArrow(_swept(a_path, b_path), _DDL + ", a binary, b binary, n binary"), "links")
+    return written(ordered.mapInArrow(_swept(a_path, b_path), _DDL + ", a binary, b binary, n array<int>"), "links")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:

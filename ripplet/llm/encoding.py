@@ -120,6 +120,28 @@ class Encoder:
             new = [w for w in new if w not in before]
         return new
 
+    @staticmethod
+    def plain_words(text: str) -> list[str]:
+        """The words of a text by which words() can encode it, or none if it has more white space than that between them."""
+        parts = text.replace("\n", " \n").replace(" \n \n", "\n\n").split(" ")
+        return [] if not parts[0] or parts[0][0].isspace() else parts
+
+    @staticmethod
+    def odd(words: Iterable[str]) -> set[str]:
+        """Those of words that stood next to more white space: with it at an end, other than one line feed before them."""
+        return {w for w in words if not w or w[-1].isspace() or w[0].isspace() and (w[0] != "\n" or w[1].isspace())}
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of words that follow a space, or that begin with a line feed; none of them odd()."""
+        self._learn([w for w in words if w[0] != "\n"], " ")
+        self._learn([w for w in words if w[0] == "\n"], "")
+        found = list(map(self.known.__getitem__, words))
+        self.known, self.held = {}, 0
+        if self.spelled > self.most:
+            self.pieces.clear()
+            self.spelled = 0
+        return found
+
     def batch(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; none for null."""
         texts = [t or "" for t in texts]

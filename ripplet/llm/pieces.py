@@ -44,6 +44,15 @@ class PieceEncoder:
                 self.known[part] = array("I", ids[1:] if part[0] == "\n" else ids or [self.space]).tobytes()
         self.held += 2 * sum(map(len, parts)) + self.EACH * len(parts)
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of words that follow a space, or that begin with a line feed."""
+        found = []
+        for at in range(0, len(words), 5_000):
+            some = words[at : at + 5_000]
+            for word, ids in zip(some, self.model.encode(some, num_threads=1), strict=True):
+                found.append(array("I", ids[1:] if word[0] == "\n" else ids).tobytes())
+        return found
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
         if not self.by_parts:

@@ -130,7 +130,7 @@ def aligned(docs):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    known = alignment._tokens(vocabulary(), PIECES)
+    known = alignment._both(vocabulary(), PIECES).tokens
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
@@ -170,18 +170,41 @@ def test_alignment_is_that_of_all_pairs_of_byte_ranges(spark, span, frequent, mo
     assert sorted((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in rows) == aligned(docs)
 
 
-def test_a_sweep_is_the_same_in_portions():
+@pytest.mark.parametrize("span", [7, 40, 399])
+def test_a_sweep_is_the_same_in_portions(span):
     rng = random.Random(5)
-    ends = [np.array(sorted({*rng.sample(range(1, 400), 150), 400})) for _ in range(2)]
-    ids = [np.array([rng.randrange(9) for _ in x]) for x in ends]
-    names = [[[b"%d%s" % (i, s) for i in range(9)] for s in two] for two in ((b",", b"|"), (b",", b";"))]
-    whole = alignment.Sweep(names)
-    links = whole.take(ends, ids)
-    parts = alignment.Sweep(names)
-    some = [parts.take([x[(x > lo) & (x <= lo + 7)] for x in ends], [y[(x > lo) & (x <= lo + 7)] for x, y in zip(ends, ids, strict=True)]) for lo in range(0, 400, 7)]
-    assert np.array_equal(links, np.concatenate(some)) and whole.digest.digest() == parts.digest.digest()
-    assert (whole.n_a, whole.n_b, whole.n_groups, whole.n_links) == (parts.n_a, parts.n_b, parts.n_groups, parts.n_links)
-    assert max(map(len, parts.ends)) == 0
+    docs = []
+    for d in range(5):
+        ends = [np.array(sorted({*rng.sample(range(1, 400), 150), 400})) for _ in range(2)]
+        docs.append(((d, d), ends, [np.array([rng.randrange(120) for _ in x]) for x in ends]))
+    docs.insert(2, ((9, 9), [np.zeros(0, int)] * 2, [np.zeros(0, int)] * 2))
+    lengths = [[np.diff(x, prepend=0) for x in ends] for _, ends, _ in docs]
+    whole = alignment.Sweep(120)
+    joined = [[np.concatenate([d[side] for d in x]) for side in (0, 1)] for x in (lengths, [ids for _, _, ids in docs])]
+    whole.take([o for o, _, _ in docs], [[len(x[side]) for x in lengths] for side in (0, 1)], *joined)
+    whole.close()
+    parts = alignment.Sweep(120)
+    for (owner, ends, ids), long in zip(docs, lengths, strict=True):
+        for lo in range(0, 400, span):
+            some = [(x > lo) & (x <= lo + span) for x in ends]
+            parts.take([owner], [[int(m.sum())] for m in some], [x[m] for x, m in zip(long, some, strict=True)], [x[m] for x, m in zip(ids, some, strict=True)])
+    parts.close()
+    rows = lambda s: [r[:7] for r in s.done if r[6] is not None]
+    assert rows(whole) == rows(parts) and len(rows(whole)) == 6
+
+    def pairs(sweep):
+        found = Counter()
+        for r in sweep.done:
+            if r[6] is None:
+                for a, b, n in zip(np.cumsum(np.frombuffer(r[7], "<u4")).tolist(), np.frombuffer(r[8], "<u4").tolist(), r[9].tolist(), strict=True):
+                    found[r[0], a, b] += n
+        return found
+
+    assert pairs(whole) == pairs(parts) and sum(pairs(whole).values()) == sum(r[5] for r in rows(whole))
+    for row, (owner, ends, ids) in zip(rows(whole), docs, strict=True):
+        cuts = sorted({*ends[0].tolist()} & {*ends[1].tolist()})
+        text = ";".join("|".join(",".join(str(i) for e, i in zip(x.tolist(), y.tolist(), strict=True) if lo < e <= hi) for x, y in zip(ends, ids, strict=True)) for lo, hi in zip([0, *cuts], cuts, strict=False))
+        assert row == (*owner, len(ids[0]), len(ids[1]), len(cuts), len({*ends[0].tolist()} | {*ends[1].tolist()}), hashlib.sha256(text.encode()).hexdigest() if cuts else "")
 
 
 PIECE = PieceEncoder(PIECES, most_bytes=3_000)
@@ -202,6 +225,22 @@ def test_plain_ids_stand_for_the_text(text):
     assert b"".join(map(plain.token_bytes().__getitem__, ids)) == f"{text}<|endoftext|>".encode() and 50256 not in ids
 
 
+BOTH = alignment.Both(vocabulary(), PIECES, most_bytes=3_000)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\tabé▁'.1"), st.characters(codec="utf-8")), max_size=30), max_size=4))
+def test_words_of_both_tokenizers_are_those_of_whole_texts(texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary())
+    tokenizer.encode_special_tokens = True
+    for text, found in zip(texts, BOTH.batch(texts), strict=True):
+        whole = [tokenizer.encode(f" {text}", add_special_tokens=False).ids, PIECE.model.encode(text)]
+        same = text and BOTH._same(f" {text}".encode(), tuple(map(np.array, whole)))
+        assert [x.tolist() for x in found] == (whole if same else [[], []])
+
+
 def test_alignment_of_odd_rows(spark):
     rows = alignment.align(odd(spark)).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _, _ in ODD)
