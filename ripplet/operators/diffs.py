@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A hunk's header, and lines of a patch that are a file's headers.
 HUNK = r"^@@\s+-(\d+)(?:,\d+)?\s+\+(\d+)(?:,\d+)?\s+@@"
 HEADER = r"^(\+\+\+|---|diff |similarity |rename )"
 #: A declaration on a changed line, and words that are none.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,16 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def part_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, seq: an order's line imports the next one of its package, which is a part's brand, as files."""
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    file = F.concat(F.lit("FILE:packages/"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("/part"), F.col("p_partkey").cast("string"), F.lit(".ts"))
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    named = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_brand", file.alias("src"))
+    after = named.withColumns({"dst": F.lead("src").over(own), "brand": F.lead("p_brand").over(own)})
+    return after.where("brand = p_brand").select("src", "dst", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+
+
 #: Forms of paths; {n} is a document's number.
 PATHS = (
     "apps/web/src/app/api/users{n}/[id]/route.ts",
@@ -182,6 +192,33 @@ def patches(files: DataFrame) -> DataFrame:
     return files.select("path", patch.alias("patch"), pick(("modified", "added", "modified", "renamed", None), n).alias("status"))
 
 
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """change, side, path, kind, owner, name, parameters, return_type, calls, body of symbols: two documents are the sides of one
+    change, each line of a text with a word of letters is a symbol. Its name is the first word; the words after it up to
+    the fourth are parameters, with their length for a type; the last word is its return type, capitalized words are calls.
+    Of lines with one name the last stands."""
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("change"), F.when(F.col("doc_id") % 2 == 0, "old").otherwise("new").alias("side"), "text")
+    lines = docs.select("change", "side", F.posexplode(F.split("text", "\n")).alias("no", "body"))
+    words = F.regexp_extract_all("body", F.lit("[A-Za-z]+"), F.lit(0))
+    named = lines.withColumn("w", words).where(F.size("w") > 0).withColumn("name", F.lower(F.col("w")[0]))
+    long = F.length("name")
+    kind = F.when(long % 7 == 0, "CLASS").when(long % 2 == 0, "METHOD").otherwise("FUNCTION")
+    last = F.max_by(F.struct("w", "body"), "no").alias("l")
+    rows = named.withColumn("kind", kind).groupBy("change", "side", "kind", "name").agg(last)
+    return rows.select(
+        "change",
+        "side",
+        F.concat(F.lit("src/change"), F.col("change").cast("string"), F.lit(".ts")).alias("path"),
+        "kind",
+        F.when(F.col("kind") == "METHOD", F.concat(F.lit("C"), F.substring("name", 1, 1))).alias("owner"),
+        "name",
+        F.transform(F.slice("l.w", 2, 3), lambda x: F.concat(x, F.lit(":"), F.length(x).cast("string"))).alias("parameters"),
+        F.element_at("l.w", -1).alias("return_type"),
+        F.array_distinct(F.filter("l.w", lambda x: x.rlike("^[A-Z]"))).alias("calls"),
+        F.col("l.body").alias("body"),
+    )
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a repository over time, with the measures of a snapshot: orders of a customer."""
     key, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
