@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,30 +17,9 @@ def stream_first_deliveries(events: DataFrame, late: str = "1 hour") -> DataFram
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["delivery"])
 
 
-def _limit(limit: int, seconds: float):
-    def one(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        start, used = state.get if state.exists else (None, 0)
-        for pdf in frames:
-            rows = []
-            for event, ts in pdf.sort_values(["ts", "event_id"])[["event_id", "ts"]].itertuples(index=False):
-                now = ts.timestamp()
-                if start is None or now - start >= seconds:
-                    start, used = now, 0
-                used += 1
-                rows.append((key[0], event, used <= limit))
-            yield pd.DataFrame(rows, columns=["client", "event_id", "allowed"])
-        state.update((start, used))
-
-    return one
-
-
-def stream_rate_limit(requests: DataFrame, limit: int = 10, seconds: float = 60) -> DataFrame:
-    """client, event_id, allowed: at most `limit` requests in a window that a client's first request opens."""
-    return requests.groupBy("client").applyInPandasWithState(_limit(limit, seconds), "client long, event_id long, allowed boolean", "start double, used long", "append", "NoTimeout")
-
-
 def retry_job(attempts: DataFrame, most: int = 3) -> DataFrame:
-    """Each job's state after its attempts (job, ts, event_id, ok, retryable): SUCCEEDED, RETRYING or DEAD_LETTER."""
+    """Each job's state after its attempts (job, ts, event_id, ok, retryable): SUCCEEDED, RETRYING or DEAD_LETTER. An error
+    that isn't known to be worth another try (retryable is null) is a dead letter."""
     key = F.struct("ts", "event_id")
     row = attempts.groupBy("job").agg(F.count("*").alias("attempts"), F.max_by("ok", key).alias("ok"), F.max_by("retryable", key).alias("retryable"))
     return row.select("job", "attempts", F.when(F.col("ok"), "SUCCEEDED").when(~F.col("retryable") | (F.col("attempts") >= most), "DEAD_LETTER").otherwise("RETRYING").alias("status"))

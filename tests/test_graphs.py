@@ -59,7 +59,7 @@ GRAPHS = {
     "figure-eight": [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "c")],
     "two rings and a bridge": [("a", "b"), ("b", "a"), ("b", "x"), ("x", "y"), ("y", "x"), ("q", "a"), ("a", "a"), ("s", "s")],
     "hub": [("h", f"l{i}") for i in range(40)] + [("l7", "h"), ("l7", "h"), ("l30", "z"), ("z", "h"), (None, "h"), ("h", None)],
-    "random": random_edges(3, 40, 55),
+    "random": random_edges(3, 40, 75),
     "dense": random_edges(4, 15, 60),
     "none": [],
 }

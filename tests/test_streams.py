@@ -32,21 +32,6 @@ def test_first_deliveries_of_a_stream(spark, tmp_path):
     assert sorted((r.delivery, r.event_id) for r in batch.collect()) == [(i, i) for i in range(7)]
 
 
-def test_rate_limit_opens_its_window_with_the_first_request(spark, tmp_path):
-    at = [0, 1, 2, 59, 60, 61, 62, 125, 300]
-    rows = [(c, 100 * c + i, START + datetime.timedelta(seconds=s + c), i // 3) for c in (1, 2) for i, s in enumerate(at)]
-    requests = stream(spark, tmp_path, rows, "client long, event_id long, ts timestamp, part int", "part")
-    got = collected(spark, tmp_path, state.stream_rate_limit(requests, 3, 60), "limits")
-    allowed, window = {}, {}
-    for c, e, ts, _ in rows:
-        start, used = window.get(c, (None, 0))
-        if start is None or (ts - start).total_seconds() >= 60:
-            start, used = ts, 0
-        window[c] = (start, used + 1)
-        allowed[c, e] = used < 3
-    assert {(r.client, r.event_id): r.allowed for r in got} == allowed
-
-
 def test_states_of_jobs_and_failures(spark):
     jobs = spark.createDataFrame([(1, "DEAD_LETTER", 3), (2, "DEAD_LETTER", 3), (3, "RUNNING", 1)], "job long, status string, attempts int")
     again = state.retried(jobs, jobs.where("job <> 2")).orderBy("job").collect()
