@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplet.operators.graph import dedupe_nodes
 from ripplet.operators.paths import base, file_type
 
 
@@ -18,14 +19,16 @@ def symbol_id(kind: Column, path: Column, owner: Column, name: Column) -> Column
 
 
 def build_nodes(files: DataFrame, symbols: DataFrame, variables: DataFrame) -> DataFrame:
-    """id, type, name, file of files (path), symbols (path, kind, owner, name) and environment variables (path, name), one
-    row an id."""
+    """id, type, name, file of files (path, seq), symbols (path, seq, kind, owner, name) and environment variables (path, name).
+    Of rows with one id the first stands: files come before symbols, and these before variables."""
     path = F.col("path")
-    own = files.select(node_id("FILE", path).alias("id"), file_type(path).alias("type"), base(path).alias("name"), path.alias("file"))
+    order = lambda n, seq: F.struct(F.lit(n).alias("kind"), seq.cast("long").alias("seq")).alias("seq")
+    own = files.select(node_id("FILE", path).alias("id"), file_type(path).alias("type"), base(path).alias("name"), path.alias("file"), order(0, F.col("seq")))
     full = F.when(F.col("kind") == "METHOD", F.concat_ws(".", "owner", "name")).otherwise(F.col("name"))
-    inner = symbols.select(symbol_id(F.col("kind"), path, F.col("owner"), F.col("name")).alias("id"), F.col("kind").alias("type"), full.alias("name"), path.alias("file"))
-    env = variables.select(node_id("ENV_VARIABLE", path, F.col("name")).alias("id"), F.lit("ENV_VARIABLE").alias("type"), "name", path.alias("file"))
-    return own.unionByName(inner).unionByName(env).dropDuplicates(["id"])
+    inner = symbols.select(symbol_id(F.col("kind"), path, F.col("owner"), F.col("name")).alias("id"), F.col("kind").alias("type"), full.alias("name"), path.alias("file"), order(1, F.col("seq")))
+    env = variables.select(node_id("ENV_VARIABLE", path, F.col("name")).alias("id"), F.lit("ENV_VARIABLE").alias("type"), "name", path.alias("file"), order(2, F.lit(0)))
+    every = own.unionByName(inner).unionByName(env)
+    return dedupe_nodes(every).drop("seq")
 
 
 def contained(symbols: DataFrame, variables: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplet.operators.paths import is_test_file
+
 #: Fixed values: (rule, severity, title, length of the evidence, patterns that a line holds, pattern that it doesn't hold).
 PLACEHOLDER = r"(?i)your[_-]?api[_-]?key|changeme|xxx+|placeholder|example\.com|TODO"
 LINE_RULES = (
@@ -44,10 +46,11 @@ LINE_RULES = (
         None,
     ),
 )
-#: What is looked for between the parts of a whole text, (rule, severity, title, pattern, most occurrences).
+#: What is looked for in a whole text: (rule, severity, title, pattern, how many occurrences of a file are looked at,
+#: what has to stand about one).
 TEXT_RULES = (
-    ("unsafe_any", "low", "Unsafe any usage", r"\bany\b", 8),
-    ("weak_error_handling", "medium", "Empty catch block", r"catch\s*\([^)]*\)\s*\{\s*\}", 1_000_000),
+    ("unsafe_any", "low", "Unsafe any usage", r"\bany\b", 8, r":\s*any\b|as\s+any\b|<any>"),
+    ("weak_error_handling", "medium", "Empty catch block", r"catch\s*\([^)]*\)\s*\{\s*\}", None, None),
 )
 #: Rules by path, (pattern, rule).
 PATH_RULES = (
@@ -83,24 +86,42 @@ def line_findings(files: DataFrame) -> DataFrame:
     rows = lines.select("path", "seq", "no", F.explode(F.array_compact(F.array(*found))).alias("f"))
     line, name = (F.col("no") + 1).alias("line"), F.col("f.title")
     ident = finding_id(F.col("f.rule"), F.col("path"), F.col("no") + 1, name).alias("id")
-    order = (F.col("seq") * 1_000_000 + F.col("no") * 10 + F.col("f.i")).alias("seq")
+    order = (F.col("seq") * 1_000_000_000 + F.col("no") * 10 + F.col("f.i")).alias("seq")
     return rows.select(ident, "f.rule", F.lit("security").alias("category"), "f.severity", "f.title", F.col("path").alias("file"), line, "f.evidence", order)
 
 
+def occurrences(files: DataFrame, pattern: str, most: int | None = None) -> DataFrame:
+    """(path, seq, k, line, around) of the first `most` occurrences of a pattern in files (path, seq, content), all without it:
+    line is one more than the line feeds before an occurrence; around begins three characters before it and ends three after.
+
+    A text is parted once into what matches and what lies between; the line feeds of both are added up by a window over a file's
+    occurrences, so the work is in proportion to the text however many there are.
+    """
+    between, found = F.split("content", pattern), F.regexp_extract_all("content", F.lit(pattern), F.lit(0))
+    texts = files.select("path", "seq", between.alias("between"), found.alias("found")).where(F.size("found") > 0)
+    empty = F.array(F.lit(""))
+    n = F.size("found")
+    zipped = F.arrays_zip(
+        F.slice("between", F.lit(1), n).alias("before"),
+        F.col("found").alias("hit"),
+        F.concat(empty, F.slice("found", F.lit(1), n - 1)).alias("last"),
+        F.slice("between", F.lit(2), n).alias("after"),
+        F.concat(F.slice("found", F.lit(2), n), empty).alias("next"),
+    )
+    each = texts.select("path", "seq", F.posexplode(zipped if most is None else F.slice(zipped, 1, most)).alias("k", "o"))
+    feeds = F.regexp_count(F.concat("o.last", "o.before"), F.lit("\n"))
+    line = F.sum(feeds).over(Window.partitionBy("path", "seq").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) + 1
+    around = F.concat(F.right(F.concat("o.last", "o.before"), F.lit(3)), F.col("o.hit"), F.left(F.concat("o.after", "o.next"), F.lit(3)))
+    return each.select("path", "seq", "k", line.cast("int").alias("line"), around.alias("around"))
+
+
 def text_findings(files: DataFrame) -> DataFrame:
-    """The findings of TEXT_RULES: the place of an occurrence is the number of line feeds before it."""
+    """rule, severity, title, file, line of the findings of TEXT_RULES in files (path, seq, content); tests are left out."""
     out = None
-    for rule, severity, title, pattern, most in TEXT_RULES:
-        parts = files.select("path", "content", F.explode(F.array(F.split("content", pattern))).alias("parts"))
-        few = F.least(F.size("parts") - 1, F.lit(most))
-        each = parts.where(F.size("parts") > 1).select("path", "content", "parts", F.explode(F.sequence(F.lit(1), few)).alias("k"))
-        # What stands before an occurrence; the occurrences themselves hold no line feed in a line rule like `any`.
-        before = F.array_join(F.slice("parts", F.lit(1), F.col("k")), "any")
-        around = F.concat(F.substring(before, -3, 3), F.lit("any"), F.substring(F.get("parts", F.col("k")), 1, 3))
-        line = (F.regexp_count(before, F.lit("\n")) + 1).alias("line")
-        rows = each.select("path", line, around.alias("around"))
-        if rule == "unsafe_any":
-            rows = rows.where(F.col("around").rlike(r":\s*any\b|as\s+any\b|<any>"))
+    for rule, severity, title, pattern, most, around in TEXT_RULES:
+        rows = occurrences(files.where(~is_test_file(F.col("path"))), pattern, most)
+        if around:
+            rows = rows.where(F.col("around").rlike(around))
         rows = rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(title).alias("title"), F.col("path").alias("file"), "line")
         out = rows if out is None else out.unionByName(rows)
     return out.dropDuplicates(["rule", "file", "line"])
@@ -121,13 +142,14 @@ def overridden(findings: DataFrame, severities: dict[str, str]) -> DataFrame:
 
 
 def repeated_names(symbols: DataFrame, least: int = 4) -> DataFrame:
-    """Function names (name) of three letters and more that stand in a repository `least` times."""
-    counts = symbols.where("kind = 'FUNCTION'").groupBy("name").agg(F.count("*").alias("n"))
+    """Function names (name) of three letters and more that stand `least` times in files other than tests."""
+    counts = symbols.where((F.col("kind") == "FUNCTION") & ~is_test_file(F.col("path"))).groupBy("name").agg(F.count("*").alias("n"))
     return counts.where((F.col("n") >= least) & (F.length("name") >= 3) & ~F.col("name").rlike(COMMON_NAMES))
 
 
 def size_findings(symbols: DataFrame) -> DataFrame:
-    """Large functions (80 lines) and classes (250), and functions and methods of high complexity (15, 25)."""
+    """Large functions (80 lines) and classes (250), and functions and methods of high complexity (15, 25), in
+    files other than tests. A method is named with its class before it."""
     lines = F.col("end_line") - F.col("start_line") + 1
     large = F.when((F.col("kind") == "FUNCTION") & (lines >= 80), "large_function").when((F.col("kind") == "CLASS") & (lines >= 250), "large_class")
     many = F.when((F.col("kind") != "CLASS") & (F.col("complexity") >= 15), "high_complexity_function")
@@ -135,4 +157,6 @@ def size_findings(symbols: DataFrame) -> DataFrame:
     both = F.array_compact(
         F.array(F.when(large.isNotNull(), F.struct(large.alias("rule"), F.lit("medium").alias("severity"))), F.when(many.isNotNull(), F.struct(many.alias("rule"), high.alias("severity"))))
     )
-    return symbols.select("path", "name", F.explode(both).alias("f")).select("f.rule", "f.severity", F.col("path").alias("file"), F.col("name").alias("symbol"))
+    name = F.when(F.col("kind") == "METHOD", F.concat_ws(".", "owner", "name")).otherwise(F.col("name")).alias("symbol")
+    rows = symbols.where(~is_test_file(F.col("path"))).select("path", name, F.explode(both).alias("f"))
+    return rows.select("f.rule", "f.severity", F.col("path").alias("file"), "symbol")

@@ -21,8 +21,8 @@ TARGETS = (
 TEST_PATH = r"(?i)(^|/)(__(tests|mocks)__|tests?|spec|fixtures?)/|\.(test|spec)\.[cm]?[jt]sx?$"
 DEMO_PATH = r"(?i)(^|/)(examples?|demos?|samples?|playgrounds?|docs(?:-v\d+)?|documentation|www|website|bench(?:mark)?s?|e2e)/"
 #: A route on a line, by its verb or after .route().
-VERB_ROUTE = r"(?i)\b[A-Za-z_$][\w$]*\s*\.\s*(get|post|put|patch|delete|options|head|all|use)\s*\(\s*['\"`]([/*][^'\"`]*)['\"`]"
-CHAINED_ROUTE = r"(?i)\.route\s*\(\s*['\"`]([^'\"`]+)['\"`]\s*\)\s*\.\s*(get|post|put|patch|delete|all)\s*\("
+VERB_ROUTE = r"(?i)\b[A-Za-z_$][\w$]*\s*\.\s*(get|post|put|patch|delete|options|head|all|use)\s*\(\s*(['\"`])(\/[^'\"`]*|\*[^'\"`]*)\2"
+CHAINED_ROUTE = r"(?i)\.route\s*\(\s*(['\"`])([^'\"`]+)\1\s*\)\s*\.\s*(get|post|put|patch|delete|all)\s*\("
 
 
 def trust(health: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def routes(files: DataFrame) -> DataFrame:
     """(path, line, method, route) of routes that lines of files (path, content) declare, all of a line."""
     lines = files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("no", "text"))
     every = lambda p, verb, route: F.arrays_zip(F.regexp_extract_all("text", F.lit(p), F.lit(verb)).alias("method"), F.regexp_extract_all("text", F.lit(p), F.lit(route)).alias("route"))
-    found = lines.select("path", "no", F.explode(F.concat(every(VERB_ROUTE, 1, 2), every(CHAINED_ROUTE, 2, 1))).alias("r"))
+    found = lines.select("path", "no", F.explode(F.concat(every(VERB_ROUTE, 1, 3), every(CHAINED_ROUTE, 3, 2))).alias("r"))
     return found.select("path", (F.col("no") + 1).alias("line"), F.upper("r.method").alias("method"), "r.route")
 
 

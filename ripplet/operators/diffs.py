@@ -23,27 +23,34 @@ DECLARES = r"[+-]\s*(?:export\s+)?(?:async\s+)?function\s+\w+\s*\([^)]*\)|[+-]\s
 MOVES = "deleted file mode|new file mode|rename from|rename to"
 
 
+def patch_keys(patches: DataFrame) -> list[str]:
+    """What tells patches apart: their path, and their change if they have one."""
+    return [c for c in ("change", "path") if c in patches.columns]
+
+
 def patch_lines(patches: DataFrame) -> DataFrame:
-    """(path, no, text) of each line of patches (path, patch)."""
-    return patches.select("path", F.posexplode(F.split("patch", "\r?\n")).alias("no", "text"))
+    """([change,] path, no, text) of each line of patches ([change,] path, patch)."""
+    return patches.select(*patch_keys(patches), F.posexplode(F.split("patch", "\r?\n")).alias("no", "text"))
 
 
 def changed_lines(patches: DataFrame) -> DataFrame:
-    """(path, side, line): the numbers of changed lines; side new or old. A line that goes counts on the new side too, as
-    the one that stands there now. Numbers run on within a hunk, by sums over the lines of one patch."""
+    """([change,] path, side, line): the numbers of changed lines; side new or old. A line that goes counts on the new side too,
+    as the one that stands there now. Numbers run on within a hunk, by sums over the lines of one patch."""
+    keys = patch_keys(patches)
     lines = patch_lines(patches).withColumn("hunk", F.col("text").rlike(HUNK))
-    place = Window.partitionBy("path").orderBy("no")
+    place = Window.partitionBy(*keys).orderBy("no")
     held = lines.withColumn("h", F.sum(F.col("hunk").cast("int")).over(place)).where("h > 0")
     start = lambda k: F.max(F.when(F.col("hunk"), F.regexp_extract("text", HUNK, k).cast("int")))
-    one = Window.partitionBy("path", "h")
+    one = Window.partitionBy(*keys, "h")
     here = held.withColumns({"old0": start(1).over(one), "new0": start(2).over(one)}).where(~F.col("hunk") & ~F.col("text").rlike(HEADER))
     add, cut = F.startswith("text", F.lit("+")), F.startswith("text", F.lit("-"))
     same = F.startswith("text", F.lit(" ")) | (F.col("text") == "")
-    before = Window.partitionBy("path", "h").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys, "h").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     count = lambda c: F.coalesce(F.sum(c.cast("int")).over(before), F.lit(0))
-    at = here.select("path", add.alias("add"), cut.alias("cut"), (F.col("new0") + count(add | same)).alias("new"), (F.col("old0") + count(cut | same)).alias("old"))
-    sides = F.array_compact(F.array(F.when((F.col("add") | F.col("cut")) & (F.col("new") > 0), F.struct(F.lit("new").alias("side"), F.col("new").alias("line"))), F.when(F.col("cut") & (F.col("old") > 0), F.struct(F.lit("old").alias("side"), F.col("old").alias("line")))))
-    return at.select("path", F.explode(sides).alias("s")).select("path", "s.side", "s.line").distinct()
+    at = here.select(*keys, add.alias("add"), cut.alias("cut"), (F.col("new0") + count(add | same)).alias("new"), (F.col("old0") + count(cut | same)).alias("old"))
+    side = lambda when, name: F.when(when & (F.col(name) > 0), F.struct(F.lit(name).alias("side"), F.col(name).alias("line")))
+    sides = F.array_compact(F.array(side(F.col("add") | F.col("cut"), "new"), side(F.col("cut"), "old")))
+    return at.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.side", "s.line").distinct()
 
 
 def changed_names(patches: DataFrame) -> DataFrame:
@@ -65,13 +72,16 @@ def change_kind(patch: Column, status: Column) -> Column:
 
 
 def enclosing(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(path, line, name): the smallest symbol (path, kind, name, start_line, end_line) about a line; methods come before
-    functions, and these before classes. Joined by file, with the interval as a condition."""
+    """([change,] path, line, name): the smallest symbol ([change,] path, kind, name, start_line, end_line) about a line; methods
+    come before functions, and these before classes. Joined by file, with the interval as a condition; a column owner, if
+    there is one, and kind are kept."""
     inside = (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))
     rank = F.when(F.col("kind") == "METHOD", 0).when(F.col("kind") == "FUNCTION", 1).otherwise(2)
-    held = lines.join(symbols, "path").where(inside)
+    keys = patch_keys(lines)
+    held = lines.join(symbols, keys).where(inside)
     best = F.struct(rank, F.col("end_line") - F.col("start_line"), F.col("start_line"), F.col("name"))
-    return held.groupBy("path", "line").agg(F.min_by("name", best).alias("name"))
+    kept = ["name", *[c for c in ("kind", "owner") if c in symbols.columns]]
+    return held.groupBy(*keys, "line").agg(F.min_by(F.struct(*kept), best).alias("s")).select(*keys, "line", "s.*")
 
 
 def set_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

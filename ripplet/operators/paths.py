@@ -147,7 +147,8 @@ def nearest_prefix(files: DataFrame, systems: DataFrame) -> DataFrame:
 
 
 def first_paths(files: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
-    """(rule, path): the first file (path, seq) that each rule's pattern is found in."""
+    """(rule, path): the first file (path, seq) that each rule's pattern is found in; backslashes of a path are slashes."""
+    files = files.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), "seq")
     hits = F.explode(F.array_compact(F.array(*[F.when(F.col("path").rlike(p), F.lit(r)) for p, r in rules])))
     ranked = files.select("path", "seq", hits.alias("rule"))
     w = Window.partitionBy("rule").orderBy("seq")

@@ -58,14 +58,12 @@ def old_sides(changed: DataFrame) -> DataFrame:
 def changed_symbols(changed: DataFrame, symbols: DataFrame, old_symbols: DataFrame) -> DataFrame:
     """(change, path, kind, owner, name) of the symbols around changed lines: the new side's lines among symbols, the old side's
     among old_symbols (change, path, kind, owner, name, start_line, end_line). A symbol that both sides name is one row."""
-    named = lambda s: s.select(F.concat_ws("\x1f", F.col("change").cast("string"), "path").alias("path"), F.to_json(F.struct("change", "path", "kind", "owner", "name")).alias("name"), "kind", "start_line", "end_line")
-    lines = changed_lines(changed.select(F.concat_ws("\x1f", F.col("change").cast("string"), "path").alias("path"), "patch"))
+    lines = changed_lines(changed.select(*KEYS, "patch"))
     found = None
     for side, table in (("new", symbols), ("old", old_symbols)):
-        here = enclosing(lines.where(F.col("side") == side).select("path", "line"), named(table)).select("name")
+        here = enclosing(lines.where(F.col("side") == side), table).select(*KEYS, "kind", "owner", "name")
         found = here if found is None else found.unionByName(here)
-    change = dict(symbols.dtypes)["change"]
-    return found.distinct().select(F.from_json("name", f"change {change}, path string, kind string, owner string, name string").alias("s")).select("s.*")
+    return found.distinct()
 
 
 def _list(c: str) -> Column:

@@ -79,9 +79,48 @@ def rule_rollup(findings: DataFrame, most: int = 6) -> DataFrame:
 
 
 def suppress(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Findings that no ignore rule (rule or *, path pattern as a regex) matches; the rules are the user's short list."""
-    hit = (F.col("i.rule") == F.col("f.rule")) | (F.col("i.rule") == "*")
-    return findings.alias("f").join(F.broadcast(rules).alias("i"), hit & F.expr("f.file rlike i.pattern"), "left_anti")
+    """Findings that no ignore rule (rule or *, pattern: a regex of paths) matches. A rule without a pattern matches all of its
+    findings, one with a pattern none without a file. The findings' rules are known to be few: rules for each of them and for
+    all are joined by the finding's rule, whose size is checked by Spark before it is broadcast."""
+    named = findings.select(F.col("rule").alias("of")).distinct()
+    wide = rules.alias("i").join(named, (F.col("i.rule") == F.col("of")) | (F.col("i.rule") == "*")).groupBy("of")
+    patterns = wide.agg(F.bool_or(F.coalesce("pattern", F.lit("")) == "").alias("all"), F.collect_set("pattern").alias("patterns"))
+    held = findings.join(patterns, findings["rule"] == patterns["of"], "left")
+    hit = F.coalesce("all", F.lit(False)) | F.coalesce(F.exists("patterns", lambda p: F.rlike(F.col("file"), p)), F.lit(False))
+    return held.where(~hit).select(*findings.columns)
+
+
+def configured(findings: DataFrame, rules: DataFrame, severities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a configuration makes of findings: those that stay, with the severities (rule, severity) it gives to rules; and one row
+    of numbers, suppressed and overridden. Severities that aren't known change nothing."""
+    kept = suppress(findings, rules)
+    new = severities.where(F.col("severity").isin(*SEVERITIES)).select("rule", F.col("severity").alias("__new")).dropDuplicates(["rule"])
+    told = kept.join(new, "rule", "left").withColumn("__changed", F.coalesce(F.col("__new") != F.col("severity"), F.lit(False)))
+    counts = told.agg(F.count("*").alias("kept"), F.count_if("__changed").alias("overridden"))
+    numbers = findings.agg(F.count("*").alias("n")).crossJoin(counts)  # one row each
+    stay = told.withColumn("severity", F.coalesce("__new", "severity")).select(*findings.columns)
+    return stay, numbers.select((F.col("n") - F.col("kept")).alias("suppressed"), "overridden")
+
+
+def failed_jobs(jobs: DataFrame, most: int = 50) -> DataFrame:
+    """The jobs (job, status, updated_at, ...) that failed or are dead letters, newest first."""
+    return jobs.where(F.col("status").isin("FAILED", "DEAD_LETTER")).orderBy(F.desc("updated_at"), "job").limit(most)
+
+
+def summary(files: DataFrame, symbols: DataFrame, nodes: DataFrame, edges: DataFrame, routes: DataFrame) -> DataFrame:
+    """One row of a repository's numbers: files (path, is_test), symbols (kind), IMPORTS edges, tests, and routes: as many as
+    were found or as the graph has nodes of, whichever are more."""
+    counts = [
+        files.agg(F.count("*").alias("files"), F.count_if("is_test").alias("tests")),
+        symbols.agg(F.count_if(F.col("kind") == "FUNCTION").alias("functions"), F.count_if(F.col("kind") == "CLASS").alias("classes")),
+        edges.agg(F.count_if(F.col("type") == "IMPORTS").alias("dependencies")),
+        nodes.agg(F.count_if(F.col("type") == "API_ROUTE").alias("__nodes")),
+        routes.agg(F.count("*").alias("__routes")),
+    ]
+    row = counts[0]
+    for c in counts[1:]:
+        row = row.crossJoin(c)  # one row each
+    return row.withColumn("api_routes", F.greatest("__nodes", "__routes")).drop("__nodes", "__routes")
 
 
 def latest(history: DataFrame) -> DataFrame:
@@ -113,8 +152,9 @@ def sparkline(history: DataFrame) -> DataFrame:
 
 
 def new_runs(history: DataFrame, incoming: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Incoming runs that history hasn't; nulls are equal to nulls."""
-    on = F.lit(True)
+    """Incoming runs that history hasn't, by keys of which the first is the repository; nulls are equal to nulls. A run that has
+    none of the other keys (no sha at all) is never held to be known."""
+    on = F.coalesce(*[incoming[k].cast("string") for k in keys[1:]]).isNotNull()
     for k in keys:
         on = on & incoming[k].eqNullSafe(history[k])
     return incoming.join(history, on, "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplet.operators import coverage, graph, impact, paths, tables
 from ripplet.plans.catalog import FILES, FINDINGS, GRAPH, HISTORY, REACH, SLASHED, _edges, _findings, _query, _text
-from ripplet.plans.rules import JOBS, SYMBOL_ID, SYMBOLS, _jobs, relationship_scores
+from ripplet.plans.rules import JOBS, SYMBOL_ID, SYMBOLS, TEST_SQL, _jobs, relationship_scores
 from ripplet.sources import driver_tables as src
 from ripplet.sources.scratch import written
 
@@ -62,10 +62,18 @@ def primary_sources(spark, sf_dir):
     return src.files(spark, sf_dir).select("path").where(coverage.is_primary(F.col("path")))
 
 
+def _quoted(quote: str) -> str:
+    """Routes between two quotes of one kind, on lines l."""
+    q = quote.replace("'", "''")
+    verb = rf"(?i)\b[A-Za-z_$][\w$]*\s*\.\s*(get|post|put|patch|delete|options|head|all|use)\s*\(\s*{q}([/*][^''\"`]*){q}"
+    chained = rf"(?i)\.route\s*\(\s*{q}([^''\"`]+){q}\s*\)\s*\.\s*(get|post|put|patch|delete|all)\s*\("
+    pick = lambda pattern, k: f"unnest(regexp_extract_all(text, '{pattern}', {k}))"
+    return f"select path, line, {pick(verb, 1)} as method, {pick(verb, 2)} as route from l union all select path, line, {pick(chained, 2)}, {pick(chained, 1)} from l"
+
+
 @_query(
     f"""with {FILES}, l as (select path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from files),
- r as (select path, line, unnest(regexp_extract_all(text, {_text(coverage.VERB_ROUTE)}, 1)) as method, unnest(regexp_extract_all(text, {_text(coverage.VERB_ROUTE)}, 2)) as route from l
- union all select path, line, unnest(regexp_extract_all(text, {_text(coverage.CHAINED_ROUTE)}, 2)), unnest(regexp_extract_all(text, {_text(coverage.CHAINED_ROUTE)}, 1)) from l) select path, line::int as line, upper(method) as method, route from r"""
+ r as ({" union all ".join(map(_quoted, ("'", '"', "`")))}) select path, line::int as line, upper(method) as method, route from r"""
 )
 def express_routes(spark, sf_dir):
     return coverage.routes(src.files(spark, sf_dir))
@@ -98,7 +106,7 @@ def change_seeds(spark, sf_dir):
     return impact.change_seeds(files.select("path"), s.select("path", F.concat_ws(":", "kind", "path", name).alias("id")), 2)
 
 
-@_query(f"with {HISTORY}, old as (select repository_id, nullif(status, 'P') as sha from h where run_id % 3 > 0), new as (select repository_id, run_id, nullif(status, 'P') as sha from h where run_id % 3 = 0) select n.repository_id, n.run_id, n.sha from new n where not exists (select 1 from old o where o.repository_id = n.repository_id and o.sha is not distinct from n.sha)")
+@_query(f"with {HISTORY}, old as (select repository_id, nullif(status, 'P') as sha from h where run_id % 3 > 0), new as (select repository_id, run_id, nullif(status, 'P') as sha from h where run_id % 3 = 0) select n.repository_id, n.run_id, n.sha from new n where not exists (select 1 from old o where o.repository_id = n.repository_id and o.sha = n.sha)")
 def history_append(spark, sf_dir):
     h = src.history(spark, sf_dir).select("repository_id", "run_id", F.nullif("status", F.lit("P")).alias("sha"))
     return tables.new_runs(h.where("run_id % 3 > 0"), h.where("run_id % 3 = 0"), ("repository_id", "sha"))
@@ -110,10 +118,9 @@ def history_list(spark, sf_dir):
     return h.select("run_id", "created_at").orderBy(F.desc("created_at"), F.desc("run_id")).limit(20)
 
 
-@_query(f"with {JOBS} select job, status, attempts from jobs where status in ('DEAD_LETTER', 'RETRYING') order by updated_at desc, job limit 50")
+@_query(f"with {JOBS} select job, status, attempts from jobs where status in ('FAILED', 'DEAD_LETTER') order by updated_at desc, job limit 50")
 def failed_jobs(spark, sf_dir):
-    j = _jobs(spark, sf_dir).where("status in ('DEAD_LETTER', 'RETRYING')")
-    return j.orderBy(F.desc("updated_at"), "job").limit(50).select("job", "status", "attempts")
+    return tables.failed_jobs(_jobs(spark, sf_dir)).select("job", "status", "attempts")
 
 
 @_query("with o as (select o_orderkey as id, case when o_orderkey % 6 > 0 then o_orderdate::timestamp + to_hours((o_orderkey % 3 + 1) * 24) end as expires_at from orders) select id, expires_at, coalesce(expires_at <= timestamp '1996-06-01', false) as expired from o")
@@ -141,17 +148,17 @@ def check_summary(spark, sf_dir):
     return _findings(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@_query(GRAPH + "select (select count(distinct file) from nodes) as files, (select count(*) from nodes where type in ('FUNCTION', 'METHOD', 'SERVICE')) as functions, (select count(*) from nodes where type = 'COMPONENT') as classes, (select count(*) from edges) as dependencies, (select count(*) from nodes where file like '%.test.%') as tests, greatest(25, (select count(*) from nodes where type = 'API_ROUTE')) as api_routes")
+@_query(
+    GRAPH
+    + f""", {FILES}, {SYMBOLS} select (select count(*) from files) as files, (select count(*) from files where {TEST_SQL}) as tests,
+ (select count(*) from symbols where kind = 'FUNCTION') as functions, (select count(*) from symbols where kind = 'CLASS') as classes,
+ (select count(*) from edges where type = 'IMPORTS') as dependencies, greatest((select count(*) from nodes where type = 'API_ROUTE'), (select count(*) from orders where o_orderstatus = 'F')) as api_routes"""
+)
 def repo_summary(spark, sf_dir):
-    n = src.nodes(spark, sf_dir)
-    row = n.agg(
-        F.count_distinct("file").alias("files"),
-        F.count_if(F.col("type").isin("FUNCTION", "METHOD", "SERVICE")).alias("functions"),
-        F.count_if(F.col("type") == "COMPONENT").alias("classes"),
-        F.count_if(F.col("file").contains(".test.")).alias("tests"),
-        F.greatest(F.lit(25), F.count_if(F.col("type") == "API_ROUTE")).alias("api_routes"),
-    )
-    return row.crossJoin(_edges(spark, sf_dir).agg(F.count("*").alias("dependencies")))  # one row each
+    files = src.files(spark, sf_dir)
+    marked = files.select("path", paths.is_test_file(F.col("path")).alias("is_test"))
+    found = src.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")  # stand for routes of a detector
+    return tables.summary(marked, src.symbols(files), src.nodes(spark, sf_dir), _edges(spark, sf_dir), found)
 
 
 @_query(f"with {FILES}, {SYMBOLS} select path, {SYMBOL_ID} as id from symbols where (kind <> 'METHOD' and name = 'save') or (kind = 'METHOD' and (name = 'save' or owner || '.' || name = 'save' or ends_with(owner || '.' || name, '.save')))")

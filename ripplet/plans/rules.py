@@ -53,7 +53,7 @@ def important_modules(spark, sf_dir):
     return paths.important_modules(src.files(spark, sf_dir))
 
 
-PRESENT = " union all ".join(f"select '{r}' as rule, path, seq from files where regexp_matches(path, {_text(p)})" for p, r in checks.PATH_RULES)
+PRESENT = " union all ".join(f"select '{r}' as rule, {SLASHED} as path, seq from files where regexp_matches({SLASHED}, {_text(p)})" for p, r in checks.PATH_RULES)
 
 
 @_query(f"with {FILES}, h as ({PRESENT}) select rule, arg_min(path, seq) as path from h group by rule")
@@ -68,15 +68,21 @@ def auth_changes(spark, sf_dir):
     return f.select(F.col("path").alias("file"), ident.alias("id"))
 
 
-ANY_SQL = """a as (select path, string_split_regex(content, '\\bany\\b') as parts from files), k as (select path, parts, unnest(range(1, least(len(parts) - 1, 8) + 1)) as k from a),
- b as (select path, array_to_string(parts[1:k], 'any') as before, parts[k + 1] as after from k),
- c as (select string_split_regex(content, 'catch\\s*\\([^)]*\\)\\s*\\{\\s*\\}') as parts, path from files), d as (select path, unnest(range(1, len(parts))) as k, parts from c)"""
+def _places(pattern: str, most: str) -> str:
+    """Each occurrence with the text up to it, put together again from what matches and what lies between."""
+    parted = f"select path, string_split_regex(content, '{pattern}') as parts, regexp_extract_all(content, '{pattern}') as m from files where not {TEST_SQL}"
+    return f"select path, unnest(range(1, {most} + 1)) as k, parts, m from ({parted}) where len(m) > 0"
+
+
+UP_TO = "array_to_string(list_transform(range(1, k + 1), lambda i: parts[i] || case when i < k then m[i] else '' end), '')"
+ANY_SQL, CATCH_SQL = _places(r"\bany\b", "least(len(m), 8)"), _places(r"catch\s*\([^)]*\)\s*\{\s*\}", "len(m)")
 
 
 @_query(
-    f"""with {FILES}, {ANY_SQL} select distinct 'unsafe_any' as rule, 'low' as severity, 'Unsafe any usage' as title, path as file, (len(before) - len(replace(before, chr(10), '')) + 1)::int as line from b
- where regexp_matches(right(before, 3) || 'any' || after[1:3], ':\\s*any\\b|as\\s+any\\b|<any>')
- union all select distinct 'weak_error_handling', 'medium', 'Empty catch block', path, (len(array_to_string(parts[1:k], 'any')) - len(replace(array_to_string(parts[1:k], 'any'), chr(10), '')) + 1)::int from d"""
+    rf"""with {FILES}, a as ({ANY_SQL}), b as (select path, {UP_TO} as before, coalesce(parts[k + 1] || coalesce(m[k + 1], ''), '') as after from a),
+ c as ({CATCH_SQL}), d as (select path, {UP_TO} as before from c)
+ select distinct 'unsafe_any' as rule, 'low' as severity, 'Unsafe any usage' as title, path as file, len(string_split(before, chr(10)))::int as line from b where regexp_matches(right(before, 3) || 'any' || after[1:3], ':\s*any\b|as\s+any\b|<any>')
+ union all select distinct 'weak_error_handling', 'medium', 'Empty catch block', path, len(string_split(before, chr(10)))::int from d"""
 )
 def text_findings(spark, sf_dir):
     return checks.text_findings(src.files(spark, sf_dir))
@@ -107,12 +113,12 @@ SYMBOLS = f"""symbols as (select path, seq, ['FUNCTION', 'CLASS', 'METHOD', 'FUN
  from files, range(4) t(i))"""
 
 
-@_query(f"with {FILES}, {SYMBOLS} select rule, severity, path as file, name as symbol from (select *, 'large_function' as rule, 'medium' as severity from symbols where kind = 'FUNCTION' and end_line - start_line + 1 >= 80 union all select *, 'large_class', 'medium' from symbols where kind = 'CLASS' and end_line - start_line + 1 >= 250 union all select *, 'high_complexity_function', case when complexity >= 25 then 'high' else 'medium' end from symbols where kind <> 'CLASS' and complexity >= 15)")
+@_query(f"with {FILES}, {SYMBOLS} select rule, severity, path as file, case when kind = 'METHOD' then owner || '.' || name else name end as symbol from (select *, 'large_function' as rule, 'medium' as severity from symbols where kind = 'FUNCTION' and end_line - start_line + 1 >= 80 union all select *, 'large_class', 'medium' from symbols where kind = 'CLASS' and end_line - start_line + 1 >= 250 union all select *, 'high_complexity_function', case when complexity >= 25 then 'high' else 'medium' end from symbols where kind <> 'CLASS' and complexity >= 15) where not {TEST_SQL}")
 def size_findings(spark, sf_dir):
     return checks.size_findings(src.symbols(src.files(spark, sf_dir)))
 
 
-@_query(f"with {FILES}, {SYMBOLS} select name, count(*) as n from symbols where kind = 'FUNCTION' group by name having count(*) >= 4 and len(name) >= 3 and not regexp_matches(name, {_text(checks.COMMON_NAMES)})")
+@_query(f"with {FILES}, {SYMBOLS} select name, count(*) as n from symbols where kind = 'FUNCTION' and not {TEST_SQL} group by name having count(*) >= 4 and len(name) >= 3 and not regexp_matches(name, {_text(checks.COMMON_NAMES)})")
 def repeated_names(spark, sf_dir):
     return checks.repeated_names(src.symbols(src.files(spark, sf_dir)))
 
@@ -210,7 +216,7 @@ def changed_lines(spark, sf_dir):
 def enclosing_symbols(spark, sf_dir):
     files = src.files(spark, sf_dir)
     lines = diffs.changed_lines(src.patches(files)).where("side = 'new'").select("path", F.col("line").cast("long").alias("line"))
-    return diffs.enclosing(lines, src.symbols(files))
+    return diffs.enclosing(lines, src.symbols(files)).select("path", "line", "name")
 
 
 NAMES_SQL = " union ".join(f"select path, regexp_extract(text, {_text(p)}, 1) as name from l" for p in diffs.DECLARED)
@@ -259,11 +265,11 @@ def delivery_states(spark, sf_dir):
 
 
 JOB_STATES = ("QUEUED", "RUNNING", "RETRYING", "SUCCEEDED", "DEAD_LETTER")
-JOBS = f"jobs as (select o_orderkey as job, {_list(JOB_STATES)}[o_orderkey % 5 + 1] as status, (o_orderkey % 4)::int as attempts, o_orderdate::timestamp as updated_at from orders)"
+JOBS = f"jobs as (select o_orderkey as job, {_list((*JOB_STATES, 'FAILED'))}[o_orderkey % 6 + 1] as status, (o_orderkey % 4)::int as attempts, o_orderdate::timestamp as updated_at from orders)"
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.element_at(F.array(*map(F.lit, JOB_STATES)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, (*JOB_STATES, "FAILED"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
     o = src.table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("job"), status.alias("status"), (F.col("o_orderkey") % 4).cast("int").alias("attempts"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
 

@@ -134,12 +134,12 @@ CODE = (
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, seq, content of one file for each document."""
+    """path, seq, content of one file for each document: its whole text between six and six lines of source text."""
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
     n = F.col("doc_id")
     path = F.replace(pick(PATHS, n), F.lit("{n}"), n.cast("string"))
     lines = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: pick(CODE, n * 7 + k * 5))
-    return table(spark, sf_dir, "documents").select(path.alias("path"), n.alias("seq"), F.array_join(lines, "\n").alias("content"))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), n.alias("seq"), F.concat_ws("\n", F.array_join(F.slice(lines, 1, 6), "\n"), "text", F.array_join(F.slice(lines, 7, 6), "\n")).alias("content"))
 
 
 def symbols(files: DataFrame) -> DataFrame:

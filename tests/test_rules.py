@@ -94,3 +94,72 @@ def test_inventory_and_kinds(spark):
     assert [r[0] for r in values(spark, rows, "p string", text.language(F.col("p")))] == ["YAML", "JavaScript", None, "Jsonnet", "Markdown"]
     rows = [(p,) for p in ("d/Dockerfile.dev", "x.RS", "LICENSE", "a.b/c", "q.Weird")]
     assert [r[0] for r in values(spark, rows, "p string", tables.kind(F.col("p")))] == ["Docker", "Rust", "other", "other", "weird"]
+
+
+def test_lines_of_findings_in_texts_count_what_stands_in_matches_too(spark):
+    blocks = "a\ncatch (e) {\n}\nb\ncatch (e) {\n\n}\nc\ncatch(x){}\n"
+    rows = [("src/a.ts", 1, blocks), ("t/__tests__/x.test.ts", 2, "catch (e) {}\nlet x: any"), ("src/b.ts", 3, "any\nlet a: any, b:any\nas any; many <any>\nany(y)" + "\nany" * 20), ("src/c.ts", 4, None)]
+    got = sorted((r.file, r.rule, r.line) for r in checks.text_findings(spark.createDataFrame(rows, "path string, seq long, content string")).collect())
+    assert got == [("src/a.ts", "weak_error_handling", 2), ("src/a.ts", "weak_error_handling", 5), ("src/a.ts", "weak_error_handling", 9), ("src/b.ts", "unsafe_any", 2), ("src/b.ts", "unsafe_any", 3)]
+    places = checks.occurrences(spark.createDataFrame([("p", 1, "anyany any any\nany")], "path string, seq long, content string"), r"\bany\b").orderBy("k").collect()
+    assert [(r.line, r.around) for r in places] == [(1, "ny any an"), (1, "ny any\nan"), (2, "ny\nany")]
+
+
+def test_sizes_and_names_leave_tests_out_and_name_methods_by_class(spark):
+    rows = [("a.ts", "METHOD", "Store", "save", 1, 5, 16), ("a.ts", "FUNCTION", None, "big", 1, 80, 25), ("a.test.ts", "FUNCTION", None, "big", 1, 80, 25), ("a.ts", "CLASS", None, "Store", 1, 250, 30)]
+    rows += [(f"{i}.test.ts", "FUNCTION", None, "copied", 1, 2, 1) for i in range(4)] + [(f"{i}.ts", "FUNCTION", None, "same", 1, 2, 1) for i in range(4)]
+    table = spark.createDataFrame(rows, "path string, kind string, owner string, name string, start_line int, end_line int, complexity int")
+    got = sorted((r.rule, r.severity, r.symbol) for r in checks.size_findings(table).collect())
+    assert got == [("high_complexity_function", "high", "big"), ("high_complexity_function", "medium", "Store.save"), ("large_class", "medium", "Store"), ("large_function", "medium", "big")]
+    assert [tuple(r) for r in checks.repeated_names(table).collect()] == [("same", 4)]
+
+
+def test_quotes_of_a_route_are_the_same(spark):
+    text = """app.get('/x", y)\nit.get('/it"s')\nr.post("/a"); r.use(`*`)\nx.route('/b').put(h) .route("/c').get(h)\nx.get('nope')"""
+    rows = coverage.routes(spark.createDataFrame([("p", text)], "path string, content string")).collect()
+    assert sorted((r.line, r.method, r.route) for r in rows) == [(3, "POST", "/a"), (3, "USE", "*"), (4, "PUT", "/b")]
+
+
+def test_ignore_rules_and_severities(spark):
+    findings = spark.createDataFrame([("a", "src/x.ts", "low"), ("a", None, "low"), ("b", "src/x.ts", "low"), ("b", "lib/y.ts", "low"), ("c", "lib/y.ts", "high")], "rule string, file string, severity string")
+    rules = spark.createDataFrame([("a", paths.glob_pattern("src/**")), ("*", paths.glob_pattern("src/*.ts")), ("none", None)], "rule string, pattern string")
+    assert sorted((r.rule, str(r.file)) for r in tables.suppress(findings, rules).collect()) == [("a", "None"), ("b", "lib/y.ts"), ("c", "lib/y.ts")]
+    everything = spark.createDataFrame([("b", None), ("c", "")], "rule string, pattern string")
+    assert {r.rule for r in tables.suppress(findings, everything).collect()} == {"a"}
+    stay, numbers = tables.configured(findings, rules, spark.createDataFrame([("b", "critical"), ("c", "high"), ("a", "odd")], "rule string, severity string"))
+    assert sorted((r.rule, r.severity) for r in stay.collect()) == [("a", "low"), ("b", "critical"), ("c", "high")]
+    assert tuple(numbers.first()) == (2, 1)
+
+
+def test_failed_jobs_and_runs_without_a_sha(spark):
+    rows = [(1, "FAILED", 5), (2, "RETRYING", 9), (3, "DEAD_LETTER", 7), (4, "SUCCEEDED", 8)]
+    assert [r.job for r in tables.failed_jobs(spark.createDataFrame(rows, "job long, status string, updated_at long")).collect()] == [3, 1]
+    old = spark.createDataFrame([(1, "x", None), (1, None, None), (1, "y", "z")], "repo long, sha string, base string")
+    new = spark.createDataFrame([(1, "x", None), (1, None, None), (2, "x", None), (1, "y", None)], "repo long, sha string, base string")
+    got = [tuple(r) for r in tables.new_runs(old, new, ("repo", "sha", "base")).collect()]
+    assert sorted(got, key=str) == [(1, "y", None), (1, None, None), (2, "x", None)]
+
+
+def test_a_summary_counts_what_there_is(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    row = tables.summary(
+        one([("a.ts", False), ("a.test.ts", True)], "path string, is_test boolean"),
+        one([("FUNCTION",), ("METHOD",), ("CLASS",)], "kind string"),
+        one([("API_ROUTE",), ("API_ROUTE",), ("FILE",)], "type string"),
+        one([("IMPORTS",), ("CALLS",)], "type string"),
+        one([(1,)], "route long"),
+    ).first()
+    assert row.asDict() == {"files": 2, "tests": 1, "functions": 1, "classes": 1, "dependencies": 1, "api_routes": 2}
+
+
+def test_patches_of_one_file_in_several_changes_stay_apart(spark):
+    rows = [(1, "p", "@@ -1,1 +1,1 @@\n-a\n+b"), (2, "p", "@@ -8,0 +9,1 @@\n+c")]
+    got = sorted((r.change, r.side, r.line) for r in diffs.changed_lines(spark.createDataFrame(rows, "change long, path string, patch string")).collect())
+    assert got == [(1, "new", 1), (1, "old", 1), (2, "new", 9)]
+
+
+def test_the_first_node_of_an_id_stands(spark):
+    files = spark.createDataFrame([("a.ts", 5)], "path string, seq long")
+    symbols = spark.createDataFrame([("a.ts", 2, "CLASS", None, "X"), ("a.ts", 1, "CLASS", None, "X")], "path string, seq long, kind string, owner string, name string")
+    rows = build.build_nodes(files, symbols, spark.createDataFrame([("a.ts", "E"), ("a.ts", "E")], "path string, name string")).collect()
+    assert sorted(r.id for r in rows) == ["CLASS:a.ts:X", "ENV_VARIABLE:a.ts:E", "FILE:a.ts"]
