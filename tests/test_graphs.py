@@ -4,7 +4,7 @@ import difflib
 import random
 from collections import deque
 
-from ripplet.operators import cycles, semantic, shortest
+from ripplet.operators import cycles, expectations, semantic, shortest
 from ripplet.sources.scratch import written
 
 SIDE = "change long, path string, kind string, owner string, name string, parameters array<string>, return_type string, calls array<string>, body string, start_line int, end_line int"
@@ -236,3 +236,47 @@ def test_symbols_of_both_sides(spark):
     old = spark.createDataFrame([(7, "f.ts", "METHOD", "C", "m", 2, 2), (7, "f.ts", "FUNCTION", None, "late", 8, 9)], spans)
     got = sorted((r.change, r.kind, r.owner, r.name) for r in semantic.changed_symbols(changed, new, old).collect())
     assert got == [(7, "FUNCTION", None, "late"), (7, "METHOD", "C", "m")]
+
+
+# Expected edges
+
+
+def judged(e, edges):
+    """One expectation against every edge."""
+    kind = e["type"] or "CALLS"
+    leaves = lambda x: (not e["src"] or x["src"] == e["src"]) and (not e["src_part"] or e["src_part"] in x["src"])
+    arrives = lambda x: (not e["dst"] or x["dst"] == e["dst"]) and (not e["dst_part"] or e["dst_part"] in x["dst"])
+    some = any(e[k] for k in ("src", "dst", "src_part", "dst_part"))
+    own = [x for x in edges if x["type"] == kind]
+    hits = [x for x in own if some and leaves(x) and arrives(x)]
+    if e["forbidden"]:
+        return ("FALSE_POSITIVE", hits[0]["id"]) if hits else ("TRUE_POSITIVE", None)
+    if hits:
+        return ("LOW_CONFIDENCE" if hits[0]["confidence"] == "LOW" else "TRUE_POSITIVE", hits[0]["id"])
+    other = [x for x in edges if e["src"] and e["dst"] and (x["src"], x["dst"]) == (e["src"], e["dst"]) and x["type"] != kind]
+    if other:
+        return "WRONG_TYPE", other[0]["id"]
+    out = [x for x in own if leaves(x)] if (e["src"] or e["src_part"]) and e["dst"] else []
+    return ("WRONG_TARGET", out[0]["id"]) if len(out) == 1 and out[0]["dst"] != e["dst"] else ("MISSING_EDGE", None)
+
+
+def test_expectations_are_classed_as_by_all_pairs(spark):
+    rng = random.Random(12)
+    names = ["FILE:src/a.ts", "FILE:src/ab.ts", "FUNCTION:src/a.ts:run", "METHOD:b.ts:C.run", "METHOD:b.ts:C.go", "x", "aé", ""]
+    edges = [dict(id=f"e{i:03}", src=rng.choice(names[:-1]), dst=rng.choice(names[:-1]), type=rng.choice(["CALLS", "IMPORTS", "USES"]), confidence=rng.choice(["HIGH", "LOW"]), seq=i) for i in range(40)]
+    parts = ["src/", "a", "ab", "run", ":C.", "é", "none", "src/a.ts:run", "", None]
+    pick = lambda some: rng.choice([None, *some])
+    wanted = []
+    for i in range(400):
+        wanted.append(dict(id=i, type=pick(["CALLS", "IMPORTS"]), src=pick(names), dst=pick([*names, "nowhere"]), src_part=pick(parts), dst_part=pick(parts), forbidden=rng.random() < 0.2, soft=None))
+    wanted.append(dict(id=400, type=None, src=None, dst="", src_part=None, dst_part=None, forbidden=False, soft=True))
+    table = spark.createDataFrame([tuple(e.values()) for e in edges], "id string, src string, dst string, type string, confidence string, seq long")
+    asked = spark.createDataFrame([tuple(w.values()) for w in wanted], "id long, type string, src string, dst string, src_part string, dst_part string, forbidden boolean, soft boolean")
+    classed = expectations.classify(asked, table)
+    got = {r.id: (r["class"], r.edge_id) for r in classed.collect()}
+    assert got == {w["id"]: judged(w, edges) for w in wanted}
+    assert {c for c, _ in got.values()} == {"TRUE_POSITIVE", "FALSE_POSITIVE", "LOW_CONFIDENCE", "WRONG_TYPE", "WRONG_TARGET", "MISSING_EDGE"}
+    plan = classed._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert expectations.classify(asked.limit(0), table).collect() == []
+    assert {r["class"] for r in expectations.classify(asked, table.limit(0)).collect()} == {"TRUE_POSITIVE", "MISSING_EDGE"}
