@@ -23,6 +23,15 @@ BESIDE = frozenset("p pre ul ol dl blockquote table figure section".split())
 AWAY = frozenset("head nav footer aside form button select option label input menu dialog svg math canvas object audio video fieldset datalist map".split())
 #: Names in class, id or role that mark what isn't main text; as a part of a name they only raise a doubt.
 AWAY_NAMES = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion promotions banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations widget widgets login search searchbox pagination pager toolbar skip masthead contentinfo complementary".split())
+#: Words of AWAY_NAMES that mark what readers wrote.
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: What after a first word, or before a last one, takes its meaning away: a name of a layout, or that something isn't there.
+LAYOUT = frozenset("free less wrap wrapper wrapped container layout grid".split())
+WITHOUT = frozenset("has have with no without is content".split())
+#: Words of AWAY_NAMES that also begin or end names of what belongs to a text (related-work).
+OPEN_WORDS = frozenset("related recommended recommendations alert skip search".split())
+#: Characters that have to be left beside readers' comments.
+LEAST_REST = 140
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: What an implied end doesn't reach over.
 FENCE = frozenset("table ul ol dl div article section body blockquote td th main".split())
@@ -50,11 +59,12 @@ def _next(page: str, at: int, open_tags: list[int]) -> re.Match[str] | None:
 
 
 class _Node:
-    __slots__ = ("away", "byline", "holds", "link", "mark", "parent", "prose", "score", "size", "tag", "told")
+    __slots__ = ("away", "byline", "holds", "lead", "link", "mark", "parent", "prose", "score", "size", "tag", "told", "whole")
 
     def __init__(self, tag: str, parent: _Node | None, away: bool, mark: int = 0) -> None:
         self.tag, self.parent, self.away, self.mark, self.holds = tag, parent, away, mark, False
         self.score, self.size, self.link, self.told, self.prose = 0.0, 0, 0, False, False
+        self.lead, self.whole = 0, 0  # _lead() of its names; characters in it, whatever becomes of them
         self.byline = tag == "header" or parent is not None and parent.byline
 
     def plain(self) -> bool:
@@ -87,6 +97,47 @@ def _mark(tag: str, attributes: str, inside: bool) -> int:
     return mark
 
 
+def _lead(tag: str, attributes: str) -> int:
+    """2 if the first or last word of a class, id or role marks readers' words, 1 if it is another of AWAY_NAMES, else 0."""
+    lead = 0
+    if attributes and tag not in ("html", "body", "article", "main"):
+        for found in _NAME.finditer(attributes):
+            for name in (found[1] or found[2] or found[3] or "").split():
+                words = [x.lower() for x in _PART.findall(name)]
+                if len(words) < 2:
+                    continue
+                ends = [words[0]] * (words[1] not in LAYOUT) + [words[-1]] * (words[0] not in WITHOUT)
+                lead = max(lead, 2 if READERS.intersection(ends) else 1 if (AWAY_NAMES - OPEN_WORDS).intersection(ends) else 0)
+    return lead
+
+
+def _scope(node: _Node) -> _Node:
+    """The article, main or body about an element, or the page."""
+    up = node.parent
+    while up and up.parent and up.tag not in ("article", "main", "body"):
+        up = up.parent
+    return up or node
+
+
+def _judge(leads: list[_Node]) -> None:
+    """Elements that the first or last word of a name marks are left out as if it were the whole name, if their article holds as
+    much beside all such elements as an element has, or, beside readers' comments, a few sentences; however long these are."""
+    dropped: dict[_Node, int] = {}
+    for node in leads:
+        up, outer = node.parent, True
+        scope = _scope(node)
+        while up and up is not scope:
+            outer &= not up.lead or up.holds
+            up = up.parent
+        if outer:
+            dropped[scope] = dropped.get(scope, 0) + node.whole
+    for node in leads:
+        scope = _scope(node)
+        rest = scope.whole - dropped.get(scope, 0)
+        if rest >= (LEAST_REST if node.lead == 2 else node.whole):
+            node.mark = 2
+
+
 def _in_heading(node: _Node | None) -> bool:
     while node and node.tag != "header":
         if node.tag in HEADINGS:
@@ -106,14 +157,16 @@ def main_text(page: str | None) -> str:
 
     Of a header inside an article only headings stay; other headers go.
 
-    An element that is named as something else is left out unless it holds an article or main. If only a part of a name
-    says so, its points count half, and it stays if under a quarter of it is links and, beside the winner, with 10 points.
+    An element that is named as something else is left out unless it holds an article or main. So is one whose name begins or
+    ends with such a word (comment-list, post-sidebar), if that leaves as much as the element has, or, of readers' comments, a
+    few sentences. If only another part of a name says so, its points count half, and it stays if under a quarter of it is links and, beside the winner, with 10 points.
     """
     if not page:
         return ""
     root = now = _Node("html", None, False)
     blocks: list[tuple[_Node, str, int]] = []  # where, text, characters in links
     text: list[str] = []
+    leads: list[_Node] = []
     links = depth_link = 0
 
     def flush() -> None:
@@ -188,6 +241,9 @@ def main_text(page: str | None) -> str:
             continue
         away = now.away or _away(tag, found[4], inside > 0)
         now = _Node(tag, now, away, 0 if away else _mark(tag, found[4], inside > 0))
+        if now.mark == 1 and (lead := _lead(tag, found[4])):
+            now.lead = lead
+            leads.append(now)
         if tag in ("article", "main") and not away:
             node = now.parent
             while node and not node.holds:
@@ -196,6 +252,12 @@ def main_text(page: str | None) -> str:
         depth_link += tag == "a"
         inside += tag in ("article", "main")
     flush()
+    if leads:
+        for node, said, _ in blocks:
+            while node:
+                node.whole += len(said)
+                node = node.parent
+        _judge([x for x in leads if not x.holds])
 
     def marked(node: _Node) -> int:
         """The greatest mark of node and the elements about it, but of those that hold an article or main."""

@@ -258,6 +258,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, with_bytes: bool = False)
     partly = parts.join(entries.select("entry", "first"), "entry")
     partly = partly.select("first.k1", "first.k2", (F.col("first.at") + F.col("off")).alias("at"), F.lit(1).alias("n"))
     whole = found.join(entries.where("times > 1").select("inner", "outer"), ["inner", "outer"], "left_semi").select("k1", "k2", "at", "n")
-    spans = whole.union(partly).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n")).alias("found"))
+    # Rows that are equal in doc_id and text have the same places: once, before they meet, so that no list grows with their number.
+    spans = whole.union(partly).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n")).alias("found"))
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>, kept binary"
     return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "found").mapInArrow(_remove(width, with_bytes), result)

@@ -166,3 +166,11 @@ def test_line_dedup_of_nothing_and_of_clashing_columns(spark):
     odd = spark.createDataFrame([(1, "a line here\na line here", "x", 5)], "doc_id long, text string, h string, n_lines int")
     row = line_dedup.dedup_lines(odd).first()
     assert (row.text, row.h, row.n_lines, row.n_removed) == ("a line here", "x", 2, 1)
+
+
+def test_repeats_of_many_equal_rows_take_time_in_proportion(spark):
+    """Equal rows are copies of each other; their places are listed once, however many there are."""
+    text = " ".join(prose(random.Random(3), 800))
+    rows = repeats.remove_repeats(table(spark, [(None, text)] * 2_000 + [(1, "short")]), 400).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    n = len(text.encode())
+    assert sorted(tuple(r) for r in rows) == sorted([(n, n, 1, 2_000), (5, 0, 0, 1)])

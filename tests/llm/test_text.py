@@ -263,3 +263,27 @@ def test_site_quality_leaves_a_document_out_of_its_own_path(spark):
     docs = spark.createDataFrame([(1, "w " * 80, "h/a"), (2, "w " * 80, "h/b"), (2, "x", "h/b"), (None, None, None)], "doc_id long, text string, source string").withColumn("lang", F.lit(None).cast("string"))
     rows = site_quality.site_quality(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert len(rows) == 4 and len({r.quality_score for r in rows}) > 0 and all(0 < r.quality_score < 1 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["comment-list", "comments-area", "ad-slot", "newsletter-signup", "cookie-notice", "post-sidebar", "sidebar-box", "widget-area", "commentList", "reply_form", "adSlot"])
+@pytest.mark.parametrize("outer", ["<article>{}</article>", "<main>{}</main>", "<div class='post'>{}</div>"])
+def test_main_text_leaves_out_compound_names(name, outer):
+    para = "A sentence of the article, with a comma and some more words in it, is here. "
+    body = "".join(f"<p>{para * 2}</p>" for _ in range(4))
+    part = f'<div class="{name}"><p>Not of the article, this, but of something else. It is short.</p></div>'
+    text = " ".join([(para * 2).strip()] * 4)
+    assert html_text.main_text(f"<body>{outer.format(body + part)}</body>") == text
+    assert html_text.main_text(f"<body>{outer.format(part + body)}</body>") == text
+
+
+def test_main_text_leaves_out_comments_however_long():
+    para = "<p>" + "A sentence of the article, with a comma and some more words in it, is here. " * 3 + "</p>"
+    comments = '<div class="comments-area"><ol>' + "<li><p>A reader says, at length, what others said before. And more, and more.</p></li>" * 60 + "</ol></div>"
+    assert html_text.main_text(f"<article><h1>T</h1>{para}{comments}</article>") == "T " + para[3:-4].strip()
+
+
+@pytest.mark.parametrize("name", ["comment-page", "ad-free", "has-sidebar", "widget-text", "related-work", "content-sidebar"])
+def test_main_text_is_not_lost_by_compound_names_of_what_holds_most_of_it(name):
+    para = "A sentence of the article, with a comma and some more words in it, is here. "
+    inner = "".join(f"<p>{para * 2}</p>" for _ in range(3))
+    assert html_text.main_text(f'<body><div class="{name}">{inner}</div><p>End.</p></body>').startswith(" ".join([(para * 2).strip()] * 3))
