@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ripplet.plans.catalog import _query
 from ripplet.sources import driver_tables as src
+from ripplet.sources.scratch import shared_dir
+from ripplet.sources.store import Store
 from ripplet.streaming import jobs
 
 
@@ -56,3 +60,22 @@ def job_records(spark, sf_dir):
     )
     first = created.select("job", "f.ts", F.lit("QUEUED").alias("status"), F.lit(0).cast("long").alias("attempts"), F.lit(None).cast("string").alias("last_error"))
     return jobs.job_records(first, updates)
+
+
+@_query(
+    """with a as (select o_custkey as repository_id, o_orderkey as analysis_id, o_orderdate::timestamp as analyzed_at, o_orderstatus as status from orders),
+ r as (select repository_id, arg_max(a, (analyzed_at, analysis_id)) as l from a group by 1)
+ select l.repository_id, l.analysis_id, l.analyzed_at, l.status, c_name as repository from r join customer on c_custkey = repository_id"""
+)
+def saved_analyses(spark, sf_dir):
+    orders = src.table(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_custkey").alias("repository_id"), F.col("o_orderkey").alias("analysis_id"), F.col("o_orderdate").cast("timestamp").alias("analyzed_at"), F.col("o_orderstatus").alias("status"))
+    store = Store(spark, f"{shared_dir(spark)}/analyses-{uuid.uuid4().hex}", "repository_id", 16)
+    order = ["analyzed_at", "analysis_id"]
+    for batch, status in enumerate(("F", "O", "P")):  # each batch is upserted over those before it, if it is newer
+        new = rows.where(F.col("status") == status)
+        if batch:
+            new = new.unionByName(store.read())
+        store.upsert(new, order, "orders", batch)
+    names = src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repository_id"), F.col("c_name").alias("repository"))
+    return store.read().join(names, "repository_id")
