@@ -90,15 +90,17 @@ def line_findings(files: DataFrame) -> DataFrame:
     return rows.select(ident, "f.rule", F.lit("security").alias("category"), "f.severity", "f.title", F.col("path").alias("file"), line, "f.evidence", order)
 
 
-def occurrences(files: DataFrame, pattern: str, most: int | None = None) -> DataFrame:
-    """(path, seq, k, line, around) of the first `most` occurrences of a pattern in files (path, seq, content), all without it:
-    line is one more than the line feeds before an occurrence; around begins three characters before it and ends three after.
+def occurrences(files: DataFrame, pattern: str, most: int | None = None, groups: dict[str, int] | None = None) -> DataFrame:
+    """(path, seq, k, line, start, around) of the first `most` occurrences of a pattern in files (path, seq, content), all without it:
+    line is one more than the line feeds before an occurrence, start the characters before it; around begins three characters before
+    it and ends three after. groups names columns for groups of the pattern ("" where one took no part).
 
     A text is parted once into what matches and what lies between; the line feeds of both are added up by a window over a file's
     occurrences, so the work is in proportion to the text however many there are.
     """
     between, found = F.split("content", pattern), F.regexp_extract_all("content", F.lit(pattern), F.lit(0))
-    texts = files.select("path", "seq", between.alias("between"), found.alias("found")).where(F.size("found") > 0)
+    taken = {name: F.regexp_extract_all("content", F.lit(pattern), F.lit(i)) for name, i in (groups or {}).items()}
+    texts = files.select("path", "seq", between.alias("between"), found.alias("found"), *[c.alias(f"g_{n}") for n, c in taken.items()]).where(F.size("found") > 0)
     empty = F.array(F.lit(""))
     n = F.size("found")
     zipped = F.arrays_zip(
@@ -107,12 +109,15 @@ def occurrences(files: DataFrame, pattern: str, most: int | None = None) -> Data
         F.concat(empty, F.slice("found", F.lit(1), n - 1)).alias("last"),
         F.slice("between", F.lit(2), n).alias("after"),
         F.concat(F.slice("found", F.lit(2), n), empty).alias("next"),
+        *[F.col(f"g_{name}").alias(f"g_{name}") for name in taken],
     )
     each = texts.select("path", "seq", F.posexplode(zipped if most is None else F.slice(zipped, 1, most)).alias("k", "o"))
-    feeds = F.regexp_count(F.concat("o.last", "o.before"), F.lit("\n"))
-    line = F.sum(feeds).over(Window.partitionBy("path", "seq").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) + 1
+    before = F.concat("o.last", "o.before")
+    ahead = Window.partitionBy("path", "seq").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    line, start = F.sum(F.regexp_count(before, F.lit("\n"))).over(ahead) + 1, F.sum(F.length(before)).over(ahead)
     around = F.concat(F.right(F.concat("o.last", "o.before"), F.lit(3)), F.col("o.hit"), F.left(F.concat("o.after", "o.next"), F.lit(3)))
-    return each.select("path", "seq", "k", line.cast("int").alias("line"), around.alias("around"))
+    names = [F.col(f"o.g_{name}").alias(name) for name in taken]
+    return each.select("path", "seq", "k", line.cast("int").alias("line"), start.cast("long").alias("start"), around.alias("around"), *names)
 
 
 def text_findings(files: DataFrame) -> DataFrame:

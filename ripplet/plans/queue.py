@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ripplet.operators import webhooks
 from ripplet.plans.catalog import _query
 from ripplet.sources import driver_tables as src
 from ripplet.sources.scratch import shared_dir
 from ripplet.sources.store import Store
-from ripplet.streaming import jobs
+from ripplet.streaming import jobs, state
 
 
 @_query(
@@ -79,3 +80,39 @@ def saved_analyses(spark, sf_dir):
         store.upsert(new, order, "orders", batch)
     names = src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repository_id"), F.col("c_name").alias("repository"))
     return store.read().join(names, "repository_id")
+
+
+#: Deliveries made of the events table: of four signatures one is of another key.
+HOOKS = """h as (select event_id, ts, 'd' || (event_id // 3) as delivery, case event_type when 'click' then 'push' when 'view' then 'ping' else 'pull_request' end as event, event_id % 4 = 3 as forged,
+ ['opened', 'closed', 'synchronize'][event_id % 3 + 1] as action, event_id % 5 = 0 as draft, case when event_id % 7 > 0 then 'Org' || user_id % 9 end as owner, 'repo' || user_id as repo, floor(value)::bigint as number, 'sha' || event_id % 11 as sha from events)"""
+
+
+def _deliveries(spark, sf_dir):
+    n, user = F.col("event_id"), F.col("user_id")
+    text = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    kind = F.when(F.col("event_type") == "click", "push").when(F.col("event_type") == "view", "ping").otherwise("pull_request")
+    owner = F.struct(F.when(n % 7 > 0, text("Org", user % 9)).alias("login"))
+    head = F.struct(text("sha", n % 11).alias("sha"))
+    pull = F.struct(F.floor("value").cast("long").alias("number"), (n % 5 == 0).alias("draft"), head.alias("head"))
+    action = F.element_at(F.array(*map(F.lit, ("opened", "closed", "synchronize"))), (n % 3 + 1).cast("int"))
+    body = F.to_json(F.struct(action.alias("action"), pull.alias("pull_request"), F.struct(text("repo", user).alias("name"), owner.alias("owner")).alias("repository")))
+    rows = src.table(spark, sf_dir, "events").select(text("d", F.floor(n / 3)).alias("delivery"), kind.alias("event"), body.alias("body"), "ts", n)
+    key = F.when(n % 4 == 3, "other").otherwise("secret")
+    return rows.withColumn("signature", F.concat(F.lit("sha256="), webhooks.hmac_sha256(key, F.col("body"))))
+
+
+DECISION = """case when forged then 'unauthorized' when event = 'ping' then 'pong' when event <> 'pull_request' or action = 'closed' or draft then 'ignored' when owner is null or coalesce(number, 0) = 0 then 'incomplete' else 'accepted' end"""
+
+
+@_query(f"with {HOOKS} select event_id, {DECISION} as decision from h")
+def webhook_decisions(spark, sf_dir):
+    return webhooks.decided(_deliveries(spark, sf_dir), F.lit("secret")).select("event_id", "decision")
+
+
+@_query(
+    f"""with {HOOKS}, a as (select * from h where {DECISION} = 'accepted'), f as (select delivery, arg_min(a, (ts, event_id)) as e from a group by 1)
+ select 'pr:' || lower(e.owner) || '/' || lower(e.repo) || '#' || e.number || '@' || e.sha as key, e.event_id as event_id, 'job:' || delivery as job from f"""
+)
+def webhook_enqueues(spark, sf_dir):
+    accepted = webhooks.decided(_deliveries(spark, sf_dir), F.lit("secret")).where("decision = 'accepted'")
+    return webhooks.enqueues(state.first_deliveries(accepted)).select("key", "event_id", "job")

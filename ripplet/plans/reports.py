@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.operators import coverage, graph, impact, paths, tables
+from ripplet.operators import coverage, graph, impact, lookahead, paths, tables
 from ripplet.plans.catalog import FILES, FINDINGS, GRAPH, HISTORY, REACH, SLASHED, _edges, _findings, _query, _text
 from ripplet.plans.rules import JOBS, SYMBOL_ID, SYMBOLS, TEST_SQL, _jobs, relationship_scores
 from ripplet.sources import driver_tables as src
@@ -190,3 +190,30 @@ def review_precision(spark, sf_dir):
 @_query("select type, precision, recall, least_precision, least_recall, coalesce(precision >= least_precision, true) and coalesce(recall >= least_recall, true) as attained from (values ('overall', 0.9::double, 0.8::double)) g(type, least_precision, least_recall) join (select 'overall' as type, floor(tp / (tp + fp) * 1000 + 0.5) / 1000 as precision, floor((tp + low) / (tp + low + fn) * 1000 + 0.5) / 1000 as recall from (select count(*) filter (where c in (0, 6, 7)) as tp, count(*) filter (where c = 1) as fp, count(*) filter (where c in (2, 3, 4)) as fn, count(*) filter (where c = 5) as low from (select event_id % 8 as c from events where event_id % 5 <> 0))) using (type)")
 def target_attainment(spark, sf_dir):
     return coverage.attained(relationship_scores(spark, sf_dir).select("type", "precision", "recall"))
+
+
+@_query(
+    rf"""with {FILES}, l as (select path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from files),
+ m as (select *, regexp_extract(text, '^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(', 1) as name, regexp_matches(text, '^\s*@') as at, regexp_matches(text, '^\s*(?:class|def|async\s+def)\b') as other from l),
+ d as (select *, regexp_extract(text, '(?i)^\s*@[A-Za-z_]\w*\s*\.\s*(get|post|put|patch|delete|options|head|route|api_route)\s*\((.*)\)\s*$', 1) as verb, regexp_extract(text, '\((.*)\)\s*$', 1) as said from m),
+ n as (select d.path, d.line, d.verb, d.said, arg_min(m.name, m.line) as name from d left join m on m.path = d.path and m.line between d.line + 1 and d.line + 11 and not m.at and (m.name <> '' or m.other) where d.verb <> '' group by all),
+ r as (select *, regexp_extract(said, '[''"]([^''"]+)[''"]', 1) as route, list_transform(regexp_extract_all(regexp_extract(said, '(?i)methods\s*=\s*\[([^\]]*)\]', 1), '(?i)[''"](GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD)[''"]', 1), lambda x: upper(x)) as listed from n)
+ select path, line::int as line, unnest(case when lower(verb) not in ('route', 'api_route') then [upper(verb)] when len(listed) > 0 then listed else ['ALL'] end) as method,
+  case when route like '/%' then route else '/' || route end as route, nullif(name, '') as handler, case when coalesce(name, '') <> '' then 'HIGH' else 'MEDIUM' end as confidence from r where route <> ''"""
+)
+def decorator_routes(spark, sf_dir):
+    return lookahead.decorator_routes(src.files(spark, sf_dir))
+
+
+MAPPED = r"""@(Get|Post|Put|Patch|Delete|Request)Mapping\s*(?:\(\s*(?:value\s*=\s*)?["'']([^"'']+)["''][^)]*\))?"""
+
+
+@_query(
+    rf"""with {FILES}, a as (select path, content, string_split_regex(content, '{MAPPED}') as parts, regexp_extract_all(content, '{MAPPED}') as m, regexp_extract_all(content, '{MAPPED}', 1) as v, regexp_extract_all(content, '{MAPPED}', 2) as p from files),
+ k as (select *, unnest(range(1, len(m) + 1)) as k from a where len(m) > 0),
+ t as (select *, array_to_string(list_transform(range(1, k + 1), lambda i: parts[i] || case when i < k then m[i] else '' end), '') as before, array_to_string(list_transform(range(k + 1, len(parts) + 1), lambda i: parts[i] || coalesce(m[i], '')), '')[1:400] as after from k)
+ select path, len(string_split(before, chr(10)))::int as line, case v[k] when 'Request' then 'ALL' else upper(v[k]) end as method, case when coalesce(p[k], '') like '/%' then p[k] else '/' || coalesce(p[k], '') end as route,
+  nullif(regexp_extract(after, '\b(?:public|protected|private)\s+(?:static\s+)?(?:[\w.<>\[\]]+)\s+(\w+)\s*\(', 1), '') as handler, nullif(regexp_extract(before, '\bclass\s+(\w+)', 1), '') as class from t"""
+)
+def mapping_routes(spark, sf_dir):
+    return lookahead.mapping_routes(src.files(spark, sf_dir))

@@ -130,6 +130,12 @@ CODE = (
     "return many",
     "Map<any>",
     "xoxb-1234567890-abc",
+    "@app.route('/items', methods=['GET', 'POST'])",
+    "@router.get('health')",
+    "async def list_items(request):",
+    '@GetMapping("/users")',
+    "  public List<String> listUsers(int n) {",
+    "@RequestMapping(value = 'all', produces = X)",
 )
 
 

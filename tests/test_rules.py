@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ripplet.functions import text
-from ripplet.operators import build, checks, coverage, diffs, impact, paths, tables
+from ripplet.operators import build, checks, coverage, diffs, impact, lookahead, paths, tables
 
 
 def values(spark, rows, schema, *columns):
@@ -163,3 +163,34 @@ def test_the_first_node_of_an_id_stands(spark):
     symbols = spark.createDataFrame([("a.ts", 2, "CLASS", None, "X"), ("a.ts", 1, "CLASS", None, "X")], "path string, seq long, kind string, owner string, name string")
     rows = build.build_nodes(files, symbols, spark.createDataFrame([("a.ts", "E"), ("a.ts", "E")], "path string, name string")).collect()
     assert sorted(r.id for r in rows) == ["CLASS:a.ts:X", "ENV_VARIABLE:a.ts:E", "FILE:a.ts"]
+
+
+def test_handlers_of_decorators(spark):
+    text = """@app.route('/a', methods=["GET", 'post'])
+@login_required
+async def first(request):
+@Router . GET("b")
+
+x = 1
+class Other:
+def not_reached():
+@app.post(no_path)
+@app.api_route("/c", methods=[])
+@app.put('/far')"""
+    text += "\n# line" * 10 + "\ndef far():\n@app.delete('/too/far')" + "\n# line" * 11 + "\ndef too_far():\n@app.get('/end')"
+    got = [tuple(r) for r in lookahead.decorator_routes(spark.createDataFrame([("p", text), ("q", None)], "path string, content string")).orderBy("line", "method").collect()]
+    assert got == [
+        ("p", 1, "GET", "/a", "first", "HIGH"),
+        ("p", 1, "POST", "/a", "first", "HIGH"),
+        ("p", 4, "GET", "/b", None, "MEDIUM"),
+        ("p", 10, "ALL", "/c", None, "MEDIUM"),
+        ("p", 11, "PUT", "/far", "far", "HIGH"),
+        ("p", 23, "DELETE", "/too/far", None, "MEDIUM"),
+        ("p", 36, "GET", "/end", None, "MEDIUM"),
+    ]
+
+
+def test_handlers_of_mappings(spark):
+    text = '@GetMapping("early") class A {\n@PostMapping(value = "/b", x = 1)\n  public static Map<String> make(int n) {}\nclass B {}\n@RequestMapping\n@PutMapping(\'/c\')\nprivate void put (x)\n@DeleteMapping("/d")' + " " * 400 + "public void late("
+    got = [tuple(r) for r in lookahead.mapping_routes(spark.createDataFrame([("p", 1, text), ("q", 2, None)], "path string, seq long, content string")).orderBy("line").collect()]
+    assert got == [("p", 1, "GET", "/early", "make", None), ("p", 2, "POST", "/b", "make", "A"), ("p", 5, "ALL", "/", "put", "A"), ("p", 6, "PUT", "/c", "put", "A"), ("p", 8, "DELETE", "/d", None, "A")]
