@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.operators import coverage, graph, impact, lookahead, paths, tables
+from ripplet.operators import checks, coverage, graph, impact, lookahead, paths, tables
 from ripplet.plans.catalog import FILES, FINDINGS, GRAPH, HISTORY, REACH, SLASHED, _edges, _findings, _query, _text
-from ripplet.plans.rules import JOBS, SYMBOL_ID, SYMBOLS, TEST_SQL, _jobs, relationship_scores
+from ripplet.plans.rules import JOBS, PRESENT, SYMBOL_ID, SYMBOLS, TEST_SQL, _jobs, relationship_scores
 from ripplet.sources import driver_tables as src
 from ripplet.sources.scratch import written
 
@@ -132,9 +132,20 @@ def expiries(spark, sf_dir):
     return rows.withColumn("expired", F.coalesce(F.col("expires_at") <= F.lit("1996-06-01").cast("timestamp"), F.lit(False)))
 
 
-@_query("with k as (select unnest(['docker', 'kubernetes', 'terraform', 'helm']) as kind, unnest([0, 1, 2, 3]) as rank), n as (select kind as src, lead(kind) over (order by rank) as dst from k) select src, dst, 'DEPLOYS:' || src || ':' || dst as id, 'LOW' as confidence from n where dst is not null")
+#: Kinds of infrastructure in the order in which one deploys to the next, and the rules by path that show them.
+INFRA = (("docker", "docker_present"), ("kubernetes", "kubernetes_present"), ("terraform", "terraform_present"), ("helm", "helm_changed"))
+
+
+@_query(
+    f"""with {FILES}, h as ({PRESENT}), r as (select distinct case rule when 'docker_present' then 0 when 'kubernetes_present' then 1 when 'terraform_present' then 2 when 'helm_changed' then 3 end as rank from h),
+ k as (select rank, ['docker', 'kubernetes', 'terraform', 'helm'][rank + 1] as kind from r where rank is not null), n as (select kind as src, lead(kind) over (order by rank) as dst from k)
+ select src, dst, 'DEPLOYS:' || src || ':' || dst as id, 'LOW' as confidence from n where dst is not null"""
+)
 def infra_chain(spark, sf_dir):
-    return graph.infra_chain(spark.createDataFrame([("docker", 0), ("kubernetes", 1), ("terraform", 2), ("helm", 3)], "kind string, rank int"))
+    found = paths.first_paths(src.files(spark, sf_dir), checks.PATH_RULES)
+    of = lambda values: F.coalesce(*[F.when(F.col("rule") == rule, F.lit(v)) for (_, rule), v in zip(INFRA, values, strict=True)])
+    kinds = found.select(of([k for k, _ in INFRA]).alias("kind"), of(range(len(INFRA))).alias("rank")).where("kind is not null")
+    return graph.infra_chain(kinds)
 
 
 @_query(f"with {FINDINGS} select id, severity, seq from findings order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 4 end, seq limit 200")
