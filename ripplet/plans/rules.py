@@ -309,19 +309,23 @@ def metric_counters(spark, sf_dir):
     return state.counters(src.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), labels.alias("labels"), (n % 11).alias("value")))
 
 
+#: The types of expected edges that kinds of events stand for.
+EDGE_KINDS = {"view": "CALLS", "click": "IMPORTS", "signup": "USES", "error": "HANDLED_BY", "purchase": "QUERIES"}
+KIND_SQL = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in EDGE_KINDS.items()) + " else 'FETCHES' end"
 CLASSES = ("TRUE_POSITIVE", "FALSE_POSITIVE", "MISSING_EDGE", "WRONG_TARGET", "WRONG_TYPE", "LOW_CONFIDENCE", "TRUE_POSITIVE", "TRUE_POSITIVE")
 
 
 @_query(
-    f"""with r as (select event_type as type, {_list(CLASSES)}[event_id % 8 + 1] as class, event_id % 5 = 0 as soft from events), b as (select type, class, soft from r union all select 'overall', class, soft from r),
+    f"""with r as (select {KIND_SQL} as type, {_list(CLASSES)}[(event_id // 3) % 8 + 1] as class, event_id % 5 = 0 as soft from events), b as (select type, class, soft from r union all select 'overall', class, soft from r),
  s as (select type, count(*) filter (where not soft and class = 'TRUE_POSITIVE') as tp, count(*) filter (where not soft and class = 'FALSE_POSITIVE') as fp, count(*) filter (where not soft and class in ('MISSING_EDGE', 'WRONG_TARGET', 'WRONG_TYPE')) as fn, count(*) filter (where not soft and class = 'LOW_CONFIDENCE') as low,
  count(*) filter (where soft and class in ('MISSING_EDGE', 'WRONG_TARGET', 'WRONG_TYPE', 'LOW_CONFIDENCE')) as soft_misses from b group by type)
  select *, floor(tp / nullif(tp + fp, 0) * 1000 + 0.5) / 1000 as precision, floor((tp + low) / nullif(tp + low + fn, 0) * 1000 + 0.5) / 1000 as recall from s"""
 )
 def relationship_scores(spark, sf_dir):
     n = F.col("event_id")
-    rows = src.table(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.element_at(F.array(*map(F.lit, CLASSES)), (n % 8 + 1).cast("int")).alias("class"), (n % 5 == 0).alias("soft"))
-    return tables.relationship_scores(rows)
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in EDGE_KINDS.items() for x in pair])[F.col("event_type")], F.lit("FETCHES"))
+    found = F.element_at(F.array(*map(F.lit, CLASSES)), (F.floor(n / 3) % 8 + 1).cast("int"))
+    return tables.relationship_scores(src.table(spark, sf_dir, "events").select(kind.alias("type"), found.alias("class"), (n % 5 == 0).alias("soft")))
 
 
 @_query("select o_custkey as repository_id, max(o_orderkey) as last_run, count(*) as runs, count(*) filter (where o_orderstatus = 'F') as failed from orders group by 1 order by case when o_custkey % 9 = 0 then null else max(o_orderdate) end desc nulls first, o_custkey limit 8")
