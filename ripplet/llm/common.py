@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,12 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; tests without one get a folder in /tmp."""
+    """The folder that driver and executors share, that of spark.checkpoint.dir. Without one a local session, whose tasks are
+    threads, gets a folder of its own; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file:///tmp/checkpoints/ripplet-{spark.sparkContext.applicationId}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    if not found and not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or f"file:///tmp/checkpoints/ripplet-{spark.sparkContext.applicationId}").rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
