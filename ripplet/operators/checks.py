@@ -165,3 +165,17 @@ def size_findings(symbols: DataFrame) -> DataFrame:
     name = F.when(F.col("kind") == "METHOD", F.concat_ws(".", "owner", "name")).otherwise(F.col("name")).alias("symbol")
     rows = symbols.where(~is_test_file(F.col("path"))).select("path", name, F.explode(both).alias("f"))
     return rows.select("f.rule", "f.severity", F.col("path").alias("file"), "symbol")
+
+
+def unused_exports(symbols: DataFrame, nodes: DataFrame, edges: DataFrame, calls: DataFrame) -> DataFrame:
+    """rule, severity, title, file, line, symbol of exported functions (symbols: path, kind, name, exported, start_line) in files other
+    than tests that nothing is known to use: no call (file, symbol) resolves to one, and no IMPORTS or CALLS edge (src, dst, type)
+    leads from a file to a node (id, name, file) of its name, or of its last part. Other edges don't count."""
+    led = edges.where(F.col("type").isin("IMPORTS", "CALLS") & F.startswith("src", F.lit("FILE:"))).select(F.col("dst").alias("id")).distinct()
+    aims = nodes.join(led, "id", "left_semi").where("file is not null and name <> ''")
+    names = F.array("name", F.element_at(F.split("name", r"\."), -1))
+    used = aims.select(F.col("file").alias("path"), F.explode(names).alias("name")).unionByName(calls.where("file is not null and symbol <> ''").select(F.col("file").alias("path"), F.col("symbol").alias("name")))
+    own = symbols.where((F.col("kind") == "FUNCTION") & F.col("exported") & ~is_test_file(F.col("path")))
+    left = own.join(used.distinct(), ["path", "name"], "left_anti")
+    fixed = {"rule": "unused_export", "severity": "low", "title": "Possibly unused export"}
+    return left.select(*[F.lit(v).alias(k) for k, v in fixed.items()], F.col("path").alias("file"), F.col("start_line").alias("line"), F.col("name").alias("symbol"))

@@ -340,3 +340,17 @@ def recent_repositories(spark, sf_dir):
 def cross_system_edges(spark, sf_dir):
     nodes = src.nodes(spark, sf_dir)
     return tables.cross_counts(_edges(spark, sf_dir), nodes)
+
+
+@_query(
+    f"""with {FILES}, {SYMBOLS}, {IMPORTS}, used as (select resolved as path, unnest(names) as name from resolved where resolved is not null
+ union select resolved, string_split(resolved, '/')[-1] from resolved where resolved <> path union select resolved, string_split(string_split(resolved, '/')[-1], '.')[-1] from resolved where resolved <> path)
+ select 'unused_export' as rule, 'low' as severity, 'Possibly unused export' as title, path as file, start_line as line, name as symbol from symbols s where kind = 'FUNCTION' and exported and not {TEST_SQL}
+ and not exists (select 1 from used u where u.path = s.path and u.name = s.name)"""
+)
+def unused_exports(spark, sf_dir):
+    files = src.files(spark, sf_dir)
+    symbols, found = src.symbols(files), _imports(spark, sf_dir)
+    nodes = build.build_nodes(files, symbols, src.env_variables(files))
+    calls = found.where("resolved is not null").select(F.col("resolved").alias("file"), F.explode("names").alias("symbol"))
+    return checks.unused_exports(symbols, nodes, build.imported(found), calls)

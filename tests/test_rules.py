@@ -194,3 +194,14 @@ def test_handlers_of_mappings(spark):
     text = '@GetMapping("early") class A {\n@PostMapping(value = "/b", x = 1)\n  public static Map<String> make(int n) {}\nclass B {}\n@RequestMapping\n@PutMapping(\'/c\')\nprivate void put (x)\n@DeleteMapping("/d")' + " " * 400 + "public void late("
     got = [tuple(r) for r in lookahead.mapping_routes(spark.createDataFrame([("p", 1, text), ("q", 2, None)], "path string, seq long, content string")).orderBy("line").collect()]
     assert got == [("p", 1, "GET", "/early", "make", None), ("p", 2, "POST", "/b", "make", "A"), ("p", 5, "ALL", "/", "put", "A"), ("p", 6, "PUT", "/c", "put", "A"), ("p", 8, "DELETE", "/d", None, "A")]
+
+
+def test_exports_that_nothing_uses(spark):
+    symbols = [("a.ts", "FUNCTION", "called", True, 1), ("a.ts", "FUNCTION", "linked", True, 2), ("a.ts", "FUNCTION", "part", True, 3), ("a.ts", "FUNCTION", "own", False, 4), ("a.ts", "CLASS", "Kept", True, 5), ("a.ts", "FUNCTION", "unused", True, 6), ("a.test.ts", "FUNCTION", "inTest", True, 7), ("a.ts", "FUNCTION", "used_only", True, 8)]
+    nodes = [("FUNCTION:a.ts:linked", "linked", "a.ts"), ("METHOD:a.ts:C.part", "C.part", "a.ts"), ("FUNCTION:a.ts:used_only", "used_only", "a.ts"), ("FUNCTION:a.ts:unused", "unused", "a.ts")]
+    edges = [("FILE:b.ts", "FUNCTION:a.ts:linked", "CALLS"), ("FILE:b.ts", "METHOD:a.ts:C.part", "IMPORTS"), ("FILE:b.ts", "FUNCTION:a.ts:used_only", "USES"), ("FUNCTION:b.ts:f", "FUNCTION:a.ts:unused", "CALLS")]
+    make = spark.createDataFrame
+    rows = checks.unused_exports(
+        make(symbols, "path string, kind string, name string, exported boolean, start_line int"), make(nodes, "id string, name string, file string"), make(edges, "src string, dst string, type string"), make([("a.ts", "called"), ("b.ts", "unused"), (None, "x")], "file string, symbol string")
+    ).collect()
+    assert sorted((r.symbol, r.line) for r in rows) == [("unused", 6), ("used_only", 8)]
