@@ -1,6 +1,6 @@
 import pytest
 
-from ripplet.plans import catalog, changes, graphs, queue, reports, rules  # noqa: F401
+from ripplet.plans import catalog, changes, graphs, queue, reports, rules, wired  # noqa: F401
 from tests.compare import duck, of_spark, of_sql
 
 SF = "/root/testdata/sf0.01"
