@@ -208,10 +208,12 @@ def wired(
     parsed = written(build_nodes(files, symbols, variables), "nodes")
     targeted = written(resolved_calls(calls, parsed), "calls")
     made = dedupe_nodes(call_nodes(targeted).unionByName(query_nodes(queries)).unionByName(route_nodes(routes)))
-    nodes = written(parsed.withColumn("metadata", F.lit(None).cast("map<string,string>")).unionByName(made.drop("seq")), "nodes")
+    nodes = parsed.withColumn("metadata", F.lit(None).cast("map<string,string>")).unionByName(written(made.drop("seq"), "made"))
     parts = (symbol_edges(symbols, variables), import_edges(imports, symbols, test_files), call_edges(targeted), query_edges(queries), dependency_edges(dependencies, parsed), route_edges(routes))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     edges = dedupe_edges(every.where("src is not null and dst is not null and src <> dst"))
-    return nodes, admit_edges(edges, nodes)
+    # An id repeats both ends, so the joins of admission go without it.
+    ident = F.concat("src", F.lit("->"), "dst", F.lit(":"), "type").alias("id")
+    return nodes, admit_edges(edges.drop("id"), nodes).select(ident, *[c for c in edges.columns if c != "id"])

@@ -10,7 +10,7 @@ from ripplet.plans.catalog import BLAST, FILES, _list, _query
 from ripplet.plans.rules import ENV_SQL, SYMBOLS, TEST_SQL, TYPE_SQL
 from ripplet.sources import driver_tables as src
 from ripplet.sources import parsed_tables as parsed
-from ripplet.sources.scratch import written
+from ripplet.sources.scratch import discard, written
 
 NEXT = f"replace({_list(src.PATHS)}[(seq + 1) % {len(src.PATHS)} + 1], '{{n}}', (seq + 1)::varchar)"
 CALLER = "case no % 2 when 0 then 'FUNCTION:' || path || ':run' || (seq % 5) else 'METHOD:' || path || ':Store.save' end"
@@ -79,7 +79,9 @@ def _wired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tests = files.where(paths.file_type(F.col("path")) == "TEST")
     symbols, calls = written(parsed.symbols(files), "symbols"), written(parsed.calls(files), "calls")
     rest = [of(files) for of in (parsed.queries, parsed.dependencies, parsed.routes)]
-    return wiring.wired(files, symbols, parsed.env_variables(files), imports, calls, *rest, tests)
+    nodes, edges = wiring.wired(files, symbols, parsed.env_variables(files), imports, calls, *rest, tests)
+    discard(calls)  # those with targets are written
+    return nodes, edges
 
 
 @_query(f"with {TABLES}, {WIRED_NODES} select id, type, name, file, about from wnodes")
