@@ -280,3 +280,24 @@ def test_expectations_are_classed_as_by_all_pairs(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert expectations.classify(asked.limit(0), table).collect() == []
     assert {r["class"] for r in expectations.classify(asked, table.limit(0)).collect()} == {"TRUE_POSITIVE", "MISSING_EDGE"}
+
+
+def most_rows(df):
+    """The most rows that a step of a query has put out, once it has run."""
+    df.collect()
+
+    def of(plan):
+        kind = plan.getClass().getSimpleName()
+        below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *map(of, below)])
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_expectations_with_a_common_part_are_looked_up_by_their_other_end(spark):
+    table = spark.createDataFrame([(f"e{i}", f"ROUTE:{i}", f"PART:{i:03}", "CALLS", "HIGH", i) for i in range(300)], "id string, src string, dst string, type string, confidence string, seq long")
+    asked = spark.createDataFrame([(i, None, None, None, "E:", f"ART:{i:03}", False, None) for i in range(300)], "id long, type string, src string, dst string, src_part string, dst_part string, forbidden boolean, soft boolean")
+    classed = expectations.classify(asked, table)
+    assert {(r.id, r.edge_id) for r in classed.collect()} == {(i, f"e{i}") for i in range(300)}
+    assert most_rows(classed) <= 900
