@@ -4,7 +4,7 @@ import difflib
 import random
 from collections import deque
 
-from ripplet.operators import cycles, expectations, semantic, shortest
+from ripplet.operators import cycles, expectations, graph, semantic, shortest
 from ripplet.sources.scratch import written
 
 SIDE = "change long, path string, kind string, owner string, name string, parameters array<string>, return_type string, calls array<string>, body string, start_line int, end_line int"
@@ -301,3 +301,11 @@ def test_expectations_with_a_common_part_are_looked_up_by_their_other_end(spark)
     classed = expectations.classify(asked, table)
     assert {(r.id, r.edge_id) for r in classed.collect()} == {(i, f"e{i}") for i in range(300)}
     assert most_rows(classed) <= 900
+
+
+def test_pairs_of_deduped_edges_are_dealt_out_once(spark):
+    rows = [("a", "b", "CALLS", "LOW", 2, None), ("a", "b", "CALLS", "HIGH", 1, "x"), ("a", "b", "CONTAINS", "LOW", 0, None)]
+    edges = graph.dedupe_edges(spark.createDataFrame(rows, "src string, dst string, type string, confidence string, seq long, evidence string"))
+    pairs = graph.live_pairs(edges)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in pairs.collect()] == [("a", "b", 0, "LOW")]
