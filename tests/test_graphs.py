@@ -4,7 +4,8 @@ import difflib
 import random
 from collections import deque
 
-from ripplet.operators import cycles, expectations, graph, semantic, shortest
+from ripplet.operators import cycles, expectations, graph, semantic, shortest, tables
+from ripplet.plans import catalog
 from ripplet.sources.scratch import written
 
 SIDE = "change long, path string, kind string, owner string, name string, parameters array<string>, return_type string, calls array<string>, body string, start_line int, end_line int"
@@ -309,3 +310,18 @@ def test_pairs_of_deduped_edges_are_dealt_out_once(spark):
     pairs = graph.live_pairs(edges)
     assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert [tuple(r) for r in pairs.collect()] == [("a", "b", 0, "LOW")]
+
+
+def test_admission_carries_no_ids_through_its_joins(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    plan = catalog.QUERIES["edge_admission"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi" in plan and "->" not in plan[plan.index("Join") :]
+
+
+def test_edges_to_one_node_are_counted_before_its_type_is_looked_up(spark):
+    nodes = spark.createDataFrame([("hub", "MODULE"), ("other", "FILE"), *[(f"f{i}", "FILE") for i in range(50)]], "id string, type string")
+    edges = spark.createDataFrame([*[(f"f{i}", "hub") for i in range(50)], ("f1", "other"), ("f2", "nowhere")], "src string, dst string")
+    counts = tables.cross_counts(edges, nodes)
+    assert [tuple(r) for r in counts.collect()] == [("FILE", "MODULE", 50)]
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
