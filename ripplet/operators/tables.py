@@ -209,7 +209,8 @@ def relationship_scores(rows: DataFrame) -> DataFrame:
 
 
 def cross_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges between nodes of different types, by both types."""
+    """Edges between nodes of different types, by both types. Those of one type that lead to one node are counted before its type
+    is looked up."""
     of = lambda end: nodes.select(F.col("id").alias(end), F.col("type").alias(f"{end}_type"))
-    typed = edges.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst")
-    return typed.where("src_type <> dst_type").groupBy("src_type", "dst_type").agg(F.count("*").alias("n"))
+    led = edges.select("src", "dst").join(of("src"), "src").groupBy("dst", "src_type").agg(F.count("*").alias("n"))
+    return led.join(of("dst"), "dst").where("src_type <> dst_type").groupBy("src_type", "dst_type").agg(F.sum("n").alias("n"))
