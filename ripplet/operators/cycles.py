@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ripplet.sources.scratch import discard, written
 
+#: How joins are done whose sides come round by round: a broadcast would pass through the driver in each.
+MERGE = "merge"
+
 
 def _trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """The edges without nodes that nothing leads to, or that lead nowhere: these are in no cycle. A few rounds take off most of
     a graph; what long chains are left costs colours, and no result."""
     for _ in range(rounds):
         heads, tails = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
-        left = written(edges.join(heads, "dst", "left_semi").join(tails, "src", "left_semi").select("src", "dst"), "trimmed")
+        left = written(edges.join(heads.hint(MERGE), "dst", "left_semi").join(tails.hint(MERGE), "src", "left_semi").select("src", "dst"), "trimmed")
         before, after = edges.count(), left.count()
         discard(edges)
         edges = left
@@ -34,10 +37,10 @@ def _coloured(edges: DataFrame, steps: int = 3) -> DataFrame:
     while True:
         next_ = now.select("node", "colour")
         for _ in range(steps):
-            led = edges.join(next_.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
-            far = next_.withColumnRenamed("colour", "at").join(next_.withColumnRenamed("node", "at"), "at").select("node", "colour")
+            led = edges.join(next_.withColumnRenamed("node", "src").hint(MERGE), "src").select(F.col("dst").alias("node"), "colour")
+            far = next_.withColumnRenamed("colour", "at").join(next_.withColumnRenamed("node", "at").hint(MERGE), "at").select("node", "colour")
             next_ = next_.unionByName(led).unionByName(far).groupBy("node").agg(F.max("colour").alias("colour"))
-        moved = next_.join(now.select("node", F.col("colour").alias("old")), "node").select("node", "colour", (F.col("colour") > F.col("old")).alias("moved"))
+        moved = next_.join(now.select("node", F.col("colour").alias("old")).hint(MERGE), "node").select("node", "colour", (F.col("colour") > F.col("old")).alias("moved"))
         after = written(moved, "colours")
         discard(now)
         now = after
@@ -59,19 +62,19 @@ def components(edges: DataFrame) -> DataFrame:
     while left.limit(1).count():
         colours = _coloured(left)
         one, two = colours.toDF("src", "from_colour"), colours.toDF("dst", "to_colour")
-        inner = written(left.join(one, "src").join(two, "dst").where("from_colour = to_colour").select("src", "dst"), "inner")
+        inner = written(left.join(one.hint(MERGE), "src").join(two.hint(MERGE), "dst").where("from_colour = to_colour").select("src", "dst"), "inner")
         back = _coloured(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumnRenamed("colour", "reached")
-        held = written(colours.join(back, "node").where("colour = reached").select("node", "colour"), "held")
+        held = written(colours.join(back.hint(MERGE), "node").where("colour = reached").select("node", "colour"), "held")
         done = held if done is None else done.unionByName(held)
         gone = held.select("node")
-        rest = inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        rest = inner.join(gone.withColumnRenamed("node", "src").hint(MERGE), "src", "left_anti").join(gone.withColumnRenamed("node", "dst").hint(MERGE), "dst", "left_anti")
         after = written(rest.select("src", "dst"), "edges")
         discard(left, colours, inner, back)
         left = _trimmed(after)
     if done is None:
         return left.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     named = done.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
-    return done.join(named, "colour").select("node", "component")
+    return done.join(named.hint(MERGE), "colour").select("node", "component")
 
 
 def least_cycles(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -81,21 +84,21 @@ def least_cycles(edges: DataFrame, parts: DataFrame) -> DataFrame:
     All components are searched at once, breadth first from their least nodes along their own edges; a node keeps the least
     way to it, and a component ends when a way comes back.
     """
-    inside = edges.where("src <> dst").select("src", "dst").distinct().join(parts.toDF("src", "component"), "src").join(parts.toDF("dst", "other"), "dst")
+    inside = edges.where("src <> dst").select("src", "dst").distinct().join(parts.toDF("src", "component").hint(MERGE), "src").join(parts.toDF("dst", "other").hint(MERGE), "dst")
     own = written(inside.where("component = other").select("component", "src", "dst"), "own")
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
     now = written(sizes.select("component", F.col("component").alias("node"), F.array("component").alias("way")), "ways")
     seen, found, tables = now.select("component", "node"), None, [now]
     while now.limit(1).count():
-        step = now.join(own.withColumnRenamed("src", "node"), ["component", "node"]).select("component", F.col("dst").alias("node"), F.array_append("way", F.col("dst")).alias("way"))
+        step = now.join(own.withColumnRenamed("src", "node").hint(MERGE), ["component", "node"]).select("component", F.col("dst").alias("node"), F.array_append("way", F.col("dst")).alias("way"))
         best = written(step.groupBy("component", "node").agg(F.min("way").alias("way")), "ways")
         ends = best.where("node = component").select("component", "way")
         found = ends if found is None else found.unionByName(ends)
-        now = written(best.join(ends, "component", "left_anti").join(seen, ["component", "node"], "left_anti"), "ways")
+        now = written(best.join(ends.hint(MERGE), "component", "left_anti").join(seen.hint(MERGE), ["component", "node"], "left_anti"), "ways")
         seen = seen.unionByName(now.select("component", "node"))
         tables += [best, now]
     none = now.select("component", "way")
-    done = written(sizes.join(none if found is None else found, "component").select("component", "size", F.col("way").alias("cycle")), "cycles")
+    done = written(sizes.join((none if found is None else found).hint(MERGE), "component").select("component", "size", F.col("way").alias("cycle")), "cycles")
     discard(own, *tables)
     return done
 

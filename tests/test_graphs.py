@@ -325,3 +325,18 @@ def test_edges_to_one_node_are_counted_before_its_type_is_looked_up(spark):
     counts = tables.cross_counts(edges, nodes)
     assert [tuple(r) for r in counts.collect()] == [("FILE", "MODULE", 50)]
     assert counts._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_rounds_of_cycles_send_nothing_to_the_driver(spark, monkeypatch):
+    plans = []
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(cycles, "written", spied)
+    edges = spark.createDataFrame([(f"FILE:{a}", f"FILE:{b}") for a, b in ("ab", "bc", "ca", "cd")], "src string, dst string")
+    found = cycles.circular_dependencies(edges)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert [(r.file, r.size) for r in found.collect()] == [("a", 3)]
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
