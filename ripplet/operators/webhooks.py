@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,50 +24,45 @@ FORMS = (
 GONE = "[redacted]"
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with a value that is worked out once a row however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _xor(block: Column, byte: int) -> Column:
+    """Every byte of a binary of 64 bytes with one byte: eight numbers of eight bytes."""
+    digits, mask = F.hex(block), F.lit(int(f"{byte:02x}" * 8, 16)).cast("long")
+    part = lambda i: F.conv(F.substring(digits, 16 * i + 1, 16), 16, -10).cast("long").bitwiseXOR(mask)
+    return F.unhex(F.concat(*[F.lpad(F.hex(part(i)), 16, "0") for i in range(8)]))
 
 
-def _xor(key: Column, byte: int) -> Column:
-    """Every byte of a binary of 64 bytes with one byte."""
-
-    def of(digits: Column) -> Column:
-        one = lambda i: F.lpad(F.hex(F.conv(F.substr(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long").bitwiseXOR(F.lit(byte).cast("long"))), 2, "0")
-        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), one), ""))
-
-    return _with(F.hex(key), of)
-
-
-def hmac_sha256(key: Column, message: Column) -> Column:
-    """HMAC-SHA256 of a text or binary with a key, as lower-case hexadecimal digits; null if either is null. A key of more than 64
-    bytes is hashed first, a shorter one is filled up with zeros."""
+def _pads(key: Column | str) -> tuple[Column, Column]:
+    """A key's inner and outer block. Those of a fixed key are worked out here, not in each row."""
+    if isinstance(key, str):
+        fixed = key.encode()
+        fixed = (hashlib.sha256(fixed).digest() if len(fixed) > 64 else fixed).ljust(64, b"\0")
+        return F.lit(bytes(b ^ 0x36 for b in fixed)), F.lit(bytes(b ^ 0x5C for b in fixed))
     key = key.cast("binary")
     block = F.when(F.length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key)
-    zeros = F.unhex(F.repeat(F.lit("00"), F.lit(64) - F.length(block)))
-    block = F.concat(block, zeros)
-    inner = F.unhex(F.sha2(F.concat(_xor(block, 0x36), message.cast("binary")), 256))
-    return F.sha2(F.concat(_xor(block, 0x5C), inner), 256)
+    block = F.concat(block, F.unhex(F.repeat(F.lit("00"), F.lit(64) - F.length(block))))
+    return _xor(block, 0x36), _xor(block, 0x5C)
 
 
-def same_text(a: Column, b: Column) -> Column:
-    """Whether two texts are equal, found in a time that only their length decides: all differences are gathered."""
-    pair = F.struct(a.alias("a"), b.alias("b"))
-    return F.coalesce(_with(pair, lambda p: _same(p["a"], p["b"])), F.lit(False))
+def hmac_sha256(key: Column | str, message: Column) -> Column:
+    """HMAC-SHA256 of a text or binary with a key (a column, or one text for all rows), as lower-case hexadecimal digits; null if
+    either is null. A key of more than 64 bytes is hashed first, a shorter one is filled up with zeros."""
+    inner, outer = _pads(key)
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
 
 
-def _same(a: Column, b: Column) -> Column:
-    wrong = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), F.lit(0), lambda s, i: s.bitwiseOR(F.ascii(F.substr(a, i, F.lit(1))).bitwiseXOR(F.ascii(F.substr(b, i, F.lit(1))))))
-    return (F.length(a) == F.length(b)) & (wrong == 0)
+def same_text(a: Column, b: Column) -> Column:
+    """Whether two texts are equal, found in a time that tells nothing of where they differ: their digests are compared."""
+    return F.coalesce(F.sha2(a.cast("binary"), 256) == F.sha2(b.cast("binary"), 256), F.lit(False))
 
 
-def is_signed(body: Column, signature: Column, secret: Column) -> Column:
+def is_signed(body: Column, signature: Column, secret: Column | str) -> Column:
     """Whether a signature ("sha256=" and digits) is that of a body. Without a signature or secret it isn't; a null body is empty."""
     expected = F.concat(F.lit("sha256="), hmac_sha256(secret, F.coalesce(body, F.lit(""))))
-    return F.coalesce((secret != "") & same_text(expected, signature), F.lit(False))
+    some = F.lit(secret != "") if isinstance(secret, str) else secret != ""
+    return F.coalesce(some & same_text(expected, signature), F.lit(False))
 
 
-def decided(deliveries: DataFrame, secret: Column) -> DataFrame:
+def decided(deliveries: DataFrame, secret: Column | str) -> DataFrame:
     """deliveries (delivery, event, signature, body, ...) with what becomes of them (decision) and, of pull requests, owner, repo,
     number, action, installation, sha. Only columns of a row are used, so this is the first step of a stream as well.
 

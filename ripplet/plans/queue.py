@@ -97,8 +97,8 @@ def _deliveries(spark, sf_dir):
     action = F.element_at(F.array(*map(F.lit, ("opened", "closed", "synchronize"))), (n % 3 + 1).cast("int"))
     body = F.to_json(F.struct(action.alias("action"), pull.alias("pull_request"), F.struct(text("repo", user).alias("name"), owner.alias("owner")).alias("repository")))
     rows = src.table(spark, sf_dir, "events").select(text("d", F.floor(n / 3)).alias("delivery"), kind.alias("event"), body.alias("body"), "ts", n)
-    key = F.when(n % 4 == 3, "other").otherwise("secret")
-    return rows.withColumn("signature", F.concat(F.lit("sha256="), webhooks.hmac_sha256(key, F.col("body"))))
+    signed = F.when(n % 4 == 3, webhooks.hmac_sha256("other", F.col("body"))).otherwise(webhooks.hmac_sha256("secret", F.col("body")))
+    return rows.withColumn("signature", F.concat(F.lit("sha256="), signed))
 
 
 DECISION = """case when forged then 'unauthorized' when event = 'ping' then 'pong' when event <> 'pull_request' or action = 'closed' or draft then 'ignored' when owner is null or coalesce(number, 0) = 0 then 'incomplete' else 'accepted' end"""
@@ -106,7 +106,7 @@ DECISION = """case when forged then 'unauthorized' when event = 'ping' then 'pon
 
 @_query(f"with {HOOKS} select event_id, {DECISION} as decision from h")
 def webhook_decisions(spark, sf_dir):
-    return webhooks.decided(_deliveries(spark, sf_dir), F.lit("secret")).select("event_id", "decision")
+    return webhooks.decided(_deliveries(spark, sf_dir), "secret").select("event_id", "decision")
 
 
 @_query(
@@ -114,5 +114,5 @@ def webhook_decisions(spark, sf_dir):
  select 'pr:' || lower(e.owner) || '/' || lower(e.repo) || '#' || e.number || '@' || e.sha as key, e.event_id as event_id, 'job:' || delivery as job from f"""
 )
 def webhook_enqueues(spark, sf_dir):
-    accepted = webhooks.decided(_deliveries(spark, sf_dir), F.lit("secret")).where("decision = 'accepted'")
+    accepted = webhooks.decided(_deliveries(spark, sf_dir), "secret").where("decision = 'accepted'")
     return webhooks.enqueues(state.first_deliveries(accepted)).select("key", "event_id", "job")

@@ -36,6 +36,17 @@ def test_signatures(spark):
     assert [r.got for r in rows] == [r.ok for r in rows]
 
 
+def test_signing_goes_over_no_bytes_one_by_one(spark):
+    """A fixed key's blocks are literals, and digests are compared: no function of a higher order runs in a row."""
+    rows = spark.createDataFrame([(signed("x", k), k) for k in ("s3", "k" * 64, "é" * 70)], "s string, k string")
+    got = rows.select([F.when(F.col("k") == k, webhooks.is_signed(F.lit("x"), F.col("s"), k)).alias(f"c{i}") for i, k in enumerate(("s3", "k" * 64, "é" * 70))])
+    assert [[r.c0, r.c1, r.c2] for r in got.collect()] == [[True, None, None], [None, True, None], [None, None, True]]
+    assert not rows.select(webhooks.is_signed(F.lit("x"), F.col("s"), "").alias("no")).where("no").count()
+    for secret in ("s3", F.col("k")):
+        plan = rows.select(webhooks.is_signed(F.lit("x"), F.col("s"), secret))._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan
+
+
 def pull(action="opened", **more):
     return json.dumps({"action": action, "pull_request": {"number": 7, "head": {"sha": "abc"}} | more.pop("pr", {}), "repository": {"name": "R", "owner": {"login": "O"}}} | more)
 
