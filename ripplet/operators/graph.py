@@ -46,13 +46,21 @@ def admit_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where("src <> dst").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(*edges.columns)
 
 
-def live_pairs(edges: DataFrame) -> DataFrame:
-    """Parallel edges as one pair: the first place, the first edge's confidence; purely structural pairs are left out."""
+def pairs(edges: DataFrame, marks: tuple[str, ...] = (), typed: bool = False) -> DataFrame:
+    """Parallel edges as one pair: the first place, the first edge's confidence, whether it is live (not purely structural), whether
+    it has an edge of each type in marks (a column each) and, if typed, the first edge's type."""
     # Place and confidence in one number: aggregates of numbers need no sort.
     first = F.min(F.col("seq") * 4 + confidence_rank(F.col("confidence"))).alias("first")
-    live = F.max(F.when(F.col("type").isin(*STRUCTURAL), 0).otherwise(1)).alias("live")
-    pairs = edges.groupBy("src", "dst").agg(first, live).where("live = 1")
-    return pairs.select("src", "dst", F.shiftright("first", 2).alias("pair_seq"), confidence_of(F.col("first") % 4).alias("confidence"))
+    live = (F.max(F.when(F.col("type").isin(*STRUCTURAL), 0).otherwise(1)) == 1).alias("live")
+    more = [F.max(F.col("type") == m).alias(m) for m in marks] + [F.min_by("type", "seq").alias("type")] * typed
+    names = ["live", *marks, *["type"] * typed]
+    grouped = edges.groupBy("src", "dst").agg(first, live, *more)
+    return grouped.select("src", "dst", F.shiftright("first", 2).alias("pair_seq"), confidence_of(F.col("first") % 4).alias("confidence"), *names)
+
+
+def live_pairs(edges: DataFrame) -> DataFrame:
+    """pairs() without the purely structural ones."""
+    return pairs(edges).where("live").drop("live")
 
 
 def blast_radius(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
@@ -62,27 +70,34 @@ def blast_radius(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFram
     join of the frontier with the pairs, an aggregate per node, and an anti join with what has been found. The pairs and
     each level are written once to the shared folder, so that no level is computed again by those after it.
     """
-    pairs = written(live_pairs(edges), "pairs")
-    level = seeds.groupBy("id").agg(F.min("rank").alias("rank")).select("id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit("HIGH").alias("confidence"), F.array("rank").alias("order"))
+    return reached(seeds, written(live_pairs(edges), "pairs"), depth)
+
+
+def reached(seeds: DataFrame, pairs: DataFrame, depth: int = 3) -> DataFrame:
+    """blast_radius() over live pairs that are written already. If they have a type, so does each hop of a path: types."""
+    typed = "type" in pairs.columns
+    kinds = [F.array().cast("array<string>").alias("types")] * typed
+    level = seeds.groupBy("id").agg(F.min("rank").alias("rank")).select("id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit("HIGH").alias("confidence"), *kinds, F.array("rank").alias("order"))
     found = level
     for d in range(1, depth + 1):
         f, p = level.alias("f"), pairs.alias("p")
         # An order is the list of places on the way, so the least one is the first in breadth-first order.
-        step = f.join(p, F.expr("f.id = p.dst")).select(F.expr("p.src").alias("id"), F.expr("f.path").alias("way"), F.expr("p.confidence").alias("confidence"), F.array_append(F.expr("f.order"), F.expr("p.pair_seq")).alias("order"))
-        best = step.groupBy("id").agg(F.min_by(F.struct("way", "confidence"), "order").alias("b"), F.min("order").alias("order"))
+        told = [F.array_append(F.expr("f.types"), F.expr("p.type")).alias("types")] * typed
+        step = f.join(p, F.expr("f.id = p.dst")).select(F.expr("p.src").alias("id"), F.expr("f.path").alias("way"), F.expr("p.confidence").alias("confidence"), *told, F.array_append(F.expr("f.order"), F.expr("p.pair_seq")).alias("order"))
+        best = step.groupBy("id").agg(F.min_by(F.struct("way", "confidence", *["types"] * typed), "order").alias("b"), F.min("order").alias("order"))
         new = best.join(found.select("id"), "id", "left_anti")
         path = F.array_append(F.col("b.way"), F.col("id")).alias("path")
-        level = written(new.select("id", F.lit(d).alias("depth"), path, F.col("b.confidence").alias("confidence"), "order"), "level")
+        level = written(new.select("id", F.lit(d).alias("depth"), path, F.col("b.confidence").alias("confidence"), *["b.types"] * typed, "order"), "level")
         found = found.unionByName(level)
     return found
 
 
 def related(node_ids: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges into and out of the given nodes (id), with the node at the other end."""
+    """Edges into and out of the given nodes (id), with the node at the other end. Edges are read once: each row is told to both ends."""
     ends = nodes.select(F.col("id").alias("other"), F.col("type").alias("other_type"), F.col("name").alias("other_name"))
-    into = edges.join(node_ids, edges["dst"] == node_ids["id"]).select(node_ids["id"], F.lit("in").alias("direction"), F.col("src").alias("other"), edges["type"], "confidence")
-    out = edges.join(node_ids, edges["src"] == node_ids["id"]).select(node_ids["id"], F.lit("out").alias("direction"), F.col("dst").alias("other"), edges["type"], "confidence")
-    return into.unionByName(out).join(ends, "other")
+    end = lambda at, direction, other: F.struct(F.col(at).alias("id"), F.lit(direction).alias("direction"), F.col(other).alias("other"))
+    both = edges.select(F.explode(F.array(end("dst", "in", "src"), end("src", "out", "dst"))).alias("e"), "type", "confidence").select("e.*", "type", "confidence")
+    return both.join(node_ids, "id").select("id", "direction", "other", "type", "confidence").join(ends, "other")
 
 
 def search(nodes: DataFrame, query: str, limit: int = 25) -> DataFrame:

@@ -58,7 +58,7 @@ def report(hit: DataFrame, missing: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def related_tests(hit: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id) of the tests among the impacted nodes, and of the nodes with a TESTS edge to a changed node or its file."""
+    """(id) of the tests among the impacted nodes, and of the nodes with a TESTS edge (src, dst, type) to a changed node or its file."""
     own = hit.where(is_test(F.col("type"), F.col("file"))).select("id")
     changed = hit.where("depth = 0")
     aims = changed.select("id").union(changed.select(F.concat(F.lit("FILE:"), "file"))).distinct()
@@ -67,7 +67,7 @@ def related_tests(hit: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFra
 
 
 def missing_tests(hit: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFrame:
-    """Direct impacts, tests aside, to which or to whose file no related test has an edge."""
+    """Direct impacts, tests aside, to which or to whose file no related test has an edge (src, dst) of any type."""
     covered = edges.join(tests.withColumnRenamed("id", "src"), "src", "left_semi").select("dst").distinct()
     direct = hit.where((F.col("depth") == 1) & ~is_test(F.col("type"), F.col("file")))
     left = direct.join(covered.withColumnRenamed("dst", "id"), "id", "left_anti")
@@ -75,12 +75,11 @@ def missing_tests(hit: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFra
     return left.withColumn("file_id", F.concat(F.lit("FILE:"), "file")).join(by_file, "file_id", "left_anti").select("id", "name", "file")
 
 
-def explain(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, hop, src, dst, type): the edges along the path of each found node, by the first edge of each pair."""
-    first = edges.groupBy("src", "dst").agg(F.min_by("type", "seq").alias("type"))
-    steps = F.arrays_zip(F.slice("path", F.lit(2), F.size("path")).alias("src"), F.slice("path", F.lit(1), F.size("path") - 1).alias("dst"))
-    hops = found.select("id", F.posexplode(steps).alias("hop", "s")).select("id", "hop", "s.src", "s.dst")
-    return hops.join(first, ["src", "dst"], "left")
+def explain(found: DataFrame) -> DataFrame:
+    """(id, hop, src, dst, type): the edges along the path of each found node (with types, see graph.reached), by the first edge of
+    each pair. A path has its types with it, so no edge is looked up again."""
+    steps = F.arrays_zip(F.slice("path", F.lit(2), F.size("path")).alias("src"), F.slice("path", F.lit(1), F.size("path") - 1).alias("dst"), F.col("types").alias("type"))
+    return found.select("id", F.posexplode(steps).alias("hop", "s")).select("id", "hop", "s.src", "s.dst", "s.type")
 
 
 #: Nodes whose paths tell most.

@@ -4,7 +4,7 @@ import difflib
 import random
 from collections import deque
 
-from ripplet.operators import cycles, expectations, graph, semantic, shortest, tables
+from ripplet.operators import cycles, expectations, graph, impact, semantic, shortest, tables
 from ripplet.plans import catalog
 from ripplet.sources.scratch import written
 
@@ -312,6 +312,32 @@ def test_pairs_of_deduped_edges_are_dealt_out_once(spark):
     assert [tuple(r) for r in pairs.collect()] == [("a", "b", 0, "LOW")]
 
 
+def test_paths_carry_their_types_and_marks(spark):
+    """No edge is looked up again to explain a path, and one table of pairs tells of tests too."""
+    rows = [("b", "a", "USES", "LOW", 2), ("b", "a", "CONTAINS", "HIGH", 1), ("c", "b", "CALLS", "HIGH", 3), ("t", "a", "TESTS", "HIGH", 4), ("a", "z", "CONTAINS", "HIGH", 5)]
+    edges = spark.createDataFrame(rows, "src string, dst string, type string, confidence string, seq long")
+    marked = graph.pairs(edges, ("TESTS",), typed=True)
+    assert {(r.src, r.dst): (r.pair_seq, r.confidence, r.live, r.TESTS, r.type) for r in marked.collect()} == {
+        ("b", "a"): (1, "HIGH", True, False, "CONTAINS"),
+        ("c", "b"): (3, "HIGH", True, False, "CALLS"),
+        ("t", "a"): (4, "HIGH", True, True, "TESTS"),
+        ("a", "z"): (5, "HIGH", False, False, "CONTAINS"),
+    }
+    found = graph.reached(spark.createDataFrame([("a", 0)], "id string, rank long"), marked.where("live"))
+    told = impact.explain(found)
+    assert sorted(tuple(r) for r in told.collect()) == [("b", 0, "b", "a", "CONTAINS"), ("c", 0, "b", "a", "CONTAINS"), ("c", 1, "c", "b", "CALLS"), ("t", 0, "t", "a", "TESTS")]
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_about_nodes_are_made_once(spark):
+    rows = [("a", "b", "CALLS", "LOW", 2, None), ("b", "a", "USES", "HIGH", 1, "x"), ("a", "a", "USES", "HIGH", 3, "x")]
+    edges = graph.dedupe_edges(spark.createDataFrame(rows, "src string, dst string, type string, confidence string, seq long, evidence string"))
+    nodes = spark.createDataFrame([("a", "FILE", "A"), ("b", "FILE", "B")], "id string, type string, name string")
+    about = graph.related(nodes.where("id = 'a'").select("id"), edges, nodes)
+    assert sorted((r.id, r.direction, r.other, r.type, r.other_name) for r in about.collect()) == [("a", "in", "a", "USES", "A"), ("a", "in", "b", "USES", "B"), ("a", "out", "a", "USES", "A"), ("a", "out", "b", "CALLS", "B")]
+    assert about._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
 def test_admission_carries_no_ids_through_its_joins(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
     plan = catalog.QUERIES["edge_admission"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
