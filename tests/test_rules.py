@@ -63,6 +63,19 @@ def test_imports_resolve_to_the_first_form_there_is(spark):
     assert list(map(got.get, [("src/a.ts", "./lib/b"), ("src/lib/b.ts", "../c"), ("src/lib/b.ts", ".././a.ts"), ("src/a.ts", "lib"), ("src/a.ts", "./none")])) == ["src/lib/b.ts", "src/c/index.jsx", "src/a.ts", None, None]
 
 
+def test_imports_meet_files_in_one_join(spark):
+    """Imports aren't multiplied by the forms that they may stand for; all the same the first form wins."""
+    endings = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+    names = [f"s/m{i}{e}" for i in range(11) for e in endings[i:]] + ["index.ts", "s/n.ts/index.js", "s/n.ts.ts"]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    asked = [("s/a.ts", f"./m{i}") for i in range(11)] + [("s/a.ts", ".."), ("s/a.ts", "./n.ts"), ("s/a.ts", "react"), ("s/a.ts", None), ("s/a.ts", "./m0"), ("s/m0", "react")]
+    found = paths.resolve_imports(spark.createDataFrame([(p, s, i) for i, (p, s) in enumerate(asked)], "path string, specifier string, no int"), files)
+    got = {r.no: r.resolved for r in found.collect()}
+    assert got == {**{i: f"s/m{i}{endings[i]}" for i in range(11)}, 11: None, 12: "s/n.ts.ts", 13: None, 14: None, 15: "s/m0", 16: None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Generate") == 1
+
+
 def test_changed_lines_of_a_patch(spark):
     patch = "diff --git a b\n@@ -3,4 +3,4 @@\n a\n-b\n+c\n+d\n e\n@@ -20 +21 @@ f\n-x"
     rows = diffs.changed_lines(spark.createDataFrame([("p", patch), ("q", None)], "path string, patch string")).collect()
