@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.operators.build import symbol_id
@@ -16,15 +18,46 @@ EVENT = "struct<kind:string,detail:string,from:string,to:string>"
 KEYS = ["change", "path"]
 
 
-def hunk_lines(patches: DataFrame) -> DataFrame:
-    """(change, path, hunk, new_start, no, text) of the lines in the hunks of patches (change, path, patch): hunk counts from 1,
-    no is a line's place in the patch. Lines before the first hunk, file headers, and lines of no known kind aren't in it."""
-    lines = patches.select(*KEYS, F.posexplode(F.split("patch", "\r?\n")).alias("no", "text")).withColumn("head", F.col("text").rlike(HUNK))
-    place = Window.partitionBy(*KEYS).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.when(F.col("head"), F.regexp_extract("text", HUNK, 2).cast("long"))
-    held = lines.withColumns({"hunk": F.sum(F.col("head").cast("long")).over(place), "new_start": F.last(start, ignorenulls=True).over(place)})
-    known = F.col("text").rlike("^[+ -]") | (F.col("text") == "")
-    return held.where((F.col("hunk") > 0) & (F.col("head") | (known & ~F.col("text").rlike(HEADER))))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with a value that is worked out once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def hunks(patch: Column) -> Column:
+    """The hunks of a patch, as they stand in it: at (where a hunk's new side begins, from 0; -1 for that of a deleted file), size (lines
+    of its new side) and old (the lines of its old side). Lines before the first hunk, file headers, and lines of no known kind
+    aren't in it."""
+    empty = lambda x: x == ""
+
+    def one(lines: Column, heads: Column, k: Column) -> Column:
+        first = F.get(heads, k)
+        last = F.coalesce(F.get(heads, k + 1), F.size(lines))
+        held = F.filter(F.slice(lines, first + 2, last - first - 1), lambda x: (x.rlike("^[+ -]") | empty(x)) & ~x.rlike(HEADER))
+        at = F.regexp_extract(F.get(lines, first), HUNK, 2).cast("long") - 1
+        size = lambda body: F.size(F.filter(body, lambda x: x.rlike("^[+ ]") | empty(x))).cast("long")
+        old = lambda body: F.transform(F.filter(body, lambda x: x.rlike("^[- ]") | empty(x)), lambda x: F.substring(x, 2, 2**31 - 1))
+        return _let(held, lambda body: F.struct(at.alias("at"), size(body).alias("size"), old(body).alias("old")))
+
+    def of(lines: Column) -> Column:
+        heads = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(HUNK), i)), lambda i: i.isNotNull())
+        return _let(heads, lambda found: F.transform(found, lambda _, k: one(lines, found, k)))
+
+    return _let(F.split(patch, "\r?\n"), of)
+
+
+def _before(text: Column, found: Column) -> Column:
+    """The lines of a text before hunks that rise: each hunk's old lines stand for those of its new side."""
+    # Lines up to the furthest end of the hunks so far are gone.
+    reach = lambda ends, h: F.array_append(ends, F.greatest(F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)), h["at"] + h["size"]))
+    ends = F.aggregate(found, F.array().cast("array<bigint>"), reach)
+
+    def part(h: Column, i: Column, done: Column) -> Column:
+        end = F.get(done, i)
+        stop = F.coalesce(F.get(found, i + 1)["at"], F.size(text).cast("long"))
+        return F.concat(h["old"], F.slice(text, (end + 1).cast("int"), F.greatest(F.lit(0), stop - end).cast("int")))
+
+    parts = _let(ends, lambda done: F.flatten(F.transform(found, lambda h, i: part(h, i, done))))
+    return F.concat(F.slice(text, F.lit(1), F.get(found, F.lit(0))["at"].cast("int")), parts)
 
 
 def old_sides(changed: DataFrame) -> DataFrame:
@@ -33,26 +66,16 @@ def old_sides(changed: DataFrame) -> DataFrame:
 
     A hunk's place in the new text is where its header says, for as many lines as it has on the new side; whether the text
     there is that of the hunk isn't asked. Those lines go, and the hunk's old lines stand before the line that comes next. A
-    hunk that begins at new line 0 is of a deleted file: its old lines are all there is. Hunks are taken as they stand in
-    patches, rising and apart. Lines of text and patch are rows, put in order again for each file; no file's text is
-    handled by a loop. Null text is empty; (change, path) tells rows apart.
+    hunk that begins at new line 0 is of a deleted file: its old lines are all there is. Hunks that don't rise are sorted. All
+    is worked out within a row, so nothing is shuffled and a task holds one file at a time. Null text is empty.
     """
-    lines = hunk_lines(changed.select(*KEYS, "patch"))
-    new = F.col("text").rlike("^[+ ]") | (F.col("text") == "")
-    hunks = lines.groupBy(*KEYS, "hunk").agg(F.max("new_start").alias("new_start"), F.count_if(new & ~F.col("head")).alias("size"))
-    gone = hunks.where("new_start = 0").groupBy(*KEYS).agg(F.max("hunk").alias("gone"))
-    text = changed.select(*KEYS, F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("at", "text"))
-    replaced = hunks.where("size > 0 and new_start > 0").select(*KEYS, F.explode(F.sequence(F.col("new_start") - 1, F.col("new_start") + F.col("size") - 2)).alias("at"))
-    kept = text.join(hunks.select(*KEYS).distinct(), KEYS, "left_semi").join(gone, KEYS, "left_anti").join(replaced.distinct(), [*KEYS, "at"], "left_anti")
-    old = lines.where(~F.col("head") & (F.col("text").rlike("^[- ]") | (F.col("text") == ""))).join(gone, KEYS, "left").where("gone is null or hunk = gone")
-    place = lambda at, kind, no, line: F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"), no.cast("long").alias("no"), line.alias("text"))
-    rows = kept.select(*KEYS, place(F.col("at"), 1, F.lit(0), F.col("text")).alias("line")).unionByName(
-        old.select(*KEYS, place(F.greatest(F.col("new_start") - 1, F.lit(0)), 0, F.col("no"), F.expr("substr(text, 2)")).alias("line"))
-    )
-    joined = rows.groupBy(*KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x.text), "\n").alias("old_content"))
-    empty = hunks.select(*KEYS).distinct().withColumn("some", F.lit(True))
-    out = changed.join(joined, KEYS, "left").join(empty, KEYS, "left")
-    return out.select(*KEYS, "content", F.when(F.col("some"), F.coalesce("old_content", F.lit(""))).alias("old_content"))
+    found = changed.select(*KEYS, "content", hunks(F.col("patch")).alias("hunks"))
+    gone = F.filter("hunks", lambda h: h["at"] < 0)
+    numbered = F.transform("hunks", lambda h, k: F.struct(h["at"].alias("at"), k.alias("k"), h["size"].alias("size"), h["old"].alias("old")))
+    text = F.split(F.coalesce("content", F.lit("")), "\n")
+    whole = _let(text, lambda t: _let(F.array_sort(numbered), lambda h: _before(t, h)))
+    lines = F.when(F.size(gone) > 0, F.get(gone, F.size(gone) - 1)["old"]).otherwise(whole)
+    return found.select(*KEYS, "content", F.when(F.size("hunks") > 0, F.array_join(lines, "\n")).alias("old_content"))
 
 
 def changed_symbols(changed: DataFrame, symbols: DataFrame, old_symbols: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ OLD_SQL = r"""pl as (select path, unnest(string_split(patch, chr(10))) as text,
 @_query(f"with {FILES}, {PATCH}, {OLD_SQL} select path, old_content from whole")
 def old_sides(spark, sf_dir):
     files = src.files(spark, sf_dir)
-    changed = src.patches(files).join(files.select("path", "content"), "path").withColumn("change", F.lit(1))
+    changed = src.patches(files, "content").withColumn("change", F.lit(1))
     return semantic.old_sides(changed).select("path", "old_content")
 
 

@@ -155,6 +155,21 @@ def test_old_sides_of_odd_patches(spark):
     assert got == {i: old for i, (*_, old) in enumerate(cases)}
 
 
+def test_old_sides_are_made_within_rows(spark):
+    """Hunks that don't rise, meet or overlap, and nothing is dealt out."""
+    cases = [
+        ("@@ -4,1 +4,1 @@\n-D\n+d\n@@ -1,1 +1,1 @@\n-A\n+a", "a\nb\nc\nd", "A\nb\nc\nD"),
+        ("@@ -1,1 +1,3 @@\n-A\n+a\n+b\n+c\n@@ -2,1 +2,1 @@\n-B\n+b", "a\nb\nc\nd", "A\nB\nd"),
+        ("@@ -1,1 +2,0 @@\n-X\n@@ -1,1 +2,0 @@\n-Y", "a\nb", "a\nX\nY\nb"),
+        ("@@ -1,1 +0,0 @@\n-X\n@@ -1,1 +0,0 @@\n-Y\n@@ -1,1 +1,1 @@\n-Z", "a\nb", "Y"),
+        ("@@ -1,1 +1,1 @@\n+a", "a", ""),
+    ]
+    made = semantic.old_sides(spark.createDataFrame([(i, "p", p, t) for i, (p, t, _) in enumerate(cases)], "change long, path string, patch string, content string"))
+    assert {r.change: r.old_content for r in made.collect()} == {i: old for i, (*_, old) in enumerate(cases)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
 # Semantic diff
 
 
