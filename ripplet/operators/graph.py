@@ -23,13 +23,13 @@ def edge_id() -> Column:
     return F.concat("src", F.lit("->"), "dst", F.lit(":"), "type")
 
 
-def dedupe_edges(edges: DataFrame) -> DataFrame:
+def dedupe_edges(edges: DataFrame, dealt: bool = False) -> DataFrame:
     """One edge for each (src, dst, type): the first place, the best confidence, the first evidence there is. Few edges repeat, so
     they are dealt out before they are grouped (a task's own groups would be as many as its rows), and by their ends alone,
-    so that live_pairs() finds them together."""
+    so that live_pairs() finds them together; not again if the caller has dealt them by src."""
     best = F.max(confidence_rank(F.col("confidence")))
     evidence = F.min_by("evidence", F.when(F.col("evidence").isNotNull(), F.col("seq")))
-    grouped = edges.repartition("src", "dst").groupBy("src", "dst", "type").agg(F.min("seq").alias("seq"), best.alias("rank"), evidence.alias("evidence"))
+    grouped = (edges if dealt else edges.repartition("src", "dst")).groupBy("src", "dst", "type").agg(F.min("seq").alias("seq"), best.alias("rank"), evidence.alias("evidence"))
     return grouped.select(edge_id().alias("id"), "src", "dst", "type", confidence_of(F.col("rank")).alias("confidence"), "evidence", "seq")
 
 

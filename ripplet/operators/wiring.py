@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.operators.build import build_nodes, call_target, node_id, symbol_id
-from ripplet.operators.graph import admit_edges, dedupe_edges, dedupe_nodes, unique_names
+from ripplet.operators.graph import dedupe_edges, dedupe_nodes, edge_id, unique_names
 from ripplet.sources.scratch import written
 
 EVIDENCE = "struct<file: string, start_line: int, snippet: string, resolved_through: string, symbol: string>"
@@ -198,12 +198,11 @@ def wired(
 
     Rows of bodies (calls: path, seq, no, caller_kind, caller_owner, caller, callee, kind, file, owner, symbol, confidence, line;
     queries; dependencies) are numbered together within their file by no, and seq is their file's. Hosts, models and routes become nodes
-    where rows name them, the first row of each id telling about it. Edges are grouped first, then those stay whose ends are both nodes
-    and differ: of parallel ones the first place, the best confidence and the first evidence. Empty tables give no rows; null
+    where rows name them, the first row of each id telling about it. Those edges stay whose ends are both nodes and differ: of parallel ones the first place, the best confidence and the first evidence. Empty tables give no rows; null
     symbols, files or names lead nowhere.
 
     Nodes and calls with their targets are read by several joins, so they are written once to the shared folder; the given tables are
-    read up to four times, so write costly ones before. A name that very many call aims at one row of a table of unique keys: its
+    read up to four times, so write costly ones before. Edges are dealt out twice: by source and by target. A name that very many call aims at one row of a table of unique keys: its
     join is split by adaptive execution and nothing multiplies."""
     parsed = written(build_nodes(files, symbols, variables), "nodes")
     targeted = written(resolved_calls(calls, parsed), "calls")
@@ -213,7 +212,10 @@ def wired(
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    edges = dedupe_edges(every.where("src is not null and dst is not null and src <> dst"))
-    # An id repeats both ends, so the joins of admission go without it.
-    ident = F.concat("src", F.lit("->"), "dst", F.lit(":"), "type").alias("id")
-    return nodes, admit_edges(edges.drop("id"), nodes).select(ident, *[c for c in edges.columns if c != "id"])
+    # A source is in the file whose row tells of it, so its edges are no more than what one task has read: dealt by source, they
+    # are admitted by it and grouped in one place.
+    dealt = every.where("src is not null and dst is not null and src <> dst").repartition("src")
+    edges = dedupe_edges(dealt.join(nodes.select(F.col("id").alias("src")), "src", "left_semi"), dealt=True)
+    # An id repeats both ends, so the join by target goes without it.
+    kept = edges.drop("id").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return nodes, kept.select(edge_id().alias("id"), *[c for c in edges.columns if c != "id"])

@@ -73,9 +73,10 @@ WIRED_EDGES = f"""wraw as (select 'CLASS:' || path || ':' || owner as src, id as
   arg_min([file, line::varchar, snippet, through, symbol], seq) filter (where snippet is not null) as proof from wraw where src <> dst and src in (select id from wnodes) and dst in (select id from wnodes) group by src, dst, type)"""
 
 
-def _wired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _wired(spark: SparkSession, sf_dir: str, edges_too: bool = True) -> tuple[DataFrame, DataFrame]:
     files = written(src.files(spark, sf_dir), "files")  # all parsed tables read it
-    imports = written(paths.resolve_imports(parsed.imports(files), files), "imports")
+    imports = paths.resolve_imports(parsed.imports(files), files)
+    imports = written(imports, "imports") if edges_too else imports  # no node is made of an import
     tests = files.where(paths.file_type(F.col("path")) == "TEST")
     symbols, calls = written(parsed.symbols(files), "symbols"), written(parsed.calls(files), "calls")
     rest = [of(files) for of in (parsed.queries, parsed.dependencies, parsed.routes)]
@@ -87,7 +88,7 @@ def _wired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @_query(f"with {TABLES}, {WIRED_NODES} select id, type, name, file, about from wnodes")
 def wired_nodes(spark, sf_dir):
     """The graph's nodes, with what is told about those made on demand."""
-    nodes, _ = _wired(spark, sf_dir)
+    nodes, _ = _wired(spark, sf_dir, edges_too=False)
     return nodes.select("id", "type", "name", "file", F.array_join(F.map_values("metadata"), ",").alias("about"))
 
 
@@ -108,4 +109,5 @@ def wired_blast_radius(spark, sf_dir):
     """What a change of one function reaches in the graph, by three hops."""
     _, edges = _wired(spark, sf_dir)
     seeds = src.files(spark, sf_dir).where("seq = 3").select(F.concat(F.lit("FUNCTION:"), "path", F.lit(":get")).alias("id"), F.lit(0).cast("long").alias("rank"))
-    return graph.blast_radius(seeds, written(edges, "graph")).select("id", "depth", "path", "confidence")
+    # Edges aren't written: only pairs are made of them, without ids and evidence.
+    return graph.blast_radius(seeds, edges).select("id", "depth", "path", "confidence")
