@@ -4,6 +4,8 @@ import difflib
 import random
 from collections import deque
 
+import pytest
+
 from ripplet.operators import cycles, expectations, graph, impact, semantic, shortest, tables
 from ripplet.plans import catalog
 from ripplet.sources.scratch import written
@@ -119,6 +121,38 @@ def test_shortest_paths_are_those_of_a_plain_search(spark):
     assert sum(p is not None and len(p) > 4 for p in got.values()) > 10 and len(got[50]) == 10
 
 
+@pytest.mark.parametrize("hub", [0, 3])
+def test_ways_through_hubs_are_those_of_a_plain_search(spark, hub):
+    rng = random.Random(hub)
+    names = [f"n{i:02}" for i in range(40)]
+    edges = [(rng.choice(names[: 4 if i % 3 else 40]), rng.choice(names)) for i in range(70)] + [(f"k{i}", f"k{i + 1}") for i in range(9)] + [(f"k{i}", f"z{i}{j}") for i in (2, 3, 6, 7) for j in range(4)]
+    picks = [(i, rng.choice(names), rng.choice(names)) for i in range(60)] + [(60, "k0", "k9"), (61, "k9", "k0"), (62, "k2", "k8"), (63, "z20", "z73"), (64, "k0", "n00"), (65, "z20", "z21")]
+    table = spark.createDataFrame([(*e, i) for i, e in enumerate(edges)], "src string, dst string, seq long")
+    got = {r.pick: r.path for r in shortest.shortest_paths(spark.createDataFrame(picks, "pick long, a string, b string"), table, hub).collect()}
+    assert got == {i: breadth_first(edges, a, b) for i, a, b in picks}
+
+
+def test_neighbours_of_a_hub_are_not_listed_for_each_pick(spark, monkeypatch):
+    names, sizes = [f"l{i}" for i in range(300)], []
+    edges = [(x, "hub") for x in names] + [("hub", "top"), ("top", "other")] + [(f"r{x}", "other") for x in names]
+    picks = spark.createDataFrame([(i, x, f"r{x}") for i, x in enumerate(names)], "pick long, a string, b string")
+    table = spark.createDataFrame([(*e, i) for i, e in enumerate(edges)], "src string, dst string, seq long")
+    keep = shortest.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(shortest, "written", counted)
+    got = {r.pick: r.path for r in shortest.shortest_paths(picks, table).collect()}
+    few = max(sizes)
+    sizes.clear()
+    assert got == {i: [x, "hub", "top", "other", f"r{x}"] for i, x in enumerate(names)}
+    assert {r.pick: r.path for r in shortest.shortest_paths(picks, table, 100).collect()} == got
+    assert max(sizes) < 1500 < 90000 <= few
+
+
 # Old sides
 
 
