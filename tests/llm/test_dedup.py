@@ -125,6 +125,23 @@ def test_remove_repeats_at_width_400_with_null_and_repeated_ids(spark):
     assert sorted(map(str, (tuple(r[:5]) for r in rows))) == sorted(map(str, expected))
 
 
+def test_windows_are_named_for_equal_runs_only(spark, monkeypatch):
+    rng, kept, tables = random.Random(5), repeats.written, {}
+    shared = [bytes(rng.choices(b"abcdefgh", k=90)) for _ in range(6)]
+    docs = [(i, (bytes(rng.choices(b"abcdefgh", k=900)) + shared[i % 6] + bytes(rng.choices(b"abcdefgh", k=900))).decode()) for i in range(12)]
+
+    def counted(df, name):
+        out = kept(df, name)
+        tables[name] = (dict(out.dtypes), out.count(), out.agg(F.sum("n")).head()[0] if "n" in out.columns else None)
+        return out
+
+    monkeypatch.setattr(repeats, "written", counted)
+    rows = repeats.remove_repeats(table(spark, docs), 60).collect()
+    assert all(r.n_removed >= 90 for r in rows)
+    assert all(kind != "binary" for kinds, _, _ in tables.values() for kind in kinds.values())
+    assert tables["starts"][1] == tables["equal-runs"][2] < tables["runs"][2]
+
+
 def test_remove_repeats_of_nothing(spark):
     assert repeats.remove_repeats(table(spark, [])).collect() == []
 
