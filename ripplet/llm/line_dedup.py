@@ -3,10 +3,12 @@ exact Jaccard verification, and union-find that keeps one line of each component
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplet.llm.candidates import across, bounded, reach, shared, star
+from ripplet.llm.candidates import across, star
 from ripplet.llm.common import discard, written
 from ripplet.llm.components import components
 
@@ -19,8 +21,10 @@ EVERY = r"(?s)(?=(.{5}))"
 WORDS, MOST_WORDS, LONG, LONGEST = 14, 20, 14, 24
 #: Sets of fewer shingles than the second number are found without loss, those of the first and more by bands.
 SMALL, MOST_SMALL = 16, 24
-#: In buckets of more members, a bound by whole sets rules out what can't be alike before pairs are made.
-LARGE = 256
+#: A word of fewer characters (a table's bars, articles) says little: its shingle holds all of the next word.
+SHORT = 3
+#: A set's marks are so many words of 64 bits, each bit the parity of the shingles whose hash falls on it.
+MARKS = 16
 
 
 def _id() -> Column:
@@ -35,26 +39,27 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
 
 
-def _grams(line: str) -> Column:
+def _grams(line: str, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
     """The hashes of the distinct shingles of a column; a line shorter than 5 characters is one shingle."""
     low = F.lower(line)
     grams = F.when(F.length(low) < 5, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(EVERY), F.lit(1)))
-    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+    return F.array_distinct(F.transform(grams, lambda g: hashed(g)))
 
 
 def _signed(rows: DataFrame, percent: int, smallest: int) -> DataFrame:
     """Adds sketches: for each kind of shingle that the line signs (kind, least), least hashes in their order.
 
-    Kind 1 are shingles of words, each with the two characters at the start of the next word; the others are every 5
-    characters: of kind 0 a fixed number, of kind 2 (small sets) as many as may be missing from a set that is alike and one
+    Kind 1 are shingles of words, each with the two characters at the start of the next word (a SHORT word with the whole
+    next one); the others are every 5 characters: of kind 0 a fixed number, of kind 2 (small sets) as many as may be missing from a set that is alike and one
     more, so that two such sets have one in common.
     """
     # Each array is made below a generator of one row: an expression inside a lambda would be taken once for each element.
     parts = rows.withColumn("words", F.explode(F.array(F.split(F.lower("line"), " "))))
     n, size = F.size("words"), F.length("line")
-    at_words = F.zip_with("words", F.slice("words", F.lit(2), n), lambda w, x: F.xxhash64(w, F.substring(x, 1, 2)))
+    ahead = lambda w, x: F.when(F.length(w) < SHORT, x).otherwise(F.substring(x, 1, 2))
+    at_words = F.zip_with("words", F.slice("words", F.lit(2), n), lambda w, x: F.hash(w, ahead(w, x)))
     is_every, is_words = (n < MOST_WORDS) | (size > LONG * n), (n >= WORDS) & (size <= LONGEST * n)
-    grams = F.when(is_every, F.sort_array(_grams("line")))
+    grams = F.when(is_every, F.sort_array(_grams("line", F.hash)))
     words = F.when(is_words, F.slice(F.sort_array(F.array_distinct(at_words)), 1, smallest))
     made = parts.select(*rows.columns, F.explode(F.array(F.struct(grams.alias("grams"), words.alias("words")))).alias("s"))
     grams, n = F.col("s.grams"), F.size("s.grams")
@@ -79,45 +84,60 @@ def _banded(signed: DataFrame, rows: int) -> DataFrame:
     return each.select("node", F.xxhash64("kind", *run).alias("bucket"))
 
 
-def _near(x: str, y: str) -> Column:
-    """Whether two lines' sketches of one kind have four in seven hashes in common; true where they have no such kind. Sets
-    that are alike have 12 of 14 on average, and fewer than 8 in one of 500 cases."""
-    part = lambda k: F.size(F.array_intersect(f"s{k}{x}", f"s{k}{y}")) * 7 >= 4 * F.least(F.size(f"s{k}{x}"), F.size(f"s{k}{y}"))
-    return F.coalesce(part(1), part(0), F.lit(True))
+def _shared(signed: DataFrame, rows: int) -> DataFrame:
+    """(bucket, node, least) of the buckets of several nodes; least is a bucket's least node. Bands are dealt out once, and
+    a line that comes often is banded once for each task that read it."""
+    nodes = signed.select("k1", "sketches").groupBy("k1").agg(F.first("sketches").alias("sketches"))
+    bucket = Window.partitionBy("bucket")
+    ends = {"least": F.min("node").over(bucket), "most": F.max("node").over(bucket)}
+    found = _banded(nodes, rows).withColumns(ends).where("least < most").select("bucket", "node", "least")
+    return written(found.distinct(), "line-members")
+
+
+def _marked(texts: DataFrame) -> DataFrame:
+    """(node, n, m0, m1, ...): the size of each line's set and its marks."""
+    each = texts.select("node", F.explode(_grams("line")).alias("g"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("g", 4).bitwiseAND(63).cast("int"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("g").bitwiseAND(MARKS - 1) == i, bit)), F.lit(0).cast("long")).alias(f"m{i}") for i in range(MARKS)]
+    return each.groupBy("node").agg(F.count("*").alias("n"), *words)
+
+
+def _near(x: str, y: str, percent: int) -> Column:
+    """Whether two sets can be alike, without loss: of sizes m and n they differ in (m + n) (100 - percent) / (100 + percent)
+    shingles at most, and each mark that differs takes one."""
+    differ = sum((F.bit_count(F.col(f"m{i}{x}").bitwiseXOR(F.col(f"m{i}{y}"))) for i in range(1, MARKS)), F.bit_count(F.col(f"m0{x}").bitwiseXOR(F.col(f"m0{y}"))))
+    m, n = F.col("n" + x), F.col("n" + y)
+    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & ((100 + percent) * differ <= (100 - percent) * (m + n))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose lines are alike, by whole sets."""
-    a, b = (texts.select(F.col("node").alias(e[1]), *[F.col(c).alias(c + e) for c in ("line", "s0", "s1")]) for e in ("_a", "_b"))
-    both = pairs.join(a, "a").join(b, "b").where(_near("_a", "_b"))
+    a, b = (texts.select(F.col("node").alias(e[1]), F.col("line").alias("line" + e)) for e in ("_a", "_b"))
+    both = pairs.join(a, "a").join(b, "b")
     # Each set is made below a generator of one row, so that it isn't made again for each use.
     left = both.select("a", "b", "line_b", F.explode(F.array(_grams("line_a"))).alias("s"))
     sets = left.select("a", "b", "s", F.explode(F.array(_grams("line_b"))).alias("t"))
-    # n / (|s| + |t| - n) >= percent / 100; sizes that rule it out are asked first.
-    m, n = F.size("s"), F.size("t")
-    fits = (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (F.size(F.array_intersect("s", "t")) * (100 + percent) >= percent * (m + n))
+    # n / (|s| + |t| - n) >= percent / 100
+    fits = F.size(F.array_intersect("s", "t")) * (100 + percent) >= percent * (F.size("s") + F.size("t"))
     return written(sets.where(fits).select("a", "b"), name)
 
 
-def line_components(docs: DataFrame, percent: int = 80, smallest: int = 14, rows: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Each line's place (id, h, no, k1, k2), and (node, component) of the lines (by k1) in a component of several."""
-    places = written(_signed(_lines(docs), percent, smallest).select("id", "h", "no", "k1", "k2", "sketches"), "line-places")
-    members = shared(_banded(places, rows), "line-members")
-    nodes = members.select(F.col("node").alias("k1")).distinct()
-    sketch = lambda k: F.get(F.filter("sketches", lambda x: x.kind == k), F.lit(0)).getField("least").alias(f"s{k}")
-    sketches = places.join(nodes, "k1", "left_semi").select(F.col("k1").alias("node"), sketch(0), sketch(1)).dropDuplicates(["node"])
-    lines = _lines(docs).select(F.col("k1").alias("node"), "line").join(nodes.toDF("node"), "node", "left_semi").dropDuplicates(["node"])
-    texts = written(lines.join(sketches, "node"), "line-texts")
-    near = _alike(star(members), texts, percent, "line-links")
+def line_components(docs: DataFrame, percent: int = 80, smallest: int = 14, rows: int = 3) -> DataFrame:
+    """(node, component) of the lines (by k1) in a component of several."""
+    members = _shared(_signed(_lines(docs), percent, smallest), rows)
+    nodes = members.select("node").distinct()
+    lines = _lines(docs).select(F.col("k1").alias("node"), "line").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    texts = written(lines, "line-texts")
+    marks = written(_marked(texts), "line-marks")
+    a, b = (marks.select(F.col("node").alias(e[1]), *[F.col(c).alias(c + e) for c in marks.columns[1:]]) for e in ("_a", "_b"))
+    pairs = written(star(members).join(a, "a").join(b, "b").where(_near("_a", "_b", percent)).select("a", "b"), "line-pairs")
+    near = _alike(pairs, texts, percent, "line-links")
     found = components(near, "line-components")
-    nodes = lambda some: texts.join(some, "node", "left_semi")
-    grams = lambda some: nodes(some).select("node", F.explode(_grams("line")).alias("gram"))
-    known = lambda mixed: bounded(mixed, grams, percent, LARGE, "line").join(texts.select("node", "s0", "s1"), "node")
-    pairs = across(members, found, "line", known, lambda x, y: _near(x, y) & reach(x, y, percent))
-    if pairs.limit(1).count():
-        found = components(near.union(_alike(pairs, texts, percent, "line-links")), "line-components")
-    discard(members, texts, pairs)
-    return places, found
+    more = across(members, found, "line", lambda mixed: mixed.join(marks, "node"), lambda x, y: _near(x, y, percent))
+    if more.limit(1).count():
+        found = components(near.union(_alike(more, texts, percent, "line-links")), "line-components")
+    discard(members, texts, marks, pairs, more)
+    return found
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -135,16 +155,15 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     that follow each other, which about 99 % of pairs at the threshold do; pairs of fewer than 16 shingles are all found.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    places, found = line_components(docs, percent)
+    found = line_components(docs, percent)
     place = F.struct("id", "h", "no")
-    grouped = places.select("id", "h", "no", "k1", "k2").join(found.toDF("k1", "component"), "k1", "left")
+    grouped = _lines(docs).select("id", "h", "no", "k1", "k2").join(found.toDF("k1", "component"), "k1", "left")
     # A line in no component stands for itself, by both of its hashes.
     group = {"g1": F.coalesce("component", "k1"), "g2": F.when(F.col("component").isNull(), F.col("k2")).otherwise(0)}
     grouped = written(grouped.withColumns(group).select("id", "h", "no", "g1", "g2"), "line-groups")
     first = grouped.groupBy("g1", "g2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = grouped.join(first.select("g1", "g2", "first"), ["g1", "g2"]).where(place != F.col("first"))
     gone = gone.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("no").alias("__gone"))
-    discard(places)
     parts = F.split("text", "\n")
     rest = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i))
     joined = docs.select(*columns, _id().alias("__id"), F.xxhash64("text").alias("__h")).join(gone, ["__id", "__h"], "left")

@@ -177,6 +177,27 @@ def test_line_dedup_links_short_lines_urls_and_lines_about_the_limit_of_signatur
     assert rows == {i: t for (i, _), t in zip(docs, brute.line_keep(docs), strict=True)}
 
 
+def test_line_dedup_compares_few_sets_of_lines_that_are_nearly_alike(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    base = [word() for _ in range(60)]
+    docs: list[tuple[int, str | None]] = []
+    for i in range(150):  # copies of one line, a sixth of its words replaced, and tables whose cells begin alike
+        some = set(rng.sample(range(60), 10))
+        docs.append((2 * i, " ".join(word() if k in some else w for k, w in enumerate(base))))
+        docs.append((2 * i + 1, " | ".join("th" + word() for _ in range(20))))
+    compared, alike = [], line_dedup._alike
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_alike", counted)
+    rows = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(spark, docs)).collect()}
+    assert rows == {i: t for (i, _), t in zip(docs, brute.line_keep(docs), strict=True)}
+    assert sum(compared) < 200
+
+
 def test_line_dedup_of_nothing_and_of_clashing_columns(spark):
     empty = line_dedup.dedup_lines(table(spark, []))
     assert empty.collect() == [] and empty.columns[-2:] == ["n_lines", "n_removed"]
