@@ -21,13 +21,13 @@ def star(members: DataFrame) -> DataFrame:
 
 
 def across(
-    members: DataFrame, groups: DataFrame, name: str, known: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column]
+    members: DataFrame, groups: DataFrame, name: str, known: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], sums: tuple[str, ...] = ()
 ) -> DataFrame:
     """The pairs (a, b) of different components (node, component) that share a bucket and can be alike.
 
     known() gets the rows (bucket, node, component, size) of buckets with several components and adds columns, or leaves out
     rows that can't be in a pair; fits(x, y) asks these columns, with the suffixes x and y, whether a pair can be alike. A
-    pair is made in the first of its shared buckets only.
+    pair is made in the first of its shared buckets only. Of the columns sums a pair gets the sum of both sides.
     """
     found = members.join(groups.select("node", "component"), "node", "left")
     named = found.select("bucket", "node", F.coalesce("component", "node").alias("component"))
@@ -40,7 +40,8 @@ def across(
     x, y = (full.select("bucket", *[F.col(c).alias(c + end) for c in rest]) for end in ("_x", "_y"))
     first = F.col("bucket") == F.array_min(F.array_intersect("own_x", "own_y"))
     on = (F.col("node_x") > F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & fits("_x", "_y") & first
-    pairs = written(x.join(y, "bucket").where(on).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), f"{name}-across")
+    both = [(F.col(c + "_x") + F.col(c + "_y")).alias(c) for c in sums]
+    pairs = written(x.join(y, "bucket").where(on).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), *both), f"{name}-across")
     discard(mixed)
     return pairs
 

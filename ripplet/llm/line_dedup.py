@@ -14,8 +14,8 @@ from ripplet.llm.components import components
 
 #: A line takes part if it has a word.
 WORD = r"[^\x20\x09-\x0D]"
-#: The shingles of verification: every 5 characters.
-EVERY = r"(?s)(?=(.{5}))"
+#: The bytes of 5 characters, and of one, in UTF-32: the shingles of verification are every 5 characters.
+SHINGLE, CHARACTER = 20, 4
 #: A line signs what begins at its words if it has so many of them, each of so many characters on average at most; with
 #: fewer or longer ones it signs every 5 characters. Between the limits it does both, so that like lines meet.
 WORDS, MOST_WORDS, LONG, LONGEST = 14, 20, 14, 24
@@ -40,10 +40,14 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _grams(line: str, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
-    """The hashes of the distinct shingles of a column; a line shorter than 5 characters is one shingle."""
-    low = F.lower(line)
-    grams = F.when(F.length(low) < 5, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(EVERY), F.lit(1)))
-    return F.array_distinct(F.transform(grams, lambda g: hashed(g)))
+    """The hashes of all shingles of a column, repeats included; a line shorter than 5 characters is one shingle.
+
+    In UTF-32 a shingle is a piece of bytes whose place is known, so it is cut out without a walk over the text.
+    """
+    at = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - SHINGLE + 1, F.lit(1)), F.lit(CHARACTER))
+    # The outer array of one holds the bytes, so that they aren't made again for each shingle.
+    bytes_of = F.array(F.encode(F.lower(line), "utf-32"))
+    return F.transform(bytes_of, lambda b: F.transform(at(b), lambda i: hashed(F.substr(b, i, F.lit(SHINGLE)))))[0]
 
 
 def _signed(rows: DataFrame, percent: int, smallest: int) -> DataFrame:
@@ -53,24 +57,25 @@ def _signed(rows: DataFrame, percent: int, smallest: int) -> DataFrame:
     next one); the others are every 5 characters: of kind 0 a fixed number, of kind 2 (small sets) as many as may be missing from a set that is alike and one
     more, so that two such sets have one in common.
     """
-    # Each array is made below a generator of one row: an expression inside a lambda would be taken once for each element.
-    parts = rows.withColumn("words", F.explode(F.array(F.split(F.lower("line"), " "))))
+    # What is used more than once stands in a select of its own, whose expressions are compiled; below a generator, which takes
+    # its arrays uncompiled, they cost twice as much.
+    parts = rows.withColumn("words", F.split(F.lower("line"), " "))
     n, size = F.size("words"), F.length("line")
     ahead = lambda w, x: F.when(F.length(w) < SHORT, x).otherwise(F.substring(x, 1, 2))
     at_words = F.zip_with("words", F.slice("words", F.lit(2), n), lambda w, x: F.hash(w, ahead(w, x)))
     is_every, is_words = (n < MOST_WORDS) | (size > LONG * n), (n >= WORDS) & (size <= LONGEST * n)
-    grams = F.when(is_every, F.sort_array(_grams("line", F.hash)))
+    grams = F.when(is_every, F.sort_array(F.array_distinct(_grams("line", F.hash))))
     words = F.when(is_words, F.slice(F.sort_array(F.array_distinct(at_words)), 1, smallest))
-    made = parts.select(*rows.columns, F.explode(F.array(F.struct(grams.alias("grams"), words.alias("words")))).alias("s"))
-    grams, n = F.col("s.grams"), F.size("s.grams")
+    made = parts.select(*rows.columns, grams.alias("grams"), words.alias("least"))
+    grams, n = F.col("grams"), F.size("grams")
     sketch = lambda kind, when, c: F.when(when, F.struct(F.lit(kind).alias("kind"), c.alias("least")))
     few = (n - F.ceil(n * percent / 100) + 1).cast("int")
     kinds = (
         sketch(0, n >= SMALL, F.slice(grams, 1, smallest * 3 // 2)),
-        sketch(1, F.col("s.words").isNotNull(), F.col("s.words")),
+        sketch(1, F.col("least").isNotNull(), F.col("least")),
         sketch(2, (n > 0) & (n < MOST_SMALL), F.slice(grams, F.lit(1), F.greatest(few, F.lit(1)))),
     )
-    return made.withColumn("sketches", F.array_compact(F.array(*kinds))).drop("s")
+    return made.withColumn("sketches", F.array_compact(F.array(*kinds))).drop("grams", "least")
 
 
 def _banded(signed: DataFrame, rows: int) -> DataFrame:
@@ -96,9 +101,12 @@ def _shared(signed: DataFrame, rows: int) -> DataFrame:
 
 def _marked(texts: DataFrame) -> DataFrame:
     """(node, n, m0, m1, ...): the size of each line's set and its marks."""
-    each = texts.select("node", F.explode(_grams("line")).alias("g"))
+    # The set is made below the generator, which is compiled then. It is an outer one: before others Spark filters a column's
+    # arrays by their size, and makes them for that too. No set is empty.
+    sets = texts.select("node", F.array_distinct(_grams("line")).alias("s"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("g", 4).bitwiseAND(63).cast("int"))
-    words = [F.coalesce(F.bit_xor(F.when(F.col("g").bitwiseAND(MARKS - 1) == i, bit)), F.lit(0).cast("long")).alias(f"m{i}") for i in range(MARKS)]
+    each = sets.select("node", F.explode_outer("s").alias("g")).select("node", F.col("g").bitwiseAND(MARKS - 1).alias("w"), bit.alias("bit"))
+    words = [F.bit_xor(F.when(F.col("w") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(MARKS)]
     return each.groupBy("node").agg(F.count("*").alias("n"), *words)
 
 
@@ -111,15 +119,12 @@ def _near(x: str, y: str, percent: int) -> Column:
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose lines are alike, by whole sets."""
+    """The pairs (a, b) whose lines are alike, by whole sets; n is the sum of the sizes of a pair's sets."""
     a, b = (texts.select(F.col("node").alias(e[1]), F.col("line").alias("line" + e)) for e in ("_a", "_b"))
     both = pairs.join(a, "a").join(b, "b")
-    # Each set is made below a generator of one row, so that it isn't made again for each use.
-    left = both.select("a", "b", "line_b", F.explode(F.array(_grams("line_a"))).alias("s"))
-    sets = left.select("a", "b", "s", F.explode(F.array(_grams("line_b"))).alias("t"))
-    # n / (|s| + |t| - n) >= percent / 100
-    fits = F.size(F.array_intersect("s", "t")) * (100 + percent) >= percent * (F.size("s") + F.size("t"))
-    return written(sets.where(fits).select("a", "b"), name)
+    # shared / (n - shared) >= percent / 100; each set stands here once, so that it is made once.
+    fits = F.size(F.array_intersect(_grams("line_a"), _grams("line_b"))) * (100 + percent) >= percent * F.col("n")
+    return written(both.where(fits).select("a", "b"), name)
 
 
 def line_components(docs: DataFrame, percent: int = 80, smallest: int = 14, rows: int = 3) -> DataFrame:
@@ -130,10 +135,10 @@ def line_components(docs: DataFrame, percent: int = 80, smallest: int = 14, rows
     texts = written(lines, "line-texts")
     marks = written(_marked(texts), "line-marks")
     a, b = (marks.select(F.col("node").alias(e[1]), *[F.col(c).alias(c + e) for c in marks.columns[1:]]) for e in ("_a", "_b"))
-    pairs = written(star(members).join(a, "a").join(b, "b").where(_near("_a", "_b", percent)).select("a", "b"), "line-pairs")
+    pairs = written(star(members).join(a, "a").join(b, "b").where(_near("_a", "_b", percent)).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n")), "line-pairs")
     near = _alike(pairs, texts, percent, "line-links")
     found = components(near, "line-components")
-    more = across(members, found, "line", lambda mixed: mixed.join(marks, "node"), lambda x, y: _near(x, y, percent))
+    more = across(members, found, "line", lambda mixed: mixed.join(marks, "node"), lambda x, y: _near(x, y, percent), ("n",))
     if more.limit(1).count():
         found = components(near.union(_alike(more, texts, percent, "line-links")), "line-components")
     discard(members, texts, marks, pairs, more)

@@ -198,6 +198,22 @@ def test_line_dedup_compares_few_sets_of_lines_that_are_nearly_alike(spark, monk
     assert sum(compared) < 200
 
 
+def test_line_dedup_counts_characters_beyond_16_bits_as_one(spark):
+    """Of 41 shingles 5 differ, 36 / 46 < 0.8; half characters would make it 73 / 91."""
+    line = "".join(chr(0x1F300 + i) for i in range(45))
+    docs: list[tuple[int, str | None]] = [(0, line), (1, line[:22] + "\U0001f600" + line[23:]), (2, line[:-1] + "\U0001f600")]
+    rows = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(spark, docs)).collect()}
+    assert rows == {i: t for (i, _), t in zip(docs, brute.line_keep(docs), strict=True)}
+    assert rows[1] == docs[1][1] and rows[2] == ""
+
+
+def test_line_dedup_makes_sets_once_and_below_generators(spark):
+    """A generator that makes its array itself isn't compiled; before an inner one Spark filters a column's arrays by their size."""
+    texts = spark.createDataFrame([(1, "a line")], "node long, line string").repartition(1)
+    plan = line_dedup._marked(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(") == 1 and "explode(array_distinct(" not in plan
+
+
 def test_line_dedup_of_nothing_and_of_clashing_columns(spark):
     empty = line_dedup.dedup_lines(table(spark, []))
     assert empty.collect() == [] and empty.columns[-2:] == ["n_lines", "n_removed"]
