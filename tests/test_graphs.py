@@ -5,8 +5,9 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
-from ripplet.operators import cycles, expectations, graph, impact, semantic, shortest, tables
+from ripplet.operators import cycles, expectations, graph, impact, semantic, shortest, sieve, tables
 from ripplet.plans import catalog
 from ripplet.sources.scratch import written
 
@@ -153,6 +154,32 @@ def test_neighbours_of_a_hub_are_not_listed_for_each_pick(spark, monkeypatch):
     assert max(sizes) < 1500 < 90000 <= few
 
 
+def test_edges_away_from_all_picks_are_neither_written_nor_dealt_out(spark, monkeypatch):
+    edges = [("a", "x"), ("x", "y"), ("y", "b")] + [(f"p{i}", f"q{i}") for i in range(3000)]
+    table = spark.createDataFrame([(*e, i) for i, e in enumerate(edges)], "src string, dst string, seq long")
+    sizes, keep = [], shortest.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(shortest, "written", counted)
+    picks = spark.createDataFrame([(0, "a", "b"), (1, "a", "q7")], "pick long, a string, b string")
+    assert {r.pick: r.path for r in shortest.shortest_paths(picks, table).collect()} == {0: ["a", "x", "y", "b"], 1: None}
+    assert max(sizes) < 10
+
+
+@pytest.mark.parametrize("marks", [2**26, 64])
+def test_a_sieve_holds_all_rows_of_its_keys(spark, monkeypatch, marks):
+    monkeypatch.setattr(sieve, "MARKS", marks)
+    rows = spark.range(5000).select(F.concat(F.lit("n"), "id").alias("node"), (F.col("id") % 2).alias("kind"), "id")
+    keys = rows.where("id % 100 = 0").select("node", "kind").unionByName(spark.createDataFrame([(None, 0)], "node string, kind long"))
+    held = {r.id for r in sieve.sifted(rows, keys, "node", "kind").collect()}
+    assert held >= set(range(0, 5000, 100)) and len(held) < (60 if marks > 64 else 5000)
+    assert sieve.sifted(rows, keys.limit(0), "node").count() == 0
+
+
 # Old sides
 
 
