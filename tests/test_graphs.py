@@ -380,6 +380,41 @@ def test_expectations_with_a_common_part_are_looked_up_by_their_other_end(spark)
     assert most_rows(classed) <= 900
 
 
+def dealt_rows(df):
+    """The rows that a query's shuffles write, once it has run."""
+    df.collect()
+
+    def of(plan):
+        kind = plan.getClass().getSimpleName()
+        below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.metrics().get("shuffleRecordsWritten")
+        return (own.get().value() if own.isDefined() else 0) + sum(map(of, below))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_edges_that_no_expectation_looks_at_are_not_dealt_out(spark):
+    table = spark.createDataFrame([(f"e{i}", f"ROUTE:{i}", f"PART:{i:04}", "CALLS", "HIGH", i) for i in range(5000)], "id string, src string, dst string, type string, confidence string, seq long")
+    wanted = [(0, None, "ROUTE:7", "PART:0007", None, None, False, None), (1, "USES", "ROUTE:8", "PART:0008", None, None, False, None), (2, None, None, None, None, "T:0009", False, None), (3, None, "ROUTE:9", "x", None, None, False, None)]
+    asked = spark.createDataFrame(wanted, "id long, type string, src string, dst string, src_part string, dst_part string, forbidden boolean, soft boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        classed = expectations.classify(asked, table)
+        dealt = dealt_rows(classed)
+        got = {r.id: (r["class"], r.edge_id) for r in classed.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {0: ("TRUE_POSITIVE", "e7"), 1: ("WRONG_TYPE", "e8"), 2: ("TRUE_POSITIVE", "e9"), 3: ("WRONG_TARGET", "e9")}
+    assert 0 < dealt < 200
+
+
+def test_a_node_that_holds_a_part_twice_is_found_once(spark):
+    ids, parts = ["E:E:E:", "abcabcabcabc", "aéaéaéaéaéé", "é", "x"], ["E:", "abc", "abcabcabc", "éaéaéaéa", "é", "aéaé", "none", "a longer one", ""]
+    rows = expectations.holders(spark.createDataFrame([(p,) for p in parts], "part string"), spark.createDataFrame([(i,) for i in ids + ids], "id string")).collect()
+    assert sorted((r.part, r.id) for r in rows) == sorted((p, i) for p in parts for i in ids if p and p in i)
+
+
 def test_pairs_of_deduped_edges_are_dealt_out_once(spark):
     rows = [("a", "b", "CALLS", "LOW", 2, None), ("a", "b", "CALLS", "HIGH", 1, "x"), ("a", "b", "CONTAINS", "LOW", 0, None)]
     edges = graph.dedupe_edges(spark.createDataFrame(rows, "src string, dst string, type string, confidence string, seq long, evidence string"))
